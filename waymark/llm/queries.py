@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .neardup import near_duplicates
 from .packing import pack, token_pieces
 
 
@@ -34,8 +35,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op3_packing": op3_packing}
+    return {
+        "op3_packing": op3_packing,
+        "op6_near_duplicates": op6_near_duplicates,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
