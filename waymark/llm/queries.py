@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .neardup import near_duplicates
 from .packing import pack, token_pieces
+from .substring import substring_dedup
 
 
 def _vocabulary(name: str) -> str:
@@ -39,10 +40,16 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op3_packing": op3_packing,
         "op6_near_duplicates": op6_near_duplicates,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
