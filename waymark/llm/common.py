@@ -64,3 +64,21 @@ def crc_mod(id_col: str, mod: int):
 def share(total: int, size: int) -> int:
     """Number of groups that keeps each at about ``size`` rows."""
     return max(1, -(-total // size))
+
+
+def append(docs: DataFrame, columns: dict[str, pa.DataType], compute, text_col: str = "text", limit: int = 4 << 20) -> DataFrame:
+    """``docs`` with columns that ``compute(texts)`` returns as Arrow arrays; nulls count as empty texts.
+
+    The names of ``columns`` must be new to ``docs``. No shuffle.
+    """
+    from pyspark.sql.pandas.types import from_arrow_type
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([*docs.schema.fields, *(StructField(n, from_arrow_type(t)) for n, t in columns.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text_col, limit):
+            made = compute(pc.fill_null(block.column(text_col), ""))
+            yield pa.RecordBatch.from_arrays([*block.columns, *made], names=[*block.schema.names, *columns])
+
+    return docs.mapInArrow(run, schema)
