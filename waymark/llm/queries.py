@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import table
 from .fingerprint import document_fingerprints
+from .html import extract_main_text
 from .langid import language_ids
 from .media import store_texts
 from .neardup import near_duplicates
@@ -41,6 +42,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main_text(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -94,6 +100,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_main_text": op1_main_text,
         "op2_media": op2_media,
         "op3_packing": op3_packing,
         "op4_quality": op4_quality,
