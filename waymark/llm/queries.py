@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .chat import parse_transcripts, train, transcript_lines
 from .common import table
 from .fingerprint import document_fingerprints
 from .html import extract_main_text
@@ -72,6 +73,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = transcript_lines(table(spark, sf_dir, "conversations"))
+    turns = parse_transcripts(lines.select("conv", "pos", "line"), train(lines), span=64 << 20)
+    return turns.select("conv_id", (F.col("start") / (1 << 20)).cast("long").alias("turn"), "role", "n_lines", "text", "rendered")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")).select(
         "doc_id",
@@ -106,6 +113,7 @@ def queries() -> dict:
         "op4_quality": op4_quality,
         "op5_language": op5_language,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_chat": op7_chat,
         "op8_bpe": op8_bpe,
         "op9_fingerprints": op9_fingerprints,
         "op10_substring_dedup": op10_substring_dedup,
