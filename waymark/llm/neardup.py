@@ -9,11 +9,15 @@
 3. Classes that share a band are candidates. First each is held against the bucket's least
    class (a star, so the pairs are no more than the bucket's rows); then, among buckets that
    still hold several components, against the members of other components. Candidate pairs pass the
-   odd-sketch and size tests, then are confirmed on full shingle sets.
+   odd-sketch and size tests and the parity bound below, then are confirmed on full shingle sets.
 4. Components of the confirmed links.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**28, about 2e-5; the
 sketch test turns away a true pair less often still (over four standard deviations).
+
+Parity bound: a second bitmap folds all shingles of the set. Each bit in which two such bitmaps differ
+takes at least one shingle that only one of the sets has, so a pair with more than
+(1 - s) / (1 + s) of both sizes differing bits cannot have similarity s. This test loses nothing.
 """
 
 from __future__ import annotations
@@ -40,7 +44,14 @@ _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=U) * U(2) + U(1)
 _FLIP = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=U)
 
-SIGNATURES = "doc_id long, digest binary, n long, bands array<long>, k0 long, k1 long, k2 long, k3 long"
+PARITY_BITS = 1024
+_KS = [f"k{j}" for j in range(SKETCH_BITS // 64)]
+_FS = [f"f{j}" for j in range(PARITY_BITS // 64)]
+_SKINNY = ["n", *_KS, *_FS]
+#: Most ids of candidate documents that are broadcast to pick their texts (8 bytes each).
+BROADCAST_IDS = 500_000
+
+SIGNATURES = "doc_id long, digest binary, n long, bands array<long>, " + ", ".join(f"{c} long" for c in [*_KS, *_FS])
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -76,6 +87,15 @@ def odd_sketches(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def parity_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """(number of sets, PARITY_BITS / 64) parity bitmaps of whole sets."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = row * PARITY_BITS + (mix(flat + U(PARITY_BITS)) % U(PARITY_BITS)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sets) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), -1), axis=1).view(np.int64)
+
+
 def band_keys(values: np.ndarray) -> np.ndarray:
     """(number of sets, BANDS) keys."""
     keys = []
@@ -92,11 +112,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t.encode() for t in block.column("text").to_pylist()]
         sets = shingle_sets(texts)
         some = np.flatnonzero([len(s) for s in sets])
-        sketches = np.zeros((len(texts), 4), np.int64)
+        sketches = np.zeros((len(texts), len(_KS) + len(_FS)), np.int64)
         bands: list = [[]] * len(texts)
         if len(some):
             values = min_hashes([sets[i] for i in some])
-            sketches[some] = odd_sketches(values)
+            sketches[some] = np.concatenate([odd_sketches(values), parity_bitmaps([sets[i] for i in some])], axis=1)
             for i, keys in zip(some, band_keys(values), strict=True):
                 bands[i] = keys
         digests = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
@@ -106,9 +126,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(digests, pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(bands, pa.list_(pa.int64())),
-                *(pa.array(np.ascontiguousarray(sketches[:, j])) for j in range(4)),
+                *(pa.array(np.ascontiguousarray(sketches[:, j])) for j in range(sketches.shape[1])),
             ],
-            names=["doc_id", "digest", "n", "bands", "k0", "k1", "k2", "k3"],
+            names=["doc_id", "digest", "n", "bands", *_KS, *_FS],
         )
 
 
@@ -128,22 +148,32 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield block.select(["a", "b"]).filter(mask)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among candidate pairs (a, b): size and odd-sketch tests, then full sets."""
-    skinny = ["n", "k0", "k1", "k2", "k3"]
-    one = classes.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in skinny))
-    other = classes.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in skinny))
-    likely = pairs.join(one, "a").join(other, "b").where(_likely()).select("a", "b")
-    with_a = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+def _side(df: DataFrame, side: str, *more) -> DataFrame:
+    return df.select(F.col("doc_id").alias(side), *more, *(F.col(c).alias(f"{c}_{side}") for c in _SKINNY))
+
+
+def _differing(names: list[str]):
+    counts = [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names]
+    return sum(counts[1:], counts[0])
 
 
 def _likely():
-    """Sizes that allow the similarity, and an odd-sketch distance that does not rule it out."""
-    bits = sum((F.bit_count(F.col(f"k{j}_a").bitwiseXOR(F.col(f"k{j}_b"))) for j in range(1, 4)), F.bit_count(F.col("k0_a").bitwiseXOR(F.col("k0_b"))))
-    sizes = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    return sizes & (bits <= MOST_BITS)
+    """Sizes that allow the similarity, an odd-sketch distance that does not rule it out, and the
+    parity bound."""
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    bound = _differing(_FS) * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
+    return sizes & (_differing(_KS) <= MOST_BITS) & bound
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among likely pairs (a, b), by their full shingle sets. If the pairs' ids are few, they
+    are broadcast to pick the texts before these are shuffled."""
+    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    with_a = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return cut(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,30 +187,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = narrow(docs, id_col, text_col)
     rows = cut(texts.mapInArrow(_signatures, SIGNATURES))
     named = rows.where("n > 0 and doc_id is not null")
-    rest = ["n", "bands", "k0", "k1", "k2", "k3"]
-    least = named.groupBy("digest").agg(F.min(F.struct("doc_id", *rest)).alias("x"))
+    least = named.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", *_SKINNY)).alias("x"))
     classes = cut(least.select("digest", "x.*"))
 
     entries = classes.select(F.explode("bands").alias("band"), "doc_id")
     shared = entries.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = cut(entries.join(shared, "band"))
     star = members.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    links = cut(_verified(star, classes, texts))
+    likely = cut(star.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_likely()).select("a", "b"))
+    links = _confirmed(likely, texts)
     found = cut(components(links))
 
-    skinny = ["n", "k0", "k1", "k2", "k3"]
     placed = members.join(found, members.doc_id == found.id, "left").select(
         "band", "a", "doc_id", F.coalesce("component", "doc_id").alias("part")
     )
     mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"))
     open_ = placed.join(mixed.where("lo <> hi and size > 2").select("band"), "band").where("a <> doc_id")
-    full = open_.drop("a").join(classes.select("doc_id", *skinny), "doc_id")
-    one = full.select("band", F.col("doc_id").alias("a"), F.col("part").alias("part_a"), *(F.col(c).alias(f"{c}_a") for c in skinny))
-    other = full.select("band", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), *(F.col(c).alias(f"{c}_b") for c in skinny))
-    across = one.join(other, "band").where((F.col("part_a") < F.col("part_b")) & _likely()).select("a", "b").distinct()
-    across = cut(across)
+    full = open_.drop("a").join(classes.select("doc_id", *_SKINNY), "doc_id")
+    one, other = _side(full, "a", "band", F.col("part").alias("part_a")), _side(full, "b", "band", F.col("part").alias("part_b"))
+    across = cut(one.join(other, "band").where((F.col("part_a") < F.col("part_b")) & _likely()).select("a", "b").distinct())
     if not across.isEmpty():
-        more = cut(_verified(across, classes, texts))
+        more = _confirmed(across, texts)
         if not more.isEmpty():
             found = cut(components(links.union(more)))
 
