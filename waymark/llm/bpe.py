@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import blocks, narrow
 
 #: Fixed values of the vocabulary: white space, the pattern of its words, the mark of a word's end.
-SPACE = r"[\t-\r\x20\x85\xa0  -     　]"
+SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE[1:-1]}\p{{L}}\p{{N}}]+"
 END = "</w>"
 
