@@ -253,7 +253,7 @@ def r2(spark, d):
     return out.union(left_dets.select(F.lit("det"), "row_id", "start")).union(places.select(F.lit("place"), "file_id", "start"))
 
 
-@query("r5_rescan_merge", P + "SELECT file_id, page_num, lat_micro, lon_micro, CASE WHEN k%7<>0 THEN CASE WHEN k%4=1 THEN 'edited' ELSE '' END ELSE '' END AS c0 FROM planted WHERE o_custkey%13<>0 AND k%7<>0 UNION ALL SELECT file_id, page_num, lat_micro, lon_micro, CASE WHEN k%4=1 THEN 'edited' ELSE '' END FROM planted WHERE o_custkey%13=0")
+@query("r5_rescan_merge", P + "SELECT file_id, page_num, lat_micro, lon_micro, CASE WHEN k%7<>0 THEN CASE WHEN k%4=1 THEN 'edited' ELSE '' END ELSE '' END AS c0 FROM planted WHERE o_custkey%13<>0 AND k%7<>0 UNION ALL SELECT file_id, CAST(page_num+1 AS INTEGER), lat_micro, lon_micro, CASE WHEN k%4=1 THEN 'edited' ELSE '' END FROM planted WHERE o_custkey%13<>0 AND k%7=0 AND n_pages=2 AND style<>5 UNION ALL SELECT file_id, page_num, lat_micro, lon_micro, CASE WHEN k%4=1 THEN 'edited' ELSE '' END FROM planted WHERE o_custkey%13=0")
 def r5(spark, d):
     pages, files = fx.planted_pages(spark, d), fx.planted_files(spark, d)
     coords = extract.located(*extract.merge_cross_page(extract.extract_coordinates(pages), extract.extract_cross_page(pages), fx.no_places(spark)))
@@ -261,7 +261,8 @@ def r5(spark, d):
     planted = fx._planted(spark, d).where("k % 4 = 1").select("file_id", "page_num", F.lit(True).alias("hit"))
     table = table.join(planted, ["file_id", "page_num"], "left").withColumn("cells", F.when(F.col("hit"), F.array(F.lit("edited"), F.lit(""))).otherwise(F.col("cells"))).drop("hit")
     dets = extract.build_detections(coords).drop("rects")
-    # A second scan with another level and the latitudes of every seventh order suppressed.
+    # A second scan with the latitudes of every seventh order suppressed: where the break had split the two
+    # halves, a strong longitude stays alone and takes over the old row, which keeps its values.
     gone = fx.planted_suppressed(spark, d)
     out = jobs.rescan_job(pages, files, table, dets, gone, level=5)
     lone = F.col("lat").isNotNull() & F.col("lon").isNotNull()
