@@ -385,6 +385,12 @@ def test_main_text(spark):
     assert html.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_asides_by_name(spark):
+    page = '<div class="main-menu"><p>menu</p></div><div id="content"><div class="ad-box">ad</div><p>story</p><form><p>mail</p></form><div id="reader-comments">nice</div><article class="related-story">other</article><p>end</p></div><div class="sidebar">side</div>'
+    (r,) = html.extract_main_text(spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")).collect()
+    assert r.text == "story end"
+
+
 def test_template_text_goes(spark):
     rows = [(i, f"http://h.example/{i}", f"<div><div><span>Our site, since 1990</span></div><div><p>story {i} {words(5)}</p></div></div>") for i in range(30)]
     copies = [(100 + i, "http://c.example/", "<div><p>the same story</p></div>") for i in range(30)]
