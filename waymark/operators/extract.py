@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tokens as tk
+from ..sources.shared import written
 from .pagetext import rects_for_range
 
 TOKEN = T.StructType(
@@ -77,6 +78,22 @@ def find_tokens(pages: DataFrame, files: DataFrame | None = None, level: int = t
     return _per_page(with_level(pages, files, level), TOKENS, lambda text, n: [(t,) for t in tk.find_tokens(text, n)])
 
 
+def pair_tokens(tokens: DataFrame, pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL) -> DataFrame:
+    """(file_id, page_num, pair_idx, lat, lon) from tokens (file_id, page_num, token_idx, token) and their pages."""
+    found = tokens.groupBy("file_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("token_idx", "token"))).alias("tokens"))
+    both = with_level(pages, files, level).join(found, ["file_id", "page_num"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for f, p, text, n, items in zip(pdf["file_id"], pdf["page_num"], pdf["text"], pdf["level"], pdf["tokens"], strict=True):
+                own = [tk.Token(**dict(x["token"])) for x in items]
+                rows += [(f, p, i, _record(a), _record(b)) for i, (a, b) in enumerate(tk.pair_tokens(own, text, n))]
+            yield pd.DataFrame(rows, columns=PAIRS.names)
+
+    return both.mapInPandas(run, PAIRS)
+
+
 def extract_coordinates(pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL) -> DataFrame:
     """(file_id, page_num, pair_idx, lat, lon) of every page; one half may be null. No shuffle."""
     return _per_page(with_level(pages, files, level), PAIRS, tk.extract)
@@ -213,9 +230,15 @@ def fresh_rows(coords: DataFrame, n_cols: int = 2) -> DataFrame:
     )
 
 
+def scan_coordinates(pages: DataFrame, files: DataFrame, suppressed: DataFrame, level: int = tk.DEFAULT_LEVEL) -> DataFrame:
+    """Located coordinates of a corpus: page pairs and cross-page pairs, without suppressed ones. Texts are read once
+    for each of the two; what was found is written before it is merged."""
+    own = written(extract_coordinates(pages, files, level), "pairs")
+    cross = written(extract_cross_page(pages, files, level), "cross-pairs")
+    return written(located(*merge_cross_page(drop_suppressed(own, suppressed), cross, suppressed)), "coordinates")
+
+
 def scan_corpus(pages: DataFrame, files: DataFrame, suppressed: DataFrame, n_cols: int = 2, level: int = tk.DEFAULT_LEVEL, spans: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, detections) of a whole corpus: page pairs and cross-page pairs, without suppressed ones."""
-    own = drop_suppressed(extract_coordinates(pages, files, level), suppressed)
-    own, cross = merge_cross_page(own, extract_cross_page(pages, files, level), suppressed)
-    coords = located(own, cross)
+    """(rows, detections) of a whole corpus."""
+    coords = scan_coordinates(pages, files, suppressed, level)
     return fresh_rows(coords, n_cols), build_detections(coords, spans)

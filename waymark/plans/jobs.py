@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,48 +10,24 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import DEFAULT_LEVEL
 from ..operators import assist
-from ..operators.extract import build_detections, drop_suppressed, extract_coordinates, extract_cross_page, fresh_rows, located, merge_cross_page
+from ..operators.extract import build_detections, fresh_rows, scan_coordinates
 from ..operators.pagetext import build_page_text, page_spans
 from ..operators.rows import as_table_rows, remove_duplicates, remove_rows, rescan_merge
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where ``spark.checkpoint.dir`` is not set."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
-    return sc.getCheckpointDir()
-
-
-def unique() -> str:
-    return uuid.uuid4().hex
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{unique()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import written
 
 
 def scan_job(items: DataFrame, files: DataFrame, suppressed: DataFrame, n_cols: int = 2, level: int = DEFAULT_LEVEL) -> dict[str, DataFrame]:
     """Pages, rows and detections of a corpus of text items."""
-    pages, spans = build_page_text(items), page_spans(items)
-    coords = _coordinates(pages, files, suppressed, level)
+    pages, spans = written(build_page_text(items), "pages"), page_spans(items)
+    coords = scan_coordinates(pages, files, suppressed, level)
     rows = as_table_rows(fresh_rows(coords, n_cols), files)
     return {"pages": pages, "files": files, "rows": rows, "dets": build_detections(coords, spans), "suppressed": suppressed}
 
 
-def _coordinates(pages: DataFrame, files: DataFrame, suppressed: DataFrame, level: int) -> DataFrame:
-    own = drop_suppressed(extract_coordinates(pages, files, level), suppressed)
-    return located(*merge_cross_page(own, extract_cross_page(pages, files, level), suppressed))
-
-
 def rescan_job(pages: DataFrame, files: DataFrame, rows: DataFrame, dets: DataFrame, suppressed: DataFrame, n_cols: int = 2, level: int = DEFAULT_LEVEL, dedup: bool = False) -> dict[str, DataFrame]:
     """The table after detection at another level: edits stay, deleted places stay deleted."""
     scannable = pages.join(files.where("error is null").select("file_id"), "file_id", "left_semi")
-    coords = _coordinates(scannable, files, suppressed, level)
+    coords = scan_coordinates(scannable, files, suppressed, level)
     fresh = as_table_rows(fresh_rows(coords, n_cols), files)
     new_rows, new_dets = rescan_merge(rows, dets, coords, build_detections(coords).drop("rects"), fresh, files)
     if dedup:

@@ -12,7 +12,7 @@ from . import fixtures as fx
 from .functions import columns as col
 from .operators import assist, extract, pagetext, rows, summary
 from .plans import jobs
-from .sources import corpus, csv, project
+from .sources import corpus, csv, project, shared
 from .streaming.scan import scan_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,13 @@ def e4(spark, d):
     return out
 
 
+@query("e4_pair_tokens", P + "SELECT file_id, page_num, lat_micro, lon_micro FROM planted WHERE n_pages=1")
+def e4_pairs(spark, d):
+    pages = fx.planted_pages(spark, d)
+    pairs = extract.pair_tokens(extract.find_tokens(pages), pages).where("lat is not null and lon is not null")
+    return _values(pairs).select("file_id", "page_num", "lat_micro", "lon_micro")
+
+
 @query("e6_effective_intensity", P + "SELECT file_id, CAST(CASE WHEN o_custkey%3=0 THEN 7 ELSE 5 END AS INTEGER) AS level FROM (SELECT DISTINCT file_id, o_custkey FROM planted)")
 def e6(spark, d):
     files = fx.planted_files(spark, d).withColumn("intensity", F.when(F.col("file_seq") % 3 == 0, 7))
@@ -93,7 +100,8 @@ def e7(spark, d):
 @query("e8_merge_cross_page", P + "SELECT file_id, CASE WHEN n_pages=2 THEN 1 ELSE 0 END AS is_cross, lat_micro, lon_micro FROM planted WHERE n_pages=1 OR k%7<>0 UNION ALL SELECT file_id, 0, CASE WHEN i=0 THEN lat_micro END, CASE WHEN i=1 THEN lon_micro END FROM planted, range(0,2) t(i) WHERE n_pages=2 AND k%7=0 AND style<>5")
 def e8(spark, d):
     pages = fx.planted_pages(spark, d)
-    own, cross = extract.merge_cross_page(extract.extract_coordinates(pages), extract.extract_cross_page(pages), fx.planted_suppressed(spark, d))
+    own, cross = (shared.written(x, "found") for x in (extract.extract_coordinates(pages), extract.extract_cross_page(pages)))
+    own, cross = extract.merge_cross_page(own, cross, fx.planted_suppressed(spark, d))
     return _values(extract.located(own, cross)).select("file_id", "is_cross", "lat_micro", "lon_micro")
 
 
@@ -223,7 +231,7 @@ def s5(spark, d):
 
 @query("s4_export_csv", E_ + f"SELECT {ESC('c0')} || ',' || {ESC('c1')} || ',' || {ESC('(' + CELL('lat', 'lat_raw') + ')')} || ',' || {ESC('(' + CELL('lon', 'lon_raw') + ')')} || ',' || {ESC('notes')} AS value FROM visible UNION ALL SELECT 'Type,Detail,Latitude (DD),Longitude (DD),Notes'")
 def s4(spark, d):
-    path = f"{jobs.shared_folder(spark)}/csv-{jobs.unique()}"
+    path = f"{shared.shared_folder(spark)}/csv-{shared.unique()}"
     csv.export_csv(fx.event_rows(spark, d), fx.event_files(spark, d), COLS, path, notes_on=True)
     return spark.read.option("lineSep", "\r\n").text(path)
 
@@ -256,7 +264,7 @@ def r2(spark, d):
 @query("r5_rescan_merge", P + "SELECT file_id, page_num, lat_micro, lon_micro, CASE WHEN k%7<>0 THEN CASE WHEN k%4=1 THEN 'edited' ELSE '' END ELSE '' END AS c0 FROM planted WHERE o_custkey%13<>0 AND k%7<>0 UNION ALL SELECT file_id, CAST(page_num+1 AS INTEGER), lat_micro, lon_micro, CASE WHEN k%4=1 THEN 'edited' ELSE '' END FROM planted WHERE o_custkey%13<>0 AND k%7=0 AND n_pages=2 AND style<>5 UNION ALL SELECT file_id, page_num, lat_micro, lon_micro, CASE WHEN k%4=1 THEN 'edited' ELSE '' END FROM planted WHERE o_custkey%13=0")
 def r5(spark, d):
     pages, files = fx.planted_pages(spark, d), fx.planted_files(spark, d)
-    coords = extract.located(*extract.merge_cross_page(extract.extract_coordinates(pages), extract.extract_cross_page(pages), fx.no_places(spark)))
+    coords = extract.scan_coordinates(pages, files, fx.no_places(spark))
     table = rows.as_table_rows(extract.fresh_rows(coords), files)
     planted = fx._planted(spark, d).where("k % 4 = 1").select("file_id", "page_num", F.lit(True).alias("hit"))
     table = table.join(planted, ["file_id", "page_num"], "left").withColumn("cells", F.when(F.col("hit"), F.array(F.lit("edited"), F.lit(""))).otherwise(F.col("cells"))).drop("hit")
@@ -569,7 +577,7 @@ def s1(spark, d):
 
 @query("s6_s7_projects", E_ + "SELECT 'p1' AS project, row_id, c0, '' AS c2 FROM erows")
 def s6(spark, d):
-    base = f"{jobs.shared_folder(spark)}/projects-{jobs.unique()}"
+    base = f"{shared.shared_folder(spark)}/projects-{shared.unique()}"
     tables = {"files": fx.event_files(spark, d), "rows": fx.event_rows(spark, d), "dets": _event_dets(spark, d), "suppressed": fx.planted_suppressed(spark, d)}
     for p in ("p1", "p2"):
         project.save_project(tables, base, p, f"Project {p}", ["Type", "Detail", "More"])
@@ -581,7 +589,7 @@ def s6(spark, d):
 
 @query("x1_scan_stream", P + "SELECT file_id, page_num, lat_micro, lon_micro FROM planted")
 def x1(spark, d):
-    base = f"{jobs.shared_folder(spark)}/stream-{jobs.unique()}"
+    base = f"{shared.shared_folder(spark)}/stream-{shared.unique()}"
     fx.planted_pages(spark, d).repartition(4, "file_id").write.parquet(f"{base}/in")
     scan_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", fx.no_places(spark)).awaitTermination()
     got = spark.read.parquet(f"{base}/out/rows")
