@@ -48,7 +48,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without the words of passages that occur more than once. Unchanged texts stay as they
     are; documents that lose all their words go; n_chars follows the text."""
     docs = _columns(docs)
-    out = substring_dedup(docs, carry=("text", "lang", "source", "n_chars"))
+    out = substring_dedup(docs, carry=("lang", "source", "n_chars"))
     changed = F.col("n_removed") > 0
     return out.where(~changed | (F.col("kept_text") != "")).select(
         "doc_id",

@@ -167,36 +167,45 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
         counts, removed, texts = [], [], []
-        for text, ranges in zip(block.column("text").to_pylist(), block.column("ranges").to_pylist(), strict=True):
+        for text, key, id_, ranges in zip(*(block.column(c).to_pylist() for c in ("text", "key", "id", "ranges")), strict=True):
             words = text.encode().split()
             counts.append(len(words))
-            if ranges:
+            own = [r for r in ranges or () if r["id"] == id_ and r["key"] == key]
+            if own:
                 keep = np.ones(len(words), bool)
-                for r in ranges:
+                for r in own:
                     keep[r["start"] : r["stop"]] = False
                 words = [words[i] for i in np.flatnonzero(keep)]
             removed.append(counts[-1] - len(words))
             texts.append(b" ".join(words).decode())
+        kept = [c for c in block.schema.names if c not in ("key", "handle", "ranges")]
         yield pa.RecordBatch.from_arrays(
-            [block.column("id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), *(block.column(c) for c in block.schema.names if c.startswith("__"))],
-            names=["id", "n_words", "n_removed", "kept_text", *(c for c in block.schema.names if c.startswith("__"))],
+            [*(block.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
+            names=[*kept, "n_words", "n_removed", "kept_text"],
         )
 
 
 def repeated_ranges(texts: DataFrame, hot_rows: int = 4096) -> DataFrame:
-    """(key, id, ranges) of texts (key, id, text) that have words under repeated windows."""
-    rows = cut(texts.mapInArrow(_minimisers, "key binary, id long, n_words long, mins array<long>"))
+    """(handle, ranges) for texts (key, id, text, handle, ...) that have words under repeated windows.
+
+    A handle is only a hash of (key, id), so each range says whose it is; were two texts to share a handle,
+    each would send a few runs more. ``texts`` is shuffled once, by handle, for all its uses here and by a
+    caller that joins it with the result by handle.
+    """
+    narrow_ = texts.select("key", "id", "text")
+    rows = cut(narrow_.mapInArrow(_minimisers, "key binary, id long, n_words long, mins array<long>"))
     long_ = rows.where(f"n_words >= {WINDOW}")
     classes = long_.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "mins")).alias("x"))
     classes = cut(classes.select("key", "copies", "x.*"))
 
-    found = classes.select("key", "id", F.explode("mins").alias("m"))
-    often = found.groupBy("m").count().where("count > 1").select("m", (F.col("count") > hot_rows).alias("hot"))
-    wanted = found.distinct().join(often, "m").groupBy("key", "id").agg(F.collect_list(F.struct("m", "hot")).alias("wanted"))
-    runs = texts.join(wanted, ["key", "id"]).mapInArrow(
+    handle = F.xxhash64("key", "id").alias("handle")
+    often = classes.select(F.explode("mins").alias("m")).groupBy("m").count().where("count > 1")
+    often = often.select("m", (F.col("count") > hot_rows).alias("hot"))
+    found = classes.select(handle, F.explode(F.array_distinct("mins")).alias("m"))
+    wanted = cut(found.join(often, "m").groupBy("handle").agg(F.collect_list(F.struct("m", "hot")).alias("wanted")))
+    runs = texts.join(wanted, "handle").mapInArrow(
         _packed, "m long, hot boolean, key binary, id long, start long, words binary"
     )
-    runs = cut(runs)
     by_bucket = runs.where("not hot").drop("hot").repartition("m").sortWithinPartitions("m")
     cold = by_bucket.mapInArrow(_count_buckets, "key binary, id long, start long, stop long")
     windows = runs.where("hot").mapInArrow(_windows, "m long, h long, key binary, id long, start long")
@@ -208,28 +217,29 @@ def repeated_ranges(texts: DataFrame, hot_rows: int = 4096) -> DataFrame:
         .select("key", "id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"))
         .distinct()
     )
-    return cold.union(hot).union(copies).groupBy("key", "id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    return cold.union(hot).union(copies).groupBy(handle).agg(F.collect_list(F.struct("key", "id", "start", "stop")).alias("ranges"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text, and the columns ``carry``.
+    """One row per row of ``docs``: doc_id, text, n_words, n_removed, kept_text, and the columns ``carry``.
 
     Every word under a window of 35 words that also starts anywhere else is removed; kept words
     are joined by one space. Null and empty texts and texts of fewer than 35 words lose
-    nothing; equal texts of 35 words or more lose everything; a null id stays null; an
-    empty table gives an empty result.
+    nothing; equal texts of 35 words or more lose everything; a null id stays null, a null text
+    becomes empty; an empty table gives an empty result.
     """
     base = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         *(F.col(f"`{c}`").alias(f"__{c}") for c in carry),
-    ).withColumn("key", F.unhex(F.md5("text")))
-    ranges = repeated_ranges(base.select("key", "id", "text"), hot_rows)
-    joined = base.join(ranges, ["key", "id"], "left")
+    )
+    base = base.withColumn("key", F.unhex(F.md5("text"))).withColumn("handle", F.xxhash64("key", "id"))
+    joined = base.join(repeated_ranges(base, hot_rows), "handle", "left")
     kinds = "".join(f", `__{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    kept = joined.mapInArrow(_kept, "id long, n_words long, n_removed long, kept_text string" + kinds)
+    kept = joined.mapInArrow(_kept, f"id long, text string{kinds}, n_words long, n_removed long, kept_text string")
     return kept.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
+        "text",
         "n_words",
         "n_removed",
         "kept_text",
