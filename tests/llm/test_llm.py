@@ -460,3 +460,15 @@ def test_pipeline_small(spark):
         out = spark.createDataFrame(out.collect(), out.schema)
     json.dumps([r.asDict() for r in out.limit(1).collect()])
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_quality_of_long_texts_by_spans(monkeypatch):
+    from waymark.llm import quality
+
+    text = ("Plain words, 12 numbers; <b>marks</b> and $$$ " * 3000).encode() + "é ünd ".encode() * 500
+    model = quality.Mil()
+    x, owner = quality.passages([text])
+    whole = float(model.forward(x, owner)["score"][0])
+    assert abs(model.score_long(text) - whole) < 1e-6
+    monkeypatch.setattr(quality, "SPAN", 64 * quality.PASSAGE)
+    assert abs(model.score_long(text) - whole) < 1e-3

@@ -18,6 +18,8 @@ from .common import append, crc_mod, narrow
 from .words import Words
 
 PASSAGE = 512
+#: Longer texts are scored span by span, so that memory stays bounded; a multiple of PASSAGE.
+SPAN = 1 << 20
 _SINGLE = b" \n.,;:!?&$*%#|-_/\\<>()[]{}'\"@=+~^`"
 CLASSES = 6 + len(_SINGLE)
 EXTRA = 4
@@ -39,10 +41,10 @@ def _class_table() -> np.ndarray:
 _TABLE = _class_table()
 
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def passages(texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features (passages, FEATURES) of all texts and the text of each passage. An empty text is one
     passage of zeros."""
-    raw = [t.encode() for t in texts]
+    raw = [t if isinstance(t, bytes) else t.encode() for t in texts]
     words = Words(raw)
     data = np.frombuffer(words.data, np.uint8)
     sizes = np.fromiter((len(t) for t in raw), np.int64, len(raw))
@@ -96,7 +98,17 @@ class Mil:
         e = np.exp(s)
         a = e / np.add.reduceat(e, starts)[owner]
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
-        return {"h": h, "v": v, "u": u, "a": a, "z": z, "starts": starts, "score": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))}
+        return {"h": h, "v": v, "u": u, "e": e, "a": a, "z": z, "starts": starts, "score": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))}
+
+    def score_long(self, raw: bytes) -> float:
+        """The score of one text by spans of SPAN bytes; words are cut where a span ends."""
+        top, total = np.zeros(len(self.p["c"])), 0.0
+        for at in range(0, len(raw), SPAN):
+            f = self.forward(*passages([raw[at : at + SPAN]]))
+            weight = float(f["e"].sum(dtype=np.float64))
+            top += weight * f["z"][0]
+            total += weight
+        return float(1 / (1 + np.exp(-np.clip(top / total @ self.p["c"] + self.p["d"][0], -30, 30))))
 
     def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.01, decay: float = 1e-3) -> Mil:
         p = self.p
@@ -144,13 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, id_col: str =
 
 def score(docs: DataFrame, model: Mil, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1, higher where label 1 is likelier. Null and empty texts are
-    scored as a bag of one empty passage."""
+    scored as a bag of one empty passage. Attention sums run over all passages of a text of any length."""
 
     def compute(texts: pa.Array) -> list[pa.Array]:
+        if len(texts) == 1 and len(raw := texts[0].as_py().encode()) > SPAN:
+            return [pa.array([model.score_long(raw)])]
         x, owner = passages(texts.to_pylist())
         return [pa.array(model.forward(x, owner)["score"].astype(np.float64))]
 
-    return append(docs, {name: pa.float64()}, compute, text_col, limit=1 << 20)
+    return append(docs, {name: pa.float64()}, compute, text_col, limit=SPAN)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
