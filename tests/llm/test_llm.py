@@ -472,3 +472,9 @@ def test_quality_of_long_texts_by_spans(monkeypatch):
     assert abs(model.score_long(text) - whole) < 1e-6
     monkeypatch.setattr(quality, "SPAN", 64 * quality.PASSAGE)
     assert abs(model.score_long(text) - whole) < 1e-3
+
+
+def test_deeply_nested_page():
+    root = parse("<div>" * 5000 + "x" + "</div>" * 5000 + "<p>y</p>")
+    assert html.main_text(root, set()) == "x y"
+    assert len(list(html.align(root, html.skeleton(root)))) == 5002
