@@ -110,8 +110,12 @@ class Mil:
             total += weight
         return float(1 / (1 + np.exp(-np.clip(top / total @ self.p["c"] + self.p["d"][0], -30, 30))))
 
-    def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.01, decay: float = 1e-3) -> Mil:
-        p = self.p
+    def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, columns: np.ndarray | None = None, steps: int = 250, rate: float = 0.01, decay: float = 1e-3) -> Mil:
+        """Learn from passages ``x`` of the bags in ``owner``. With ``columns``, ``x`` has only these
+        features; the others are zero in every passage, so their weights just decay."""
+        p, encoder = self.p, self.p["E"]
+        if columns is not None:
+            p["E"] = encoder[columns]
         m = {k: [np.zeros_like(w), np.zeros_like(w)] for k, w in p.items()}
         for step in range(1, steps + 1):
             f = self.forward(x, owner)
@@ -128,6 +132,9 @@ class Mil:
                 m[k][0] = 0.9 * m[k][0] + 0.1 * g
                 m[k][1] = 0.999 * m[k][1] + 0.001 * g * g
                 p[k] -= (rate * (m[k][0] / (1 - 0.9**step) / (np.sqrt(m[k][1] / (1 - 0.999**step)) + 1e-8) + decay * p[k])).astype(np.float32)
+        if columns is not None:
+            learned, p["E"] = p["E"], encoder * np.float32((1 - rate * decay) ** steps)
+            p["E"][columns] = learned
         return self
 
 
@@ -142,16 +149,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, id_col: str =
     def encode(batches):
         for pdf in batches:
             x, owner = passages(pdf["text"].tolist())
-            cuts = np.searchsorted(owner, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": [x[a:b].astype(np.float16).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
-
-    got = sorted(picked.mapInPandas(encode, "id long, y int, x binary").collect(), key=lambda r: (r["id"], r["x"]))
+            passage, column = np.nonzero(x)
+            value, cuts = x[passage, column].astype(np.float16), np.searchsorted(owner, np.arange(len(pdf) + 1))
+            nth = (passage - cuts[owner[passage]]).astype(np.uint32)
+            ends = np.searchsorted(passage, cuts)
+            parts = [slice(i, j) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pd.DataFrame(
+                {"id": pdf["id"], "y": pdf["y"], "n": np.diff(cuts)}
+                | {k: [v[p].tobytes() for p in parts] for k, v in (("nth", nth), ("column", column.astype(np.uint16)), ("value", value))}
+            )
+
+    found = picked.mapInPandas(encode, "id long, y int, n int, nth binary, column binary, value binary")
+    got = sorted(found.collect(), key=lambda r: (r["id"], r["column"], r["value"]))
     model = Mil()
     if not got:
         return model
-    bags = [np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in got]
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    return model.fit(np.concatenate(bags), owner, np.array([r["y"] for r in got], np.float32))
+    sizes = np.array([r["n"] for r in got])
+    first = np.cumsum(sizes) - sizes
+    passage = np.concatenate([np.frombuffer(r["nth"], np.uint32) + at for r, at in zip(got, first, strict=True)])
+    columns, place = np.unique(np.concatenate([np.frombuffer(r["column"], np.uint16) for r in got]), return_inverse=True)
+    x = np.zeros((sizes.sum(), len(columns)), np.float32)
+    x[passage, place] = np.concatenate([np.frombuffer(r["value"], np.float16) for r in got])
+    return model.fit(x, np.repeat(np.arange(len(got)), sizes), np.array([r["y"] for r in got], np.float32), columns.astype(np.int64))
 
 
 def score(docs: DataFrame, model: Mil, text_col: str = "text", name: str = "score") -> DataFrame:
