@@ -430,6 +430,33 @@ def test_blockwise_viterbi_equals_plain(spark):
     assert got == want
 
 
+def test_rows_of_one_turn_are_all_kept(spark, tmp_path):
+    from waymark.llm.queries import op7_chat
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"plain {c} {t} {words(6)}") for c in range(20) for t in range(6)]
+    odd = [(None, None, "user", "zulu nobody\nzulu2"), (None, None, "user", "alfa nobody\nalfa2\nalfa3"), (None, 0, "assistant", "mike nobody"), (3, 1, "assistant", "another answer\nwith a line"), (3, 1, "user", "another question")]
+    spark.createDataFrame([*rows, *odd, *odd[:2]], "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = op7_chat(spark, str(tmp_path)).select("conv_id", "turn", "text").collect()
+    said = {c: [line for r in sorted(out, key=lambda r: r.turn) if r.conv_id == c for line in r.text.split("\n") if line.strip()] for c in (None, 3)}
+    for c, lines in said.items():
+        # A marker that the model takes for text stays before its line.
+        want = sorted(line for x in {*rows, *odd} if x[0] == c for line in x[3].split("\n") if line)
+        assert len(lines) == len(want) and all(any(got.endswith(w) for got in lines) for w in want)
+
+
+def test_lines_are_numbered_across_ranges(spark):
+    rng = random.Random(8)
+    places = [(c, rng.randrange(40), str(i)) for c, n in ((7, 3000), (1, 5), (9, 700), (-4, 1)) for i in range(n)]
+    lines = spark.createDataFrame(places, "conv long, pos long, line string").repartition(6)
+    got = {}
+    for r in chat.numbered(lines, ("pos",)).collect():
+        got.setdefault(r.conv, []).append((r.at, r.pos, r.line))
+    assert sum(map(len, got.values())) == len(places)
+    for c, found in got.items():
+        found.sort()
+        assert [x[0] for x in found] == list(range(len(found))) and [x[1] for x in found] == sorted(p for k, p, _ in places if k == c)
+
+
 # Registration
 
 

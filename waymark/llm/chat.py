@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ MARKERS = {"user": "user|human|customer|question|q|me", "assistant": "assistant|
 _FRAME = r"^[\s>*#\[<(|]{0,4}(?:%s)[\s*\])|>]{0,3}[:>\])|][\s*>]*"
 N_OBSERVED = 15
 FANOUT = 64
+#: Columns of ``transcript_lines`` that give each line its place in its conversation.
+PLACE = ("turn", "row", "nth")
 
 
 def marker_pattern(role: str | None = None) -> str:
@@ -53,16 +56,53 @@ class Hmm:
         return self.transitions + self.emissions[None, :, observation]
 
 
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, n = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        conv = batch.column("conv").to_numpy()
+        first = np.concatenate([[0], np.flatnonzero(conv[1:] != conv[:-1]) + 1])
+        at = np.arange(len(conv)) - np.repeat(first, np.diff([*first, len(conv)]))
+        if conv[0] == last:
+            at[: first[1] if len(first) > 1 else len(conv)] += n
+        last, n = conv[-1], int(at[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "at"])
+
+
+def numbered(lines: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """``lines`` with ``at``: 0, 1, ... within each conv, by the columns ``order``, then by the line.
+
+    Lines are sorted in ranges over all conversations and counted within each; only the conversation that a range
+    begins with takes an offset from earlier ones. No task holds a conversation.
+    """
+    tie = F.xxhash64("line")
+    ranges = lines.repartitionByRange("conv", *order, tie).sortWithinPartitions("conv", *order, tie, "line")
+    schema = f"{', '.join(f'`{n}` {t}' for n, t in ranges.dtypes)}, at long"
+    counted = cut(ranges.mapInArrow(_count_runs, schema).withColumn("part", F.spark_partition_id()))
+    ends = counted.groupBy("part").agg(F.min("conv").alias("first"), F.max(F.struct("conv", "at")).alias("last")).orderBy("part").collect()
+    open_, n, more = None, 0, []
+    for r in ends:
+        n = n if r["first"] == open_ else 0
+        if n:
+            more.append((r["part"], r["first"], n))
+        n = r["last"]["at"] + 1 + (n if r["last"]["conv"] == r["first"] else 0)
+        open_ = r["last"]["conv"]
+    offsets = lines.sparkSession.createDataFrame(more, "part int, conv long, more long")
+    return counted.join(F.broadcast(offsets), ["part", "conv"], "left").withColumn("at", F.col("at") + F.coalesce("more", F.lit(0))).drop("part", "more")
+
+
 def train(lines: DataFrame, sample: int = 2000) -> Hmm:
-    """From labelled lines (conv, pos, line, role, begins): those of at most ``sample`` conversations with the
+    """From labelled lines (conv, turn, row, nth, line, role, begins): those of at most ``sample`` conversations with the
     least hash of the id among those whose crc32(id as text) mod 5 is not 0, first 64 turns of each."""
     convs = lines.where(~crc_mod("conv", 5).isin(0, -1)).select("conv").distinct()
     convs = convs.orderBy(F.xxhash64("conv"), "conv").limit(sample)
     rows = lines.join(F.broadcast(convs), "conv").where(F.col("turn") < 64)
     index = sum((F.when(F.col("role") == r, 2 * i).otherwise(0) for i, r in enumerate(ROLES)), F.lit(0))
-    rows = rows.where(F.col("role").isin(ROLES)).select("conv", "pos", (index + F.when(F.col("begins"), 0).otherwise(1)).alias("s"), observed(F.col("line")).alias("o"))
-    before = F.coalesce(F.lag("s").over(Window.partitionBy("conv").orderBy("pos")), F.lit(BEFORE))
-    counts = rows.withColumn("b", before).groupBy("b", "s", "o").count().collect()
+    rows = rows.where(F.col("role").isin(ROLES)).select("conv", *PLACE, "line", (index + F.when(F.col("begins"), 0).otherwise(1)).alias("s"), observed(F.col("line")).alias("o"))
+    rows = numbered(rows, PLACE).select("conv", "at", "s", "o")
+    before = rows.select("conv", (F.col("at") + 1).alias("at"), F.col("s").alias("b"))
+    counts = rows.join(before, ["conv", "at"], "left").fillna(BEFORE, "b").groupBy("b", "s", "o").count().collect()
     trans, emit = np.full((N_STATES, N_STATES), 0.1), np.full((N_STATES, N_OBSERVED), 0.1)
     for r in counts:
         trans[r["b"], r["s"]] += r["count"]
@@ -136,12 +176,13 @@ def viterbi(lines: DataFrame, model: Hmm, span: int = 256) -> DataFrame:
     return settled.select("conv", F.col("up").alias("pos"), F.col("leave").alias("state"))
 
 
-def parse_transcripts(lines: DataFrame, model: Hmm, span: int = 256) -> DataFrame:
-    """Turns (conv_id, start, role, n_lines, text, rendered) of transcript lines (conv, pos, line), pos rising
-    with the order of lines; ``span`` positions are a block. A null conversation id is one conversation of its
-    own; a null line is blank; lines of equal pos are one line's repeats and are decoded once."""
-    source = lines.select(F.coalesce("conv", F.lit(NO_ID)).alias("conv"), F.col("pos").cast("long"), F.coalesce("line", F.lit("")).alias("line"))
-    source = source.groupBy("conv", "pos").agg(F.min("line").alias("line"))
+def parse_transcripts(lines: DataFrame, model: Hmm, span: int = 256, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Turns (conv_id, start, role, n_lines, text, rendered) of transcript lines (conv, *order, line) in the order
+    of the columns ``order``, then of the lines themselves; ``start`` is the first of these columns at the turn's
+    first line, and ``span`` lines are a block. A null conversation id is one conversation of its own; a null line
+    is blank; lines equal in every column are one line's repeats and are decoded once, all others are kept."""
+    source = lines.select(F.coalesce("conv", F.lit(NO_ID)).alias("conv"), *order, F.coalesce("line", F.lit("")).alias("line")).distinct()
+    source = numbered(source, order).select("conv", F.col("at").alias("pos"), F.col(order[0]).alias("first"), "line")
     states = viterbi(source.withColumn("o", observed(F.col("line"))), model, span)
     joined = source.join(states, ["conv", "pos"]).withColumn("block", F.expr(f"pos div {span}"))
     begin = F.when(F.col("state") % 2 == 0, F.col("pos"))
@@ -154,10 +195,10 @@ def parse_transcripts(lines: DataFrame, model: Hmm, span: int = 256) -> DataFram
     placed = placed.withColumn("start", F.coalesce("own", "before"))
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.min(F.struct("pos", "state"))["state"] / 2).cast("int") + 1)
     turns = placed.groupBy("conv", "start").agg(
-        role.alias("role"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("raw")
+        F.min(F.struct("pos", "first"))["first"].alias("first"), role.alias("role"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("raw")
     )
     text = F.regexp_replace(F.regexp_replace("raw", marker_pattern(), ""), r"^\s+|\s+$", "")
-    return turns.select(F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), "start", "role", "n_lines", text.alias("text")).withColumn(
+    return turns.select(F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), F.col("first").alias("start"), "role", "n_lines", text.alias("text")).withColumn(
         "rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
     )
 
@@ -165,9 +206,16 @@ def parse_transcripts(lines: DataFrame, model: Hmm, span: int = 256) -> DataFram
 def transcript_lines(conversations: DataFrame) -> DataFrame:
     """Raw transcripts of a table of turns (conv_id, turn, role, text): lines (conv, pos, line), with what is
     known of them (turn, role, begins). Each conversation has one of six ways of marking speakers; one turn in
-    eight has no marker, only a blank line before it."""
+    eight has no marker, only a blank line before it.
+
+    Only rows equal in every column count once. (turn, row, nth) places a line: different rows of one turn follow
+    each other by role and a digest of their text. pos, which is turn * 2^20 + nth, places it only where no
+    conversation repeats a turn and none has over 2^20 lines. A null turn is turn 0.
+    """
+    conversations = conversations.select("conv_id", "turn", "role", "text").distinct()
+    row = F.concat_ws("/", F.coalesce(F.lower("role"), F.lit("")), F.md5(F.to_json(F.struct("conv_id", "turn", "role", "text"))))
     conv, turn = F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.col("turn").cast("long"), F.lit(0))
-    c = conversations.select(conv.alias("conv"), turn.alias("turn"), F.lower("role").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    c = conversations.select(conv.alias("conv"), turn.alias("turn"), F.lower("role").alias("role"), F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
     style = F.crc32(F.col("conv").cast("string")) % 6
     bare = F.crc32(F.concat_ws("/", "conv", "turn")) % 8 == 0
     name = {
@@ -182,4 +230,4 @@ def transcript_lines(conversations: DataFrame) -> DataFrame:
     for k, v in name.items():
         marker = marker.when(style == k, v)
     lines = F.posexplode(F.split(F.concat(F.coalesce(marker, F.lit("")), "text"), "\n")).alias("nth", "line")
-    return c.select("conv", "turn", "role", lines).select("conv", "turn", "role", "line", (F.col("turn") * (1 << 20) + F.col("nth")).alias("pos"), (F.col("nth") == 0).alias("begins"))
+    return c.select("conv", "turn", "row", "role", lines).select("conv", *PLACE, "role", "line", (F.col("turn") * (1 << 20) + F.col("nth")).alias("pos"), (F.col("nth") == 0).alias("begins"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
-from .chat import parse_transcripts, train, transcript_lines
+from .chat import PLACE, parse_transcripts, train, transcript_lines
 from .common import table
 from .fingerprint import document_fingerprints
 from .html import extract_main_text
@@ -75,8 +75,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = transcript_lines(table(spark, sf_dir, "conversations"))
-    turns = parse_transcripts(lines.select("conv", "pos", "line"), train(lines), span=64 << 20)
-    return turns.select("conv_id", (F.col("start") / (1 << 20)).cast("long").alias("turn"), "role", "n_lines", "text", "rendered")
+    turns = parse_transcripts(lines.select("conv", *PLACE, "line"), train(lines), order=PLACE)
+    return turns.select("conv_id", F.col("start").alias("turn"), "role", "n_lines", "text", "rendered")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
