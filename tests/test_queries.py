@@ -43,6 +43,15 @@ def test_query(spark, duck, name):
     assert ours == theirs
 
 
+@needs_data
+def test_flagship_has_coordinates_across_breaks(spark, duck):
+    import __spark_entry__ as entry
+
+    want = duck.execute(f"{q.P} SELECT p.file_id, p.page_num FROM planted p JOIN pfiles f USING (file_id) WHERE NOT f.hidden AND n_pages = 2").fetchall()
+    got = {(r.file_id, r.page_num) for r in entry.entry(spark).collect()}
+    assert want and got.issuperset(want)
+
+
 def test_csv_bytes(spark, tmp_path):
     files = spark.createDataFrame([("a", 1, False)], "file_id string, file_seq long, hidden boolean")
     data = [("r1", "a", ["x,1", 'q"\n'], 41.5, None, None, "bad, one")]

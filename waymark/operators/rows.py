@@ -257,5 +257,9 @@ def set_file_net(files: DataFrame, ids: list[str], level: int | None) -> DataFra
 
 
 def location_keys(pairs: DataFrame) -> DataFrame:
-    """(file_id, page_num, half, start) of every half: what stays the same when a page is scanned again."""
+    """(file_id, page_num, half, start) of every half: what stays the same when a page is scanned again. Of located
+    coordinates it is the first segment of each half, which may lie on another page."""
+    if "lat_segs" in pairs.columns:
+        both = F.array(*(F.struct(F.lit(h).alias("half"), F.get(f"{h}_segs", F.lit(0)).alias("at")) for h in ("lat", "lon")))
+        return pairs.select("file_id", F.inline(both)).where("at is not null").select("file_id", "at.page_num", "half", "at.start")
     return halves(pairs).select(*LOC_KEY)

@@ -142,6 +142,44 @@ def w1(spark, d):
     return _values(rows.visible_rows(pairs, files)).select("file_id", "page_num", "lat_micro", "lon_micro")
 
 
+# The same over all planted pages, pairs across page breaks and lone halves included
+
+
+def _scanned(spark, d, suppressed=None):
+    return extract.scan_coordinates(fx.planted_pages(spark, d), fx.planted_files(spark, d), fx.no_places(spark) if suppressed is None else suppressed)
+
+
+#: Ranges of both halves; the second page of a broken coordinate begins with its longitude.
+HALVES = "halves AS (SELECT *, 'lat' AS half, page_num AS pg, lat_start AS s, lat_end AS e, lat_text AS raw FROM ranges UNION ALL SELECT *, 'lon', CAST(page_num + n_pages - 1 AS INTEGER), CASE WHEN n_pages=2 THEN 0 ELSE lon_start END, CASE WHEN n_pages=2 THEN length(lon_text) + CASE WHEN style=5 THEN 1 ELSE 0 END ELSE lon_end END, lon_text FROM ranges)"
+H_ = f"WITH {fx.PLANTED_SQL}, {HALVES} "
+
+
+@query("e3_judge_tokens_all_pages", H_ + "SELECT file_id, pg AS page_num, CASE WHEN half='lat' THEN lat_micro ELSE lon_micro END AS micro, half AS axis, CASE WHEN style=5 THEN 'medium' ELSE 'strong' END AS strength, style<4 AS is_dms FROM halves")
+def e3_all(spark, d):
+    t = extract.find_tokens(fx.planted_pages(spark, d))
+    return t.select("file_id", "page_num", fx.micro(F.col("token.dd")).alias("micro"), "token.axis", "token.strength", "token.is_dms")
+
+
+@query("e10_build_detections_all_pages", H_ + "SELECT file_id, pg AS page_num, half, s AS start, e AS \"end\", raw FROM halves")
+def e10_all(spark, d):
+    return extract.build_detections(_scanned(spark, d)).select("file_id", "page_num", "half", "start", "end", "raw")
+
+
+@query("r3_location_keys_all_pages", H_ + "SELECT file_id, pg AS page_num, half, s AS start FROM halves")
+def r3_all(spark, d):
+    return rows.location_keys(_scanned(spark, d))
+
+
+@query("r4_drop_suppressed_all_pages", P + "SELECT file_id, page_num, lat_micro, lon_micro FROM planted WHERE k%7<>0 UNION ALL SELECT file_id, CAST(page_num + 1 AS INTEGER), NULL, lon_micro FROM planted WHERE k%7=0 AND n_pages=2 AND style<>5")
+def r4_all(spark, d):
+    return _values(_scanned(spark, d, fx.planted_suppressed(spark, d))).select("file_id", "page_num", "lat_micro", "lon_micro")
+
+
+@query("w1_entry_table_all_pages", P + "SELECT p.file_id, p.page_num, p.lat_micro, p.lon_micro FROM planted p JOIN pfiles f USING (file_id) WHERE NOT f.hidden")
+def w1_all(spark, d):
+    return _values(rows.visible_rows(_scanned(spark, d), fx.planted_files(spark, d))).select("file_id", "page_num", "lat_micro", "lon_micro")
+
+
 # Page text
 
 
@@ -452,6 +490,12 @@ def l2(spark, d):
     return assist.pages_to_send(pages, rows.location_keys(pairs)).select("file_id", "page_num")
 
 
+@query("l2_pages_to_send_all_pages", P + "SELECT file_id, CAST(page_num + i AS INTEGER) AS page_num FROM planted, range(0, 2) t(i) WHERE i < n_pages AND (k%7<>0 OR i=1 AND style<>5)")
+def l2_all(spark, d):
+    found = rows.location_keys(_scanned(spark, d, fx.planted_suppressed(spark, d)))
+    return assist.pages_to_send(fx.planted_pages(spark, d), found).select("file_id", "page_num")
+
+
 _TASKS = assist.Tasks(cols=["Type", "Detail"])
 _HEAD = "CSV rows (id | row # | Type | Detail | latitude | longitude | source):"
 
@@ -612,3 +656,12 @@ def w3(spark, d):
     tables = {"pages": pages, "files": files, "rows": rows.as_table_rows(extract.fresh_rows(coords), files), "dets": extract.build_detections(coords), "suppressed": fx.no_places(spark)}
     out = jobs.assist_job(tables, assist.Tasks(verify=True, genus=True), reviewer)["rows"]
     return out.select("file_id", "page_num", "llm.verdict", col.cell(0).alias("c0"), F.col("llm_sent").isNotNull().alias("sent"))
+
+
+@query("w3_assist_job_all_pages", SQL["w3_assist_job"].removesuffix(" WHERE n_pages=1"))
+def w3_all(spark, d):
+    pages, files = fx.planted_pages(spark, d), fx.planted_files(spark, d)
+    coords = _scanned(spark, d)
+    tables = {"pages": pages, "files": files, "rows": rows.as_table_rows(extract.fresh_rows(coords), files), "dets": extract.build_detections(coords), "suppressed": fx.no_places(spark)}
+    out = jobs.assist_job(tables, assist.Tasks(verify=True, genus=True), reviewer)["rows"]
+    return out.select("file_id", "page_num", "llm.verdict", col.cell(0).alias("c0"), F.col("llm_sent").isNotNull().alias("sent"))
