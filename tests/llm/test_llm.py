@@ -399,6 +399,13 @@ def test_template_text_goes(spark):
     assert all(out[100 + i] == "the same story" for i in range(30))
 
 
+def test_copies_with_their_own_surroundings_keep_their_text(spark):
+    made = lambda i, head, story: f"<script>track({i})</script><nav>menu {i}</nav><article><h1>{head}</h1><!-- ad {i} --><div class='ad'>buy {i}</div><p>{story}</p></article>"
+    rows = [(i, f"http://c.example/{i}", made(i, "one head", "one story") if i < 40 else made(i, f"head {i}", f"story {i}")) for i in range(50)]
+    out = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == ("one head one story" if i < 40 else f"head {i} story {i}") for i in range(50))
+
+
 def test_tree_matching():
     a, b = (html.skeleton(parse(s)) for s in ("<ul><li>1<li>2</ul><p>x</p><b>y</b>", "<ul><li>1</ul><i>q</i><b>y</b>"))
     assert html.matching(a, b)[0] == 4 and html.matching(a, a)[0] == 5

@@ -240,8 +240,9 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "html"):
         rows: tuple[list, ...] = ([], [], [], [])
         for host, source, template in zip(*(block.column(c).to_pylist() for c in ("host", "html", "template")), strict=True):
-            page = xxhash.xxh3_64_intdigest(source) - (1 << 63)
-            for node, slot, repeated in align(parse(source), _template(templates, template)):
+            root = parse(source)
+            page = xxhash.xxh3_64_intdigest(main_text(root, set())) - (1 << 63)
+            for node, slot, repeated in align(root, _template(templates, template)):
                 if not repeated and (text := own_text(node)):
                     for to, x in zip(rows, (host, slot, xxhash.xxh3_64_intdigest(text) - (1 << 63), page), strict=True):
                         to.append(x)
@@ -287,8 +288,9 @@ def extract_main_text(pages: DataFrame, constant_share: float = 0.8, least_pages
 
     A null html is empty; a null url has the empty host. A slot is constant for a host if one text
     fills it on at least ``constant_share`` of the host's different pages that have it, of which there must be
-    ``least_pages`` at least; repeated slots (lists, paragraphs) never are. Equal pages count once, so
-    copies do not turn an article into a template. Templates are broadcast only if all of them together
+    ``least_pages`` at least; repeated slots (lists, paragraphs) never are. Pages of equal text outside
+    their asides count once, whatever their scripts, comments, menus and adverts, so copies do not turn an article
+    into a template; copies that differ in a word of it count apart. Templates are broadcast only if all of them together
     take no more than ``broadcast_bytes``; else they are joined by host.
     """
     from .common import cut
