@@ -84,6 +84,15 @@ def test_best_fit_takes_tightest(spark):
     assert [tree.take(n) for n in (6, 6, 6, 6, 1)] == [(9, 109), (9, 109), (40, 140), None, (5, 105)]
 
 
+def test_group_count_follows_pieces_of_long_texts(spark):
+    from waymark.llm import queries
+
+    docs = spark.createDataFrame([(1, "9 a" * 30_000), (2, None), (3, "")], "doc_id long, text string")
+    pieces = packing.token_pieces(docs, queries._vocabulary("byte_bpe_50k.tiktoken"), queries._pattern()).count()
+    assert 2 * docs.count() < pieces <= queries.most_pieces(docs)
+    assert queries.most_pieces(docs.limit(0)) == 0
+
+
 def test_packing_empty(spark):
     pieces = packing.token_pieces(empty(spark), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
     assert packing.pack(pieces, 0).count() == 0

@@ -30,11 +30,17 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def most_pieces(docs: DataFrame) -> int:
+    """At least the number of pieces of 1024 tokens: a document has no more tokens than bytes, plus one."""
+    n = F.count("*") + F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)) / 1024
+    return int(docs.agg(F.ceil(n)).first()[0])
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Pieces of all documents in windows of 1024 tokens, with a checksum of their ids."""
     pieces = token_pieces(docs, _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(digests, 2 * docs.count()).select(
+    return pack(digests, most_pieces(docs)).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 
