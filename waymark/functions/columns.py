@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,13 +23,20 @@ def one_word(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(c, rf"[^{WHITE}]+", 0), F.lit(""))
 
 
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(value)`` with the value computed once, however often it is used; nested uses would else multiply."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def to_fixed(c: Column, digits: int) -> Column:
     """The exact value with ``digits`` decimals, ties away from zero."""
-    x = c.cast("double") + F.lit(0.0)
-    doubled = x * (1 << (digits + 1))
-    odd = (doubled == F.floor(doubled)) & (F.abs(doubled) < 2**53) & (F.pmod(doubled.cast("long"), F.lit(2)) == 1)
-    nudged = F.when(odd, x + F.signum(x) * (10.0 ** -(digits + 1))).otherwise(x)
-    return F.replace(F.format_number(nudged, digits), F.lit(","), F.lit(""))
+
+    def fixed(x: Column) -> Column:
+        doubled = x * (1 << (digits + 1))
+        odd = (doubled == F.floor(doubled)) & (F.abs(doubled) < 2**53) & (F.pmod(doubled.cast("long"), F.lit(2)) == 1)
+        return F.format_number(F.when(odd, x + F.signum(x) * (10.0 ** -(digits + 1))).otherwise(x), digits)
+
+    return F.replace(let(c.cast("double") + F.lit(0.0), fixed), F.lit(","), F.lit(""))
 
 
 def format_dd(c: Column) -> Column:
@@ -38,22 +47,24 @@ def format_dd(c: Column) -> Column:
 
 def format_dms(c: Column, axis: str) -> Column:
     """Degrees, minutes and seconds of two decimals, with the hemisphere's letter; '' for null."""
-    size = F.abs(c)
-    whole = F.floor(size)
-    minutes = (size - whole) * 60
-    full = F.floor(minutes)
-    seconds = (minutes - full) * 60
-    over = to_fixed(seconds, 2).cast("double") >= 60
-    seconds = F.when(over, 0.0).otherwise(seconds)
-    full = full + F.when(over, 1).otherwise(0)
-    whole, full = whole + F.when(full >= 60, 1).otherwise(0), F.when(full >= 60, 0).otherwise(full)
-    text = F.regexp_replace(F.regexp_replace(to_fixed(seconds, 2), r"\.00$", ""), r"(\.\d)0$", "$1")
-
-    def padded(s: Column) -> Column:
-        return F.when(F.length(s) < 2, F.concat(F.lit("0"), s)).otherwise(s)
+    pad = lambda s: F.lpad(s, F.greatest(F.length(s), F.lit(2)), F.lit("0"))
+
+    def parts(size: Column) -> Column:
+        minutes = (size - F.floor(size)) * 60
+        return F.struct(F.floor(size).alias("d"), F.floor(minutes).alias("m"), ((minutes - F.floor(minutes)) * 60).alias("s"))
+
+    def carried(p: Column) -> Column:
+        """Seconds that round to 60 are a minute more, and 60 minutes a degree more."""
+        over = to_fixed(p["s"], 2).cast("double") >= 60
+        m = p["m"] + over.cast("int")
+        return F.struct((p["d"] + (m >= 60).cast("int")).alias("d"), F.when(m >= 60, 0).otherwise(m).alias("m"), to_fixed(F.when(over, 0.0).otherwise(p["s"]), 2).alias("s"))
+
+    def written(p: Column) -> Column:
+        seconds = F.regexp_replace(F.regexp_replace(p["s"], r"\.00$", ""), r"(\.\d)0$", "$1")
+        return F.concat(p["d"].cast("string"), F.lit("°"), pad(p["m"].cast("string")), F.lit("'"), let(seconds, pad), F.lit('"'))
 
     hemi = F.when(c < 0, "W" if axis == "lon" else "S").otherwise("E" if axis == "lon" else "N")
-    made = F.concat(whole.cast("string"), F.lit("°"), padded(full.cast("string")), F.lit("'"), padded(text), F.lit('"'), hemi)
+    made = F.concat(let(let(let(F.abs(c), parts), carried), written), hemi)
     return F.when(c.isNull() | F.isnan(c), "").otherwise(made)
 
 
