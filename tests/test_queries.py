@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from waymark import queries as q
 from waymark.functions import columns as col
-from waymark.operators import extract, rows
-from waymark.sources import csv
+from waymark.operators import assist, extract, rows
+from waymark.sources import corpus, csv, shared
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -99,3 +99,78 @@ def test_duplicates_are_stable(spark):
     gone = rows.find_duplicates(df)
     assert {r.row_id for r in gone.collect()} == {f"r{i}" for i in range(3, 20, 2)}
     assert rows.find_duplicates(df.join(gone, "row_id", "left_anti")).count() == 0
+
+
+def test_folder_listing(spark, tmp_path):
+    for name in ("b/doc10.pdf", "b/doc9.PDF", "a.pdf", ".hidden/x.pdf", "b/.x.pdf", "c/d/e/f/deep.pdf", "c/d/e/f/g/deeper.pdf", "notes.txt"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"%PDF")
+    got = [(r.file_seq, r.name) for r in corpus.list_corpus(spark, str(tmp_path)).orderBy("file_seq").collect()]
+    assert got == [(1, "a.pdf"), (2, "doc9.PDF"), (3, "doc10.pdf"), (4, "deep.pdf")]
+    assert [r.name for r in corpus.list_corpus(spark, str(tmp_path), max_depth=None, max_files=2).orderBy("file_seq").collect()] == ["a.pdf", "doc9.PDF"]
+    many = spark.range(700).selectExpr("concat('n', id, '.pdf') as path")
+    assert corpus.files_of(many, "").agg(F.count("*"), F.max("file_seq"), F.max_by("name", "file_seq")).first() == (500, 500, "n499.pdf")
+
+
+def test_places_over_ranges(spark):
+    df = spark.range(5000).selectExpr("id * 7919 % 5000 as k", "id").repartition(7)
+    assert shared.numbered(df, "k", "id").where("num <> k + 1").count() == 0
+    assert shared.numbered(df.limit(0), "k").count() == 0
+
+
+def test_columns_are_renamed():
+    assert rows.rename_column(["A", "B", "C"], 1, "New") == ["A", "New", "C"] and rows.rename_column(["A"], 4, "x") == ["A"]
+
+
+@pytest.mark.parametrize("refusal", [401, 403])
+def test_refused_run_stops(spark, tmp_path, refusal):
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def transport(body):
+        (log / body).touch()
+        return (200, "{}") if int(body) <= 20 else (refusal, "no")
+
+    requests = spark.range(1, 101).selectExpr("id as request_seq", "cast(id as string) as body")
+    got = {r.request_seq: r.status for r in assist.call_in_slices(requests, transport, parallel=2, slice_size=10).collect()}
+    assert all(got[i] == 200 for i in range(1, 21)) and all(got[i] in (0, refusal) for i in range(21, 31)) and all(got[i] == 0 for i in range(31, 101))
+    assert {int(p.name) for p in log.iterdir()}.issubset(range(1, 31))
+
+
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [('```json\n[{"a": 1}]\n```', 1), ('see [{"a": "x]y"}, 2] and [3]', 1), ("none", 0), ("[{", 0), (None, 0), ('[{"a": 1}', 0), ('[bad] [{"a": 1}]', 0), ('[[{"a": 1}], {"b": "\\"]"}]', 1)],
+)
+def test_first_array_of_a_reply(text, n):
+    assert len(assist._array_in(text)) == n
+
+
+def test_formats_stay_small(spark):
+    """Nested formats share their parts, so that generated code stays within Java's bounds."""
+    plan = spark.range(3).select(col.format_dms(F.col("id").cast("double") / 7, "lat"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+
+
+def test_no_python_over_the_rows(spark):
+    data = [(f"r{i}", i, 1.5, None, None, None) for i in range(20)]
+    df = spark.createDataFrame(data, "row_id string, i int, lat double, lon double, lat_raw string, lon_raw string")
+    df = df.withColumn("row_seq", rows.row_seq(0, 0, 0, 0, F.col("i"))).withColumns({"cells": F.array(F.lit("a"), F.lit("b")), "notes": F.lit(""), "file_id": F.lit("f")})
+    filled = rows.fill_rows(df, df.select("row_id"), "lat", "2°W")
+    assert "Python" not in filled._jdf.queryExecution().executedPlan().toString()
+    assert {r.lat for r in filled.collect()} == {-2.0}
+    edits = spark.createDataFrame([("r1", "lat", "12°30'N"), ("r1", "0", "x"), ("r2", "lat", " "), ("r3", "lat", "what"), ("r4", "lon", "91"), ("r5", "notes", None)], "row_id string, column string, value string")
+    got = {r.row_id: r for r in rows.apply_edits(df, edits).collect()}
+    assert (got["r1"].lat, got["r1"].cells) == (12.5, ["x", "b"]) and got["r2"].lat is None and (got["r3"].lat, got["r3"].lat_raw) == (None, "what")
+    assert got["r4"].lon == 91 and got["r5"].notes == "" and got["r6"].lat == 1.5
+
+
+def test_cross_pairs_that_share_a_half(spark):
+    """A page with a lone latitude between two longitudes belongs to the earlier break."""
+    pages = [("f", p, t) for p, t in enumerate(['x 2°10\'26"E,', '41°24\'12"N,', '3°10\'26"E x', "none", 'x 41°24\'12"N,', '2°10\'26"E x'], 1)]
+    df = spark.createDataFrame(pages * 1, "file_id string, page_num int, text string")
+    files = spark.createDataFrame([("f", None)], "file_id string, intensity int")
+    none = spark.createDataFrame([], "file_id string, page_num int, half string, start int")
+    found, _ = extract.scan_corpus(df, files, none)
+    got = sorted((r.page_num, r.is_cross, r.lat and round(r.lat, 2), r.lon and round(r.lon, 2)) for r in found.collect())
+    assert got == [(2, 1, 41.4, 2.17), (3, 0, None, 3.17), (5, 1, 41.4, 2.17)]

@@ -58,6 +58,29 @@ def planted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("file_id", F.inline(F.when(F.col("n_pages") == 1, whole).otherwise(split)))
 
 
+def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, page_num, text): one file of two pages per order, with the break within the latitude, after its degrees."""
+    k = F.col("o_orderkey")
+    d = lambda c: c.cast("string")
+    lat = F.concat(d(k * 11 % 60), F.lit("'"), d(k * 7 % 60), F.lit('"'), F.when(k % 2 == 1, "S").otherwise("N"))
+    lon = F.concat(d(k * 53 % 180), F.lit("°"), d(k * 13 % 60), F.lit("'"), d(k * 17 % 60), F.lit('"'), F.when(F.expr("o_orderkey div 2 % 2") == 1, "W").otherwise("E"))
+    one = F.struct(F.lit(1).alias("page_num"), F.concat(F.lit(LEAD), d(k * 37 % 90), F.lit("°")).alias("text"))
+    two = F.struct(F.lit(2).alias("page_num"), F.concat(lat, F.lit(", "), lon, F.lit(REAR)).alias("text"))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), k).alias("file_id"), F.inline(F.array(one, two)))
+
+
+def planted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text items of the planted pages: one per word, ten units for each character, on one line."""
+    words = planted_pages(spark, sf_dir).select("file_id", "page_num", F.split("text", " ").alias("w"))
+    start = F.aggregate(F.slice("w", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    at = words.select("file_id", "page_num", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i")).withColumn("at", start)
+    word = F.element_at("w", F.col("i") + 1)
+    return at.select(
+        "file_id", "page_num", F.col("i").alias("item_seq"), word.alias("str"), F.lit(False).alias("has_eol"), (F.col("at") * 10).cast("double").alias("x"), F.lit(700.0).alias("y"),
+        (F.length(word) * 10).cast("double").alias("width"), F.lit(10.0).alias("height"),
+    )
+
+
 def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per customer with orders; every tenth is hidden, every 13th failed to be read."""
     c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(1)).cast("int").alias("num_pages"))

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import tokens as tk
 from ..sources.shared import written
@@ -54,23 +56,28 @@ def with_level(pages: DataFrame, files: DataFrame | None, level: int) -> DataFra
     return some.join(levels, "file_id", "left").withColumn("level", F.coalesce("level", F.lit(level)))
 
 
-def _record(t: tk.Token | None) -> dict | None:
-    return None if t is None else t._asdict()
+_ARROW_TOKEN = to_arrow_type(TOKEN)
 
 
-def _per_page(pages: DataFrame, schema: T.StructType, rows_of) -> DataFrame:
-    names = schema.names
+def _batch(keys: list[tuple], halves_: list[list[tk.Token | None]], schema: T.StructType) -> pa.RecordBatch:
+    """A batch of (file_id, page_num, index) and columns of tokens."""
+    columns = [pa.array([k[i] for k in keys], to_arrow_type(f.dataType)) for i, f in enumerate(schema.fields[:3])]
+    columns += [pa.array([None if t is None else t._asdict() for t in half], _ARROW_TOKEN) for half in halves_]
+    return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (f, p, i, *(_record(t) for t in found))
-                for f, p, text, level in zip(pdf["file_id"], pdf["page_num"], pdf["text"], pdf["level"], strict=True)
-                for i, found in enumerate(rows_of(text, level))
-            ]
-            yield pd.DataFrame(rows, columns=names)
+def _per_page(pages: DataFrame, schema: T.StructType, rows_of) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, halves_ = [], [[] for _ in schema.fields[3:]]
+            for f, p, text, level in zip(*(batch.column(c).to_pylist() for c in ("file_id", "page_num", "text", "level")), strict=True):
+                for i, found in enumerate(rows_of(text, level)):
+                    keys.append((f, p, i))
+                    for to, t in zip(halves_, found, strict=True):
+                        to.append(t)
+            yield _batch(keys, halves_, schema)
 
-    return pages.mapInPandas(run, schema)
+    return pages.mapInArrow(run, schema)
 
 
 def find_tokens(pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL) -> DataFrame:
@@ -83,15 +90,18 @@ def pair_tokens(tokens: DataFrame, pages: DataFrame, files: DataFrame | None = N
     found = tokens.groupBy("file_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("token_idx", "token"))).alias("tokens"))
     both = with_level(pages, files, level).join(found, ["file_id", "page_num"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for f, p, text, n, items in zip(pdf["file_id"], pdf["page_num"], pdf["text"], pdf["level"], pdf["tokens"], strict=True):
-                own = [tk.Token(**dict(x["token"])) for x in items]
-                rows += [(f, p, i, _record(a), _record(b)) for i, (a, b) in enumerate(tk.pair_tokens(own, text, n))]
-            yield pd.DataFrame(rows, columns=PAIRS.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lats, lons = [], [], []
+            for f, p, text, n, items in zip(*(batch.column(c).to_pylist() for c in ("file_id", "page_num", "text", "level", "tokens")), strict=True):
+                own = [tk.Token(**x["token"]) for x in items]
+                for i, (lat, lon) in enumerate(tk.pair_tokens(own, text, n)):
+                    keys.append((f, p, i))
+                    lats.append(lat)
+                    lons.append(lon)
+            yield _batch(keys, [lats, lons], PAIRS)
 
-    return both.mapInPandas(run, PAIRS)
+    return both.mapInArrow(run, PAIRS)
 
 
 def extract_coordinates(pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL) -> DataFrame:
@@ -155,12 +165,31 @@ def _first(half: str) -> list[Column]:
     return [seg["page_num"].alias(f"{half}_page"), seg["start"].alias(f"{half}_start"), seg["end"].alias(f"{half}_end")]
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of cross pairs in order of file and page, those whose tokens no earlier one of these has."""
+    file, held = None, set()
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("file_id", "lat_page", "lat_start", "lat_end", "lon_page", "lon_start", "lon_end"))
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (f, *spots) in enumerate(zip(*columns, strict=True)):
+            lat, lon = tuple(spots[:3]), tuple(spots[3:])
+            if f != file:
+                file, held = f, set()
+            # A pair lies on two neighbouring pages, so what lies before the former of them is over.
+            held = {x for x in held if x[0] >= min(lat[0], lon[0]) - 1}
+            if lat not in held and lon not in held:
+                held |= {lat, lon}
+                keep[i] = True
+        yield batch.select(["file_id", "page_num", "pair_idx"]).filter(pa.array(keep))
+
+
 def merge_cross_page(pairs: DataFrame, cross: DataFrame, suppressed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(page pairs, cross pairs) after merging.
 
     A cross pair is dropped if its first segments hold a token of a full pair (an earlier cross pair's
-    included) or lie at a suppressed location; otherwise the lone halves at them are absorbed. Cross pairs of
-    one file that share a token are settled in page order, on the few candidates only.
+    included) or lie at a suppressed location; otherwise the lone halves at them are absorbed. Only cross pairs
+    that share a token with another are settled in page order: they are sorted by file and page, and a pass over them
+    holds the tokens of the last pages alone, so neither many files nor a large one is a burden.
     """
     key = ["file_id", "page_num", "pair_idx"]
     firsts = cross.select(*key, *_first("lat"), *_first("lon"))
@@ -171,17 +200,12 @@ def merge_cross_page(pairs: DataFrame, cross: DataFrame, suppressed: DataFrame)
     hidden = spots.join(suppressed.withColumnRenamed("page_num", "at"), ["file_id", "at", "half", "start"], "left_semi").select(key)
     free = firsts.join(redundant.union(hidden).distinct(), key, "left_anti")
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: set = set()
-        keep = []
-        for r in pdf.sort_values(["page_num", "pair_idx"]).itertuples():
-            spots_ = {(r.lat_page, r.lat_start, r.lat_end), (r.lon_page, r.lon_start, r.lon_end)}
-            if not spots_ & held:
-                held |= spots_
-                keep.append((r.file_id, r.page_num, r.pair_idx))
-        return pd.DataFrame(keep, columns=key)
-
-    kept = free.groupBy("file_id").applyInPandas(settle, "file_id string, page_num int, pair_idx int")
+    place = ["file_id", "at", "start", "end"]
+    open_ = spots.join(free.select(key), key, "left_semi")
+    shared = open_.join(open_.groupBy(*place).count().where("count > 1").select(place), place, "left_semi").select(key).distinct()
+    contested = free.join(shared, key, "left_semi").repartition("file_id").sortWithinPartitions(*key)
+    settled = contested.mapInArrow(_settle, "file_id string, page_num int, pair_idx int")
+    kept = free.select(key).join(shared, key, "left_anti").union(settled)
     accepted = cross.join(kept, key, "left_semi")
     at = spots.join(kept, key, "left_semi").select("file_id", F.col("at").alias("page_num"), "start", "end").distinct()
     absorbed = halves(pairs.where("lat is null or lon is null")).join(at, ["file_id", "page_num", "start", "end"], "left_semi").select(key).distinct()

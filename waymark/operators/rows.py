@@ -7,12 +7,13 @@ without file_id was added by hand. row_seq is an order: a struct of (kept, file_
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tokens as tk
 from ..functions.columns import LOC_KEY, cell, cell_text, coord_part, has_coordinate, padded_cells, trim
+from ..sources.shared import numbered
 from .extract import halves
 
 LLM = "struct<verdict:string,note:string,lat:double,lon:double,del:boolean>"
@@ -111,39 +112,30 @@ def remove_duplicates(rows: DataFrame, dets: DataFrame, suppressed: DataFrame, f
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
-    """Rows with ``num``, their place from 1 on in the order of row_seq.
-
-    Rows are numbered within each file; the files' offsets, one small row each, are added. No task sees more
-    than one file's rows.
-    """
-    placed = rows.withColumns({"__k": F.col("row_seq.kept"), "__f": F.col("row_seq.file_seq")})
-    sizes = placed.groupBy("__k", "__f").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__k", "__f").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__k", "__f", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    within = F.row_number().over(Window.partitionBy("__k", "__f").orderBy("row_seq"))
-    return placed.withColumn("__w", within).join(offsets, ["__k", "__f"]).withColumn("num", F.col("__o") + F.col("__w")).drop("__k", "__f", "__o", "__w")
+    """Rows with ``num``, their place from 1 on in the order of row_seq. They are ordered in ranges, so neither many files
+    nor a large one comes into one task."""
+    return numbered(rows, "row_seq", "row_id")
 
 
 @F.pandas_udf(T.DoubleType())
 def _parse_lat(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: tk.parse_single(v, "lat")).astype("float64")
+    return values.map(lambda v: tk.parse_single(v, "lat"), na_action="ignore").astype("float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def _parse_lon(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: tk.parse_single(v, "lon")).astype("float64")
+    return values.map(lambda v: tk.parse_single(v, "lon"), na_action="ignore").astype("float64")
 
 
-def parse_single(c: Column, axis: str) -> Column:
-    """A typed value in decimal degrees, null where it is none or out of range. Plain numbers are cast; only
-    other texts reach Python."""
-    s = trim(c)
-    plain = F.regexp_like(s, F.lit(r"^[+-]?[0-9]{1,3}(\.[0-9]+)?$"))
-    value = s.cast("double")
-    fast = F.when(F.abs(value) <= (90 if axis == "lat" else 180), value)
-    slow = (_parse_lat if axis == "lat" else _parse_lon)(F.when(~plain & (s != ""), s))
-    slow = F.when(F.isnan(slow), F.lit(None)).otherwise(slow)
-    return F.when(plain, fast).otherwise(slow)
+def parse_single(rows: DataFrame, text: str, axis: str, name: str) -> DataFrame:
+    """Rows with ``name``, the typed value in the column ``text`` in decimal degrees, null where it is none or out of
+    range. Plain numbers are cast; only rows with other texts go through Python."""
+    s = trim(F.col(text))
+    other = F.coalesce((s != "") & ~F.regexp_like(s, F.lit(r"^[+-]?[0-9]{1,3}(\.[0-9]+)?$")), F.lit(False))
+    value = s.try_cast("double")
+    plain = rows.where(~other).withColumn(name, F.when(F.abs(value) <= (90 if axis == "lat" else 180), value))
+    read = (_parse_lat if axis == "lat" else _parse_lon)(s)
+    return plain.unionByName(rows.where(other).withColumn(name, F.when(~F.isnan(read), read)))
 
 
 def _set_cell(i: Column | int, value: Column) -> Column:
@@ -151,30 +143,35 @@ def _set_cell(i: Column | int, value: Column) -> Column:
     return F.transform("cells", lambda x, j: F.when(j == wanted, value).otherwise(x))
 
 
-def _written(rows: DataFrame, hit: Column, column: str, value: Column) -> DataFrame:
-    """Rows with ``value`` written to ``column`` ('notes', 'lat', 'lon', or a cell's number) where ``hit``."""
+def _changed(column: str, hit: Column, value: Column, number: Column) -> dict[str, Column]:
+    """The columns of rows after ``value`` was typed into ``column`` ('notes', 'lat', 'lon', or a cell's number) where
+    ``hit``; ``number`` is what a typed coordinate is read as."""
     if column in ("lat", "lon"):
         blank = trim(F.coalesce(value, F.lit(""))) == ""
-        number = parse_single(value, column)
-        done = rows.withColumn("__v", number)
-        return done.withColumns({
-            column: F.when(hit, F.when(blank, F.lit(None)).otherwise(F.col("__v"))).otherwise(F.col(column)),
-            f"{column}_raw": F.when(hit, F.when(blank | F.col("__v").isNotNull(), F.lit(None)).otherwise(value)).otherwise(F.col(f"{column}_raw")),
-        }).drop("__v")
+        return {
+            column: F.when(hit, F.when(~blank, number)).otherwise(F.col(column)),
+            f"{column}_raw": F.when(hit, F.when(~blank & number.isNull(), value)).otherwise(F.col(f"{column}_raw")),
+        }
     if column == "notes":
-        return rows.withColumn("notes", F.when(hit, value).otherwise(F.col("notes")))
-    return rows.withColumn("cells", F.when(hit, _set_cell(int(column), value)).otherwise(F.col("cells")))
+        return {"notes": F.when(hit, value).otherwise(F.col("notes"))}
+    return {"cells": F.when(hit, _set_cell(int(column), value)).otherwise(F.col("cells"))}
 
 
 def apply_edits(rows: DataFrame, edits: DataFrame, columns: tuple[str, ...] = ("0", "1", "notes", "lat", "lon")) -> DataFrame:
     """Rows after edits (row_id, column, value), one per row and column. Texts are set verbatim; a coordinate's
-    blank clears it, a value that is understood is set, any other text is kept as typed."""
-    out = rows
-    for column in columns:
-        own = edits.where(F.col("column") == column).select("row_id", F.coalesce("value", F.lit("")).alias("__value"), F.lit(True).alias("__hit"))
-        out = out.join(own, "row_id", "left")
-        out = _written(out, F.coalesce("__hit", F.lit(False)), column, F.col("__value")).drop("__value", "__hit")
-    return out
+    blank clears it, a value that is understood is set, any other text is kept as typed. The edits are read and brought
+    into one row each, then joined once."""
+    typed = edits.select("row_id", "column", F.coalesce("value", F.lit("")).alias("value"))
+    other = typed.where(~F.col("column").isin("lat", "lon")).withColumn("number", F.lit(None).cast("double"))
+    for axis in ("lat", "lon"):
+        if axis in columns:
+            other = other.unionByName(parse_single(typed.where(F.col("column") == axis), "value", axis, "number"))
+    per_row = other.groupBy("row_id").agg(*(F.max(F.when(F.col("column") == c, F.struct("value", "number"))).alias(f"__{c}") for c in columns))
+    out = rows.join(per_row, "row_id", "left")
+    for c in columns:
+        e = F.col(f"`__{c}`")
+        out = out.withColumns(_changed(c, e.isNotNull(), e["value"], e["number"]))
+    return out.select(*rows.columns)
 
 
 def fill_range(rows: DataFrame, files: DataFrame, first: int, last: int, column: str, value: str) -> DataFrame:
@@ -184,23 +181,23 @@ def fill_range(rows: DataFrame, files: DataFrame, first: int, last: int, column:
 
 
 def fill_rows(rows: DataFrame, ids: DataFrame, column: str, value: str) -> DataFrame:
-    """One value in a column of the rows of ``ids`` (row_id); on a coordinate it is read as typed text."""
+    """One value in a column of the rows of ``ids`` (row_id); on a coordinate it is read, once, as typed text."""
+    number = tk.parse_single(value, column) if column in ("lat", "lon") else None
     out = rows.join(ids.select("row_id").distinct().withColumn("__hit", F.lit(True)), "row_id", "left")
-    return _written(out, F.coalesce("__hit", F.lit(False)), column, F.lit(value)).drop("__hit")
+    return out.withColumns(_changed(column, F.coalesce("__hit", F.lit(False)), F.lit(value), F.lit(number).cast("double"))).drop("__hit")
 
 
 def fill_from_above(rows: DataFrame, files: DataFrame, ids: DataFrame, column: str, fmt: str = "dd") -> DataFrame:
     """The rows of ``ids`` take the shown text of the visible row above, as it was before. The first visible row
-    has none above and stays."""
+    has none above and stays. Only the texts that are taken are read."""
     shown = number_rows(visible_rows(rows, files))
     if column in ("lat", "lon"):
         text = cell_text(column, "dms" if fmt == "dms" else "dd", fmt)
     else:
         text = F.coalesce("notes", F.lit("")) if column == "notes" else cell(int(column))
-    above = shown.select((F.col("num") + 1).alias("num"), text.alias("__value"))
-    own = shown.select("row_id", "num").join(ids.select("row_id").distinct(), "row_id", "left_semi").join(above, "num").select("row_id", "__value", F.lit(True).alias("__hit"))
-    out = rows.join(own, "row_id", "left")
-    return _written(out, F.coalesce("__hit", F.lit(False)), column, F.col("__value")).drop("__value", "__hit")
+    above = shown.select((F.col("num") + 1).alias("num"), text.alias("value"))
+    own = shown.select("row_id", "num").join(ids.select("row_id").distinct(), "row_id", "left_semi").join(above, "num")
+    return apply_edits(rows, own.select("row_id", F.lit(column).alias("column"), "value"), (column,))
 
 
 def add_row(rows: DataFrame, row_id: str, n_cols: int = 2) -> DataFrame:

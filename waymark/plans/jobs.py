@@ -13,7 +13,7 @@ from ..operators import assist
 from ..operators.extract import build_detections, fresh_rows, scan_coordinates
 from ..operators.pagetext import build_page_text, page_spans
 from ..operators.rows import as_table_rows, remove_duplicates, remove_rows, rescan_merge
-from ..sources.shared import written
+from ..sources.shared import numbered, written
 
 
 def scan_job(items: DataFrame, files: DataFrame, suppressed: DataFrame, n_cols: int = 2, level: int = DEFAULT_LEVEL) -> dict[str, DataFrame]:
@@ -36,18 +36,18 @@ def rescan_job(pages: DataFrame, files: DataFrame, rows: DataFrame, dets: DataFr
 
 
 def _ask(chunks: DataFrame, tasks: assist.Tasks, kind: str, model: str, transport: Callable, pass_: int, parallel: int) -> DataFrame:
-    """Results of all chunks of a pass. The replies are written once, so nothing is asked twice."""
-    seq = F.xxhash64(F.col("rows"), F.col("pages"))
-    requests = assist.build_requests(assist.build_prompt(chunks.select("pages", "rows"), tasks), kind, model)
-    requests = requests.select(seq.alias("request_seq"), "body")
-    replies = written(assist.call_model(requests, transport, parallel), f"replies-{pass_}")
+    """Results of all chunks of a pass, asked in the order of their keys. The replies are written, so nothing is asked twice."""
+    keys = [c for c in chunks.columns if c not in ("pages", "rows")]
+    requests = assist.build_requests(assist.build_prompt(numbered(chunks, *keys, name="request_seq"), tasks), kind, model)
+    replies = assist.call_in_slices(requests, transport, parallel)
     text = assist.extract_text(replies, kind).where("error is null").select(F.lit(pass_).alias("pass"), "request_seq", "text")
     return written(assist.parse_results(text, len(tasks.cols)), f"results-{pass_}")
 
 
 def assist_job(tables: dict[str, DataFrame], tasks: assist.Tasks, transport: Callable, kind: str = "openai", model: str = "model", second: tuple[str, str] | None = None, scope: str = "detected", per_page: bool = False, parallel: int = 4) -> dict[str, DataFrame]:
     """A review run: first pass, page walks back and forth, retries of rows without an answer, a second model for
-    unfinished rows and for flags, and the time of the answer."""
+    unfinished rows and for flags, and the time of the answer. ``second`` in the result counts the rows that the second
+    model was asked about and those that it finished (n_retried, n_fixed)."""
     files, pages, suppressed = tables["files"], tables["pages"], tables["suppressed"]
     rows, dets = written(tables["rows"], "rows"), tables["dets"]
     work, _ = assist.select_llm_work(rows, files, unsent_only=True)
@@ -96,14 +96,18 @@ def assist_job(tables: dict[str, DataFrame], tasks: assist.Tasks, transport: Cal
             merge(ask(assist.chunk_per_page(pages.select("file_id", F.col("page_num").cast("int"), "text"), left), tasks, who))
 
     run(work, (kind, model))
+    counts = work.limit(0).agg(F.lit(0).cast("long").alias("n_retried"), F.lit(0).cast("long").alias("n_fixed"))
     if second:
         rest = assist.unfinished(rows.join(sent, "row_id", "left_semi"), tasks).withColumnRenamed("row_id", "id")
         again = written(work.join(rest, "id", "left_semi"), "again")
         if not again.isEmpty():
             run(again, second)
+            asked = again.select(F.col("id").alias("row_id"))
+            left = assist.unfinished(rows.join(asked, "row_id", "left_semi"), tasks).withColumn("left", F.lit(1))
+            counts = asked.join(left, "row_id", "left").agg(F.count("*").alias("n_retried"), F.count_if(F.col("left").isNull()).alias("n_fixed"))
         if tasks.flag and not tasks.auto_delete:
             flagged = work.join(rows.where("llm.del").select(F.col("row_id").alias("id")), "id", "left_semi")
             only = replace(tasks, verify=False, genus=False, species=False, fill=False, notes=False, allow_prev=False, allow_next=False)
             rows, dets, suppressed = assist.confirm_deletes(rows, dets, suppressed, ask(chunked(flagged), only, second))
     rows = assist.mark_sent(rows, sent, F.current_timestamp())
-    return {**tables, "rows": rows, "dets": dets, "suppressed": suppressed}
+    return {**tables, "rows": rows, "dets": dets, "suppressed": suppressed, "second": counts}

@@ -180,6 +180,26 @@ def w1_all(spark, d):
     return _values(rows.visible_rows(_scanned(spark, d), fx.planted_files(spark, d))).select("file_id", "page_num", "lat_micro", "lon_micro")
 
 
+@query("e10_split_tokens", "WITH o AS (SELECT *, CAST(o_orderkey*37%90 AS VARCHAR) d, (o_orderkey*11%60) || chr(39) || (o_orderkey*7%60) || '\"N' AS rest, (o_orderkey*53%180) || '°' || (o_orderkey*13%60) || chr(39) || (o_orderkey*17%60) || '\"E' AS lon FROM orders) "
+    f"SELECT 's' || o_orderkey AS file_id, 1 AS page_num, 'lat' AS half, 0 AS seg, {len(fx.LEAD) - 1} AS start, CAST({len(fx.LEAD)} + length(d) + 1 AS INTEGER) AS \"end\" FROM o "
+    "UNION ALL SELECT 's' || o_orderkey, 2, 'lat', 1, 0, CAST(length(rest) AS INTEGER) FROM o UNION ALL SELECT 's' || o_orderkey, 2, 'lon', 0, CAST(length(rest) + 1 AS INTEGER), CAST(length(rest) + 2 + length(lon) AS INTEGER) FROM o")
+def e10_split(spark, d):
+    pages = fx.split_pages(spark, d)
+    files = pages.select("file_id").distinct().withColumn("intensity", F.lit(None).cast("int"))
+    coords = extract.scan_coordinates(pages, files, fx.no_places(spark))
+    return extract.build_detections(coords).select("file_id", "page_num", "half", "seg", "start", "end")
+
+
+@query("w2_scan_job", f"WITH {fx.PLANTED_SQL}, {HALVES}, texts AS (SELECT file_id, page_num AS pg, CASE WHEN n_pages=1 THEN '{fx.LEAD}' || lat_text || ', ' || lon_text || '{fx.REAR}' ELSE '{fx.LEAD}' || lat_text || ',' END AS t FROM planted UNION ALL SELECT file_id, CAST(page_num+1 AS INTEGER), lon_text || '{fx.REAR}' FROM planted WHERE n_pages=2), "
+    "split AS (SELECT file_id, pg, string_split(t, ' ') w FROM texts), words AS (SELECT file_id, pg, length(w[i]) n, coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x)+1)), 0) pos FROM split, unnest(range(1, len(w)+1)) u(i)) "
+    "SELECT file_id, pg AS page_num, half, raw, count(*) AS n_boxes, CAST(sum(10*greatest(s, pos)) AS BIGINT) AS left_sum, CAST(sum(10*least(e, pos+n)) AS BIGINT) AS right_sum, 697.2::DOUBLE AS bottom FROM halves JOIN words USING (file_id, pg) WHERE pos+n > s AND pos < e GROUP BY 1, 2, 3, 4")
+def w2(spark, d):
+    dets = jobs.scan_job(fx.planted_items(spark, d), fx.planted_files(spark, d), fx.no_places(spark))["dets"]
+    box = dets.select("file_id", "page_num", "half", "raw", F.explode("rects").alias("b"))
+    total = lambda i: F.sum(F.round(F.col("b")[i])).cast("long")
+    return box.groupBy("file_id", "page_num", "half", "raw").agg(F.count("*").alias("n_boxes"), total(0).alias("left_sum"), total(2).alias("right_sum"), F.round(F.max(F.col("b")[1]), 6).alias("bottom"))
+
+
 # Page text
 
 
@@ -237,7 +257,7 @@ def c4(spark, d):
 def c1(spark, d):
     p = fx._planted(spark, d)
     typed = F.when(F.col("k") % 3 == 0, "none here").when(F.col("k") % 3 == 1, F.concat(F.lit("  "), "lat_text", F.lit(" "))).otherwise((F.col("k") % 200 - 100).cast("string"))
-    return p.select("k", fx.micro(rows.parse_single(typed, "lat")).alias("micro"))
+    return rows.parse_single(p.select("k", typed.alias("typed")), "typed", "lat", "dd").select("k", fx.micro(F.col("dd")).alias("micro"))
 
 
 CELL = lambda v, raw: f"CASE WHEN {raw} IS NOT NULL THEN {raw} ELSE {DD(v)} END"
@@ -528,6 +548,14 @@ def l7(spark, d):
     return assist.extract_text(assist.call_model(_as_requests(spark, d), echo), "openai").select("conv_id", "turn", "status", "text", "error")
 
 
+@query("l7_refused_run", "SELECT CAST(status AS INTEGER) AS status, CAST(n AS BIGINT) AS n FROM (SELECT 200 AS status, least(100, count(*)) AS n FROM conversations UNION ALL SELECT 401, least(1, count(*)-100) FROM conversations UNION ALL SELECT 0, count(*)-101 FROM conversations) WHERE n > 0")
+def l7_refused(spark, d):
+    """The key is refused after a hundred requests: one answer says so, and nothing more is sent."""
+    rows_ = shared.numbered(fx.table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", name="request_seq")
+    replies = assist.call_in_slices(rows_.withColumn("body", F.col("request_seq").cast("string")), lambda body: (200 if int(body) <= 100 else 401, body), parallel=1, slice_size=100)
+    return replies.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def _replies(spark, d):
     e = F.col("event_id")
     obj = F.concat(F.lit('{"row": "r'), e, F.lit('", "verdict": "'), F.when(e % 2 == 0, "ok").otherwise("bogus"), F.lit('", "lat": '), (e % 120).cast("string"), F.lit(', "lon": '), (e % 170).cast("string"), F.lit(', "col1": " Aa bb ", "col2": "x]y", "delete": '), F.when(e % 7 == 0, "true").otherwise('"true"'), F.lit(', "note": "n'), e, F.lit('"}'))
@@ -573,6 +601,26 @@ def l12(spark, d):
     return out.select("file_id", "page", "bound", F.size("ids").cast("long").alias("n_rows"))
 
 
+@query("l12_window_chunks", f"""WITH {DOCS_SQL}, a AS (SELECT *, max(page_num) OVER (PARTITION BY file_id) np FROM dpages),
+ asked AS (SELECT 'prev' AS way, file_id, page_num AS page, page_num-s AS bound, (n+3)//4 AS k FROM a, range(1,3) t(s) WHERE n > 0 AND page_num-s >= 1 UNION ALL SELECT 'next', file_id, page_num, page_num+s, (n+2)//4 FROM a, range(1,3) t(s) WHERE n > 1 AND page_num+s <= np)
+ SELECT way, asked.file_id, page, CAST(bound AS INTEGER) AS bound, CAST(k AS BIGINT) AS n_rows, count(*) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM asked JOIN a ON a.file_id=asked.file_id AND a.page_num BETWEEN least(page, bound) AND greatest(page, bound) GROUP BY 1,2,3,4,5""")
+def l12_windows(spark, d):
+    pages, work = _doc_pages(spark, d).select("file_id", "page_num", "text"), _doc_work(spark, d)
+    files = pages.groupBy("file_id").agg(F.max("page_num").alias("num_pages"))
+    i = F.col("num") % 1000
+    asked = work.select(F.col("id").alias("row"), (i % 4 == 1).alias("need_prev"), (i % 4 == 2).alias("need_next"))
+    out = []
+    for way in ("prev", "next"):
+        first = assist.needs_page(asked, work, files, way)
+        second = assist.needs_page(asked, work, files, way, first.select(F.explode("ids").alias("id"), "bound"))
+        # The second pass asks for those only whose first window is there.
+        again = second.where(F.abs(F.col("bound") - F.col("page")) == 2)
+        chunks = assist.window_chunks(first.union(again), pages, work)
+        chars = F.aggregate("pages", F.lit(0), lambda a, p: a + F.length(p["text"])).cast("long")
+        out.append(chunks.select(F.lit(way).alias("way"), "file_id", "page", "bound", F.size("rows").cast("long").alias("n_rows"), F.size("pages").cast("long").alias("n_pages"), chars.alias("n_chars")))
+    return out[0].union(out[1])
+
+
 @query("l13_unbadged", E_ + "SELECT file_id, page_num, count(*) AS n_rows FROM erows WHERE sent AND verdict IS NULL AND NOT coalesce(del, false) GROUP BY 1,2")
 def l13(spark, d):
     base = fx.event_rows(spark, d)
@@ -603,10 +651,19 @@ def l17(spark, d):
     return out.select("row_id", F.col("llm_sent").isNotNull().alias("sent"))
 
 
-@query("l18_preview_prompt")
+_SYSTEM = assist.system_prompt(_TASKS).replace("'", "''")
+
+
+@query("l18_preview_prompt", f"""WITH RECURSIVE {DOCS_SQL}, own AS (SELECT * FROM dpages WHERE file_id = (SELECT min(file_id) FROM dpages WHERE n > 0)),
+ c AS (SELECT file_id, page_num, 0 AS chunk_id, CAST(length(text)+50 AS BIGINT) chars, CAST(n AS BIGINT) cnt FROM own WHERE page_num=1
+ UNION ALL SELECT p.file_id, p.page_num, CASE WHEN c.chars + length(p.text)+50 > 24000 OR c.cnt + p.n > 40 THEN c.chunk_id+1 ELSE c.chunk_id END, CASE WHEN c.chars + length(p.text)+50 > 24000 OR c.cnt + p.n > 40 THEN length(p.text)+50 ELSE c.chars + length(p.text)+50 END,
+ CASE WHEN c.chars + length(p.text)+50 > 24000 OR c.cnt + p.n > 40 THEN p.n ELSE c.cnt + p.n END FROM c JOIN own p ON p.page_num=c.page_num+1),
+ first AS (SELECT o.*, chunk_id FROM c JOIN own o USING (file_id, page_num) WHERE chunk_id = (SELECT min(chunk_id) FROM c JOIN own USING (page_num) WHERE n > 0)),
+ lines AS (SELECT page_num, i, file_id || '-' || page_num || '-' || i || ' | ' || (page_num*1000+i) || ' | a |  | 1.5 |  | ' || file_id || '.pdf p.' || page_num AS line FROM first, unnest(range(1, n+1)) t(i))
+ SELECT (SELECT any_value(file_id) FROM first) AS file_id, (SELECT any_value(chunk_id) FROM first) AS chunk_id, '{_SYSTEM}' AS system,
+ substring('{_HEAD}' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY page_num, i) FROM lines) || chr(10) || chr(10) || 'DOCUMENT TEXT:' || chr(10) || (SELECT string_agg('--- ' || file_id || '.pdf — page ' || page_num || ' ---' || chr(10) || text, chr(10) ORDER BY page_num) FROM first), 1, 8000) AS "user\"""")
 def l18(spark, d):
-    chunks = assist.chunk_work(_doc_pages(spark, d).select("file_id", "page_num", "text"), _doc_work(spark, d))
-    return assist.preview_prompt(chunks, _TASKS)
+    return assist.preview_prompt(_doc_pages(spark, d).select("file_id", "page_num", "text"), _doc_work(spark, d), _TASKS)
 
 
 # Sources, projects, stream
@@ -665,3 +722,26 @@ def w3_all(spark, d):
     tables = {"pages": pages, "files": files, "rows": rows.as_table_rows(extract.fresh_rows(coords), files), "dets": extract.build_detections(coords), "suppressed": fx.no_places(spark)}
     out = jobs.assist_job(tables, assist.Tasks(verify=True, genus=True), reviewer)["rows"]
     return out.select("file_id", "page_num", "llm.verdict", col.cell(0).alias("c0"), F.col("llm_sent").isNotNull().alias("sent"))
+
+
+def two_reviewers(body: str) -> tuple[int, str]:
+    """A stand-in for two services: m1 knows only rows of even pages, m2 finds none of what it is asked."""
+    asked = json.loads(body)
+    said = asked["messages"][-1]["content"].split("\n\nDOCUMENT TEXT:")[0]
+    ids = [line.split(" | ")[0] for line in said.split("\n") if line.startswith("f") and " | " in line]
+    first = asked["model"] == "m1"
+    results = [{"row": i, "verdict": "ok" if first else "not_found"} for i in ids if not first or int(i.split(":")[1]) % 2 == 0]
+    return 200, json.dumps({"choices": [{"message": {"content": json.dumps(results)}}]})
+
+
+_ODD = "(page_num + n_pages - 1) % 2 = 1"
+
+
+@query("w4_second_model", P + f"SELECT file_id, page_num, CASE WHEN o_custkey%10=0 OR o_custkey%13=0 THEN NULL WHEN {_ODD} THEN 'not_found' ELSE 'ok' END AS verdict, (SELECT count(*) FROM planted WHERE {_ODD} AND NOT (o_custkey%10=0 OR o_custkey%13=0)) AS n_fixed FROM planted")
+def w4(spark, d):
+    pages, files = fx.planted_pages(spark, d), fx.planted_files(spark, d)
+    coords = _scanned(spark, d)
+    tables = {"pages": pages, "files": files, "rows": rows.as_table_rows(extract.fresh_rows(coords), files), "dets": extract.build_detections(coords), "suppressed": fx.no_places(spark)}
+    out = jobs.assist_job(tables, assist.Tasks(verify=True), two_reviewers, model="m1", second=("openai", "m2"))
+    n_fixed = out["second"].first()["n_fixed"]
+    return out["rows"].select("file_id", "page_num", "llm.verdict", F.lit(n_fixed).cast("long").alias("n_fixed"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 SCHEMA = "file_id string, file_seq long, name string, path string, error string, num_pages int, intensity int, hidden boolean"
 
 
@@ -17,7 +19,8 @@ def natural_key(c: Column, width: int = 20) -> Column:
 
 def files_of(paths: DataFrame, root: str, max_depth: int | None = 4, max_files: int | None = 500) -> DataFrame:
     """Files table of paths (path): *.pdf in any case, no part of the path below ``root`` begins with a dot, at most
-    ``max_depth`` folders deep, in natural order of folders and names, at most ``max_files``."""
+    ``max_depth`` folders deep, in natural order of folders and names, at most ``max_files``. Any number of
+    paths is ordered in ranges."""
     base = root.rstrip("/")
     rest = F.when(F.col("path").startswith(base + "/"), F.expr(f"substring(path, {len(base) + 2})")).otherwise(F.col("path"))
     parts = F.split(rest, "/")
@@ -28,9 +31,8 @@ def files_of(paths: DataFrame, root: str, max_depth: int | None = 4, max_files:
     keyed = some.withColumn("key", F.transform("parts", lambda p: natural_key(p)))
     if max_files is not None:
         keyed = keyed.orderBy("key", "path").limit(max_files)
-    seq = F.row_number().over(Window.orderBy("key", "path")).cast("long")
     none = F.lit(None)
-    return keyed.withColumn("file_seq", seq).select(
+    return numbered(keyed, "key", "path", name="file_seq").select(
         F.concat(F.lit("f"), "file_seq").alias("file_id"), "file_seq", F.element_at("parts", -1).alias("name"), "path",
         none.cast("string").alias("error"), none.cast("int").alias("num_pages"), none.cast("int").alias("intensity"), F.lit(False).alias("hidden"),
     )

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where ``spark.checkpoint.dir`` is not set."""
+    """The cluster's shared folder, which ``spark.checkpoint.dir`` names. Only where that is not set and the
+    master is local, as in tests, it is a temporary one; a cluster without it is refused."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="waymark-"))
     return sc.getCheckpointDir()
 
 
@@ -27,3 +33,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{unique()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "num") -> DataFrame:
+    """``df`` with ``name``, its rows' places from 1 on in the order of the columns ``order``.
+
+    Rows are sorted in ranges and written once; a row's place in its range is counted by Spark, and only one size
+    of each range reaches the driver. No task sees more than its range.
+    """
+    at = F.monotonically_increasing_id()
+    low = (1 << 33) - 1
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), "numbered")
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit(low))
+    sizes = placed.groupBy(part.alias("part")).agg(F.max(within).alias("last")).orderBy("part").collect()
+    before, offsets = 0, []
+    for r in sizes:
+        offsets += [F.lit(r["part"]), F.lit(before)]
+        before += r["last"] + 1
+    base = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
+    return placed.withColumn(name, (base + within + 1).cast("long")).drop("__at")
