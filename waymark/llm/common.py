@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +29,15 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, which ``spark.checkpoint.dir`` names.
 
-    Only where none is set, as in local tests, it is a temporary folder.
+    Only where none is set and the master is local, as in tests, it is a temporary folder; a cluster
+    without one is refused.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="waymark-"))
     return sc.getCheckpointDir()
 
 
@@ -41,7 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder as Parquet and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose text column holds about ``limit`` bytes at most.
 
     One text longer than the limit is a block of its own.
@@ -69,7 +82,7 @@ def share(total: int, size: int) -> int:
     return max(1, -(-total // size))
 
 
-def append(docs: DataFrame, columns: dict[str, pa.DataType], compute, text_col: str = "text", limit: int = 4 << 20) -> DataFrame:
+def append(docs: DataFrame, columns: dict[str, pa.DataType], compute, text_col: str = "text", limit: int = 1 << 20) -> DataFrame:
     """``docs`` with columns that ``compute(texts)`` returns as Arrow arrays; nulls count as empty texts.
 
     The names of ``columns`` must be new to ``docs``. No shuffle.

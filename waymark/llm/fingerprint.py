@@ -43,14 +43,24 @@ _LN_C = np.log(_gamma_table()).astype(np.float32)
 _B = (np.arange(65536, dtype=np.float32) + np.float32(0.5)) / np.float32(65536)
 
 
-def weighted_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term hash, weight) of every distinct term of every text, in order of text."""
-    words = Words(texts)
-    pairs, at = words.runs(2)
-    owner = np.searchsorted(words.first, at, side="right") - 1
+#: Terms of a block that are sampled at a time: more are dealt by their hash into as many shares as needed.
+TERMS = 1 << 19
+
+
+def weighted_terms(words: Words, share_: int = 0, shares: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term hash, weight) of every distinct term of every text, in order of text; of one share of the terms."""
     alone = np.flatnonzero(words.counts == 1)
-    term = np.concatenate([pairs, words.hashes[words.first[alone]]])
-    owner = np.concatenate([owner, alone])
+    terms, owners = [words.hashes[words.first[alone]]], [alone]
+    for term, at in words.chunks(2):
+        owners.append(np.searchsorted(words.first, at, side="right") - 1)
+        terms.append(term)
+        if shares > 1:
+            own = (term >> U(40)) % U(shares) == share_
+            terms[-1], owners[-1] = term[own], owners[-1][own]
+    if shares > 1:
+        own = (terms[0] >> U(40)) % U(shares) == share_
+        terms[0], owners[0] = terms[0][own], owners[0][own]
+    term, owner = np.concatenate(terms), np.concatenate(owners)
     order = np.lexsort((term, owner))
     term, owner = term[order], owner[order]
     first = np.ones(len(term), bool)
@@ -59,12 +69,21 @@ def weighted_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return owner[begin], term[begin], np.diff(np.append(begin, len(term)))
 
 
-def fingerprints(texts: list[bytes]) -> np.ndarray:
+def fingerprints(texts: list[bytes], terms: int = TERMS) -> np.ndarray:
     """(texts, SAMPLES) 16-bit samples; all zero for a text without words."""
-    owner, term, weight = weighted_terms(texts)
-    out = np.zeros((len(texts), SAMPLES), np.uint16)
-    if not len(owner):
-        return out
+    words = Words(texts)
+    least = np.full((len(texts), SAMPLES), U(0xFFFFFFFFFFFFFFFF))
+    shares = max(1, -(-len(words.hashes) // terms))
+    for share_ in range(shares):
+        owner, term, weight = weighted_terms(words, share_, shares)
+        if len(owner):
+            _sample(owner, term, weight, least)
+    least[words.counts == 0] = 0
+    return (least & U(0xFFFF)).astype(np.uint16)
+
+
+def _sample(owner: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray) -> None:
+    """Lower the least key of each text and sample by these terms; a key's last 16 bits are the sample."""
     both = mix(term + weight.astype(U) * U(0x9E3779B97F4A7C15))
     _, one, code = np.unique(both, return_index=True, return_inverse=True)
     h, ln_w = term[one], np.log(weight[one]).astype(np.float32)
@@ -81,8 +100,22 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         bits = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000))
         drawn = mix(h + t.astype(np.int64).view(U) * U(0xD6E8FEB86659FD93) + U(k))
         key = (bits.astype(U) << U(32)) | (drawn >> U(32))
-        out[rows, k] = (np.minimum.reduceat(key[code], starts) & U(0xFFFF)).astype(np.uint16)
-    return out
+        least[rows, k] = np.minimum(least[rows, k], np.minimum.reduceat(key[code], starts))
+
+
+def in_groups(texts: list[str], limit: int = 1 << 20) -> np.ndarray:
+    """Fingerprints of texts, about ``limit`` bytes of them at a time."""
+    done, group, size = [np.zeros((0, SAMPLES), np.uint16)], [], 0
+    for text in texts:
+        raw = text.encode()
+        if group and size + len(raw) > limit:
+            done.append(fingerprints(group))
+            group, size = [], 0
+        group.append(raw)
+        size += len(raw)
+    if group:
+        done.append(fingerprints(group))
+    return np.concatenate(done)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,7 +133,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (part, ahead, id, text) in order: each row that is not ahead is paired with the next row of
     its part. Only one row is held over from block to block."""
     held = None
-    for block in blocks(batches, limit=1 << 20):
+    for block in blocks(batches):
         seq, now, then, ids = [], [], [], []
         if held is not None:
             seq.append(held[2])
@@ -118,7 +151,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not now:
             continue
         edited = [edit(seq[i], seq[j]) for i, j in zip(now, then, strict=True)]
-        prints = fingerprints([t.encode() for t in (*seq, *edited)])
+        prints = in_groups([*seq, *edited])
         own, next_, other = prints[now], prints[then], prints[len(seq) :]
         yield pa.RecordBatch.from_arrays(
             [
@@ -164,7 +197,8 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The next document is the one of next greater doc_id, equal ids in order of text; the first
     follows the last, so a lone document follows itself. Null ids come before all others and stay
-    null. A null text is empty; a text without words has the fingerprint of zeros. Extra columns are ignored.
+    null. A null text is empty; a text without words has the fingerprint of zeros; texts of any length are handled
+    alike. Extra columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),

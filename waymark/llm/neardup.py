@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, cut, narrow
 from .components import components
-from .words import U, Words, mix, signed
+from .words import U, Words, mix, pieces, signed
 
 BANDS, ROWS = 28, 4
 SHINGLE, PERCENT = 5, 75
@@ -45,6 +45,8 @@ _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=U) * U(2) + U(1)
 _FLIP = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=U)
 
 PARITY_BITS = 1024
+#: Shingles that are hashed at a time.
+PART = 1 << 18
 _KS = [f"k{j}" for j in range(SKETCH_BITS // 64)]
 _FS = [f"f{j}" for j in range(PARITY_BITS // 64)]
 _SKINNY = ["n", *_KS, *_FS]
@@ -58,11 +60,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's five-word shingles. A text of one to four words has
     its whole word sequence as one; a text without words has none."""
     words = Words([t.lower() for t in texts])
-    hashes, at = words.runs(SHINGLE)
-    cuts = np.searchsorted(at, words.first)
-    whole = words.whole()
+    hashes, cuts = words.runs(SHINGLE)
+    whole, counts = words.whole(SHINGLE - 1), words.counts.tolist()
+    del words
     out = []
-    for i, count in enumerate(words.counts.tolist()):
+    for i, count in enumerate(counts):
         if count >= SHINGLE:
             out.append(np.unique(hashes[cuts[i] : cuts[i + 1]]))
         else:
@@ -70,11 +72,41 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def digest(text: bytes) -> bytes:
+    """Of the word sequence of a text in lower case."""
+    h = xxhash.xxh3_128()
+    for a, b in pieces(text, 1 << 20):
+        if words := text[a:b].lower().split():
+            h.update(b" ".join(words) + b" ")
+    return h.digest()
+
+
+def in_parts(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which sets, where each begins, values) of parts of about PART values; a larger set is cut, and each part
+    has a set once at most."""
+    i = 0
+    while i < len(sets):
+        j, n = i, 0
+        while j < len(sets) and (j == i or n + len(sets[j]) <= PART):
+            n += len(sets[j])
+            j += 1
+        if n <= PART:
+            some = [k for k in range(i, j) if len(sets[k])]
+            if some:
+                yield np.array(some), np.cumsum([0, *(len(sets[k]) for k in some[:-1])]), np.concatenate([sets[k] for k in some])
+        else:
+            for at in range(0, n, PART):
+                yield np.array([i]), np.zeros(1, np.int64), sets[i][at : at + PART]
+        i = j
+
+
 def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     """(BANDS * ROWS, number of sets) MinHash values; no set may be empty."""
-    flat = np.concatenate(sets)
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    return np.stack([np.minimum.reduceat((flat ^ f) * m, offsets) for m, f in zip(_MULTIPLY, _FLIP, strict=True)])
+    out = np.full((BANDS * ROWS, len(sets)), U(0xFFFFFFFFFFFFFFFF))
+    for which, begin, values in in_parts(sets):
+        for k, (m, f) in enumerate(zip(_MULTIPLY, _FLIP, strict=True)):
+            out[k, which] = np.minimum(out[k, which], np.minimum.reduceat((values ^ f) * m, begin))
+    return out
 
 
 def odd_sketches(values: np.ndarray) -> np.ndarray:
@@ -89,11 +121,12 @@ def odd_sketches(values: np.ndarray) -> np.ndarray:
 
 def parity_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """(number of sets, PARITY_BITS / 64) parity bitmaps of whole sets."""
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = row * PARITY_BITS + (mix(flat + U(PARITY_BITS)) % U(PARITY_BITS)).astype(np.int64)
-    odd = np.bincount(at, minlength=len(sets) * PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(sets), -1), axis=1).view(np.int64)
+    odd = np.zeros((len(sets), PARITY_BITS), bool)
+    for which, begin, values in in_parts(sets):
+        row = np.repeat(np.arange(len(which)), np.diff(np.append(begin, len(values))))
+        at = row * PARITY_BITS + (mix(values + U(PARITY_BITS)) % U(PARITY_BITS)).astype(np.int64)
+        odd[which] ^= (np.bincount(at, minlength=len(which) * PARITY_BITS) & 1).astype(bool).reshape(len(which), -1)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -108,7 +141,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, limit=1 << 20):
+    for block in blocks(batches):
         texts = [t.encode() for t in block.column("text").to_pylist()]
         sets = shingle_sets(texts)
         some = np.flatnonzero([len(s) for s in sets])
@@ -119,7 +152,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches[some] = np.concatenate([odd_sketches(values), parity_bitmaps([sets[i] for i in some])], axis=1)
             for i, keys in zip(some, band_keys(values), strict=True):
                 bands[i] = keys
-        digests = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
+        digests = [digest(t) for t in texts]
         yield pa.RecordBatch.from_arrays(
             [
                 block.column("doc_id"),
