@@ -4,11 +4,16 @@ Each word gets a label score from hashed affixes and character n-grams (n-grams
 word's edge are affixes) and from the word itself (lexicon); labels of neighbouring words are tied by
 learned transitions. Forward-backward gives each word's label probabilities, so code-switched
 texts are labelled word by word; a text's language is the label with the largest
-expected number of words. Chains are cut after ``CHAIN`` words.
+expected number of words.
+
+A text is one chain, however long. It is worked on in pieces of ``CHAIN`` words, many pieces side by side: each
+piece is reduced to one matrix, these carry the forward and backward messages from piece to piece, and then
+every piece is settled with the messages at its two ends. The result is that of one pass over the whole chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append, crc_mod, narrow
-from .words import U, mix
+from .words import U, mix, pieces
 
 CHAIN = 64
+#: Pieces that are settled at a time, and bytes of a text that are cut into words at a time.
+SLICE, CUT = 1024, 1 << 20
 TABLE = 1 << 17
 UNDETERMINED = "und"
 _NOT_LETTERS = "[^\\pL\\pM]+"
@@ -68,53 +75,138 @@ def _scores(index: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray) -
     return np.stack([np.bincount(owner, weights[index, k], n) for k in range(weights.shape[1])], axis=1)
 
 
-def _chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the word at each (place, chain), -1 beyond a chain's end; the text of each chain."""
+def _chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, size and text of the pieces of CHAIN words that the texts are cut into."""
     per = -(-counts // CHAIN)
     text = np.repeat(np.arange(len(counts)), per)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    start = (np.cumsum(counts) - counts)[text] + nth * CHAIN
-    size = np.minimum(CHAIN, counts[text] - nth * CHAIN)
+    return (np.cumsum(counts) - counts)[text] + nth * CHAIN, np.minimum(CHAIN, counts[text] - nth * CHAIN), text
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Index of the word at each (place, piece), -1 beyond a piece's end."""
     place = np.arange(CHAIN)[:, None]
-    return np.where(place < size, start + place, -1), text
+    return np.where(place < size, start + place, -1)
 
 
-def forward_backward(emit: np.ndarray, valid: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities (place, chain, label) and the expected transition counts."""
+def _scaled(x: np.ndarray, axis) -> np.ndarray:
+    return x / x.sum(axis=axis, keepdims=True)
+
+
+def forward_backward(emit: np.ndarray, valid: np.ndarray, transitions: np.ndarray, entry: np.ndarray | None = None, leave: np.ndarray | None = None, count: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label probabilities (place, chain, label) and, with ``count``, the expected transition counts. Where chains are pieces of longer
+    ones, ``entry`` is the forward message that comes to their first words, ``leave`` the backward message at their last."""
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     a = np.exp(transitions)
-    alpha, beta = np.empty_like(e), np.ones_like(e)
-    alpha[0] = e[0] / e[0].sum(axis=1, keepdims=True)
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    alpha[0] = _scaled(e[0] if entry is None else e[0] * entry, 1)
     for t in range(1, len(e)):
-        x = (alpha[t - 1] @ a) * e[t]
-        alpha[t] = x / x.sum(axis=1, keepdims=True)
+        alpha[t] = _scaled((alpha[t - 1] @ a) * e[t], 1)
+    end = np.ones_like(e[0]) if leave is None else leave
+    beta[-1] = end
     for t in range(len(e) - 2, -1, -1):
-        x = (e[t + 1] * beta[t + 1]) @ a.T
-        beta[t] = np.where(valid[t + 1][:, None], x / x.sum(axis=1, keepdims=True), 1.0)
-    p = alpha * beta
-    p /= p.sum(axis=2, keepdims=True)
+        beta[t] = np.where(valid[t + 1][:, None], _scaled((e[t + 1] * beta[t + 1]) @ a.T, 1), end)
+    p = _scaled(alpha * beta, 2)
+    if not count:
+        return p, None
     right = e[1:] * beta[1:]
     z = np.einsum("tsi,ij,tsj->ts", alpha[:-1], a, right)
     pairs = np.einsum("tsi,tsj->ij", alpha[:-1] * (valid[1:] / z)[..., None], right) * a
     return p, pairs
 
 
+def _reduced(emit: np.ndarray, valid: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """(piece, label, label): weight of all paths from each first word's label to each last word's, up to a factor."""
+    e = np.exp(emit - emit.max(axis=2, keepdims=True))
+    a = np.exp(transitions)
+    out = e[0][:, :, None] * np.eye(len(a))
+    for t in range(1, len(e)):
+        out = np.where(valid[t][:, None, None], _scaled((out @ a) * e[t][:, None, :], (1, 2)), out)
+    return out
+
+
+def _messages(reduced: np.ndarray, text: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward message into, and backward message at the end of, each piece of each text."""
+    a = np.exp(transitions)
+    entry, leave = np.ones((len(text), len(a))), np.ones((len(text), len(a)))
+    begin = np.flatnonzero(np.diff(text, prepend=-1))
+    size = np.diff(np.append(begin, len(text)))
+    most = int(size.max(initial=0))
+    for k in range(1, most):
+        at = begin[size > k] + k
+        entry[at] = _scaled(np.einsum("si,sij->sj", entry[at - 1], reduced[at - 1]) @ a, 1)
+    for k in range(most - 2, -1, -1):
+        at = begin[size > k + 1] + k
+        leave[at] = _scaled(np.einsum("sij,sj->si", reduced[at + 1], leave[at + 1]) @ a.T, 1)
+    return entry, leave
+
+
+def _coded(model: Crf, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code of every word, label scores by code, each text's number of words. A lone long text is cut
+    into words CUT bytes at a time."""
+    if len(texts) == 1:
+        raw = texts[0].as_py().encode()
+        groups = [pa.array([raw[i:j].decode()]) for i, j in pieces(raw, CUT)]
+    else:
+        groups = [texts]
+    codes, tables, counts, n = [np.zeros(0, np.int32)], [np.zeros((0, len(model.labels)))], np.zeros(len(texts), np.int64), 0
+    for group in groups:
+        words, sizes = split_words(group)
+        coded = words.dictionary_encode()
+        index, owner = features(coded.dictionary)
+        codes.append(coded.indices.to_numpy() + np.int32(n))
+        tables.append(_scores(index, owner, len(coded.dictionary), model.weights))
+        counts += sizes
+        n += len(coded.dictionary)
+    return np.concatenate(codes), np.concatenate(tables), counts
+
+
+def _settled(model: Crf, texts: pa.Array) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Each text's number of words; and (words, texts, label probabilities) of all words, slice by slice."""
+    code, scores, counts = _coded(model, texts)
+    start, size, text = _chains(counts)
+
+    def emitted(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = _places(start[some], size[some])
+        valid = at >= 0
+        return at, valid, scores[code[np.where(valid, at, 0)]] * valid[..., None]
+
+    def slices(which: np.ndarray) -> Iterator[np.ndarray]:
+        return (which[i : i + SLICE] for i in range(0, len(which), SLICE))
+
+    def run() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        reduced = np.ones((len(text), len(model.labels), len(model.labels)))
+        for some in slices(np.flatnonzero(counts[text] > CHAIN)):
+            _, valid, emit = emitted(some)
+            reduced[some] = _reduced(emit, valid, model.transitions)
+        entry, leave = _messages(reduced, text, model.transitions)
+        for some in slices(np.arange(len(text))):
+            at, valid, emit = emitted(some)
+            p, _ = forward_backward(emit, valid, model.transitions, entry[some], leave[some], count=False)
+            yield at[valid], np.broadcast_to(text[some], valid.shape)[valid], p[valid]
+
+    return counts, run()
+
+
 def label_words(model: Crf, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Label probabilities of every word of the texts, and each text's number of words."""
-    words, counts = split_words(texts)
-    coded = words.dictionary_encode()
-    index, owner = features(coded.dictionary)
-    scores = _scores(index, owner, len(coded.dictionary), model.weights)
-    at, _ = _chains(counts)
-    out = np.zeros((len(words), len(model.labels)))
-    if at.shape[1]:
-        valid = at >= 0
-        code = coded.indices.to_numpy()[np.where(valid, at, 0)]
-        p, _ = forward_backward(scores[code] * valid[..., None], valid, model.transitions)
-        out[at[valid]] = p[valid]
+    counts, settled = _settled(model, texts)
+    out = np.zeros((int(counts.sum()), len(model.labels)))
+    for at, _, p in settled:
+        out[at] = p
     return out, counts
 
 
+def label_shares(model: Crf, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's expected share of words of each label, and its number of words."""
+    counts, settled = _settled(model, texts)
+    out = np.zeros((len(texts), len(model.labels)))
+    for _, text, p in settled:
+        for j in range(out.shape[1]):
+            out[:, j] += np.bincount(text, p[:, j], len(texts))
+    return out / np.maximum(counts, 1)[:, None], counts
+
+
 def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.3, seed: int = 5) -> Crf:
     """A model from labelled texts, by adaptive gradient steps on the chains' log-likelihood.
 
@@ -134,7 +226,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.3,
     index, owner = features(coded.dictionary)
     bounds = np.searchsorted(np.sort(owner), np.arange(len(coded.dictionary) + 1))
     index = index[np.argsort(owner, kind="stable")]
-    own, _ = _chains(counts)
+    own = _places(*_chains(counts)[:2])
     runs = own.reshape(CHAIN // 16, 16, -1).transpose(0, 2, 1).reshape(-1, 16)
     runs = runs[(runs >= 0).all(axis=1)]
     mixed = rng.permutation(runs)[: len(runs) // (CHAIN // 16) * (CHAIN // 16)].reshape(-1, CHAIN).T
@@ -172,18 +264,21 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.3,
     return Crf(labels, weights.astype(np.float32), transitions)
 
 
-def train(docs: DataFrame, per_label: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
+def train(docs: DataFrame, per_label: int = 400, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
     """A model from a sample of about ``per_label`` labelled documents of each language, drawn by a
-    hash of the id among those whose crc32(id as text) mod 3 is not 1."""
+    hash of the id among those whose crc32(id as text) mod 3 is not 1. Of a text of over ``longest`` characters the
+    sample has as many from a place drawn likewise, so the driver gets ``per_label`` x ``longest`` of each language at most."""
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & ~crc_mod(id_col, 3).isin(1, -1))
     sizes = {r[0]: r[1] for r in known.groupBy(F.col(f"`{lang_col}`").alias("lang")).count().collect()}
     if not sizes:
         return Crf([], np.zeros((TABLE, 1), np.float32), np.zeros((1, 1)))
     part = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, per_label / n) * 1e6))))
-    drawn = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("language")), F.lit(1_000_000)) < part[F.col(f"`{lang_col}`")]
-    sample = known.where(drawn).select(
-        F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{lang_col}`").alias("lang")
-    )
+    draw = lambda what, n: F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(what)), n)
+    drawn = draw("language", F.lit(1_000_000)) < part[F.col(f"`{lang_col}`")]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    spare = F.length(text) - longest
+    text = F.when(spare > 0, F.substring(text, (draw("place", F.greatest(spare, F.lit(1))) + 1).cast("int"), F.lit(longest))).otherwise(text)
+    sample = known.where(drawn).select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = sorted(sample.collect(), key=lambda r: (r["id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -192,16 +287,14 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text", lang: str = "l
     """``docs`` with the predicted language and its share of the text's words, 0 to 1.
 
     A text without letters (null and empty ones too) is ``und`` with score 0, and so is every text
-    if the model knows no language. Ties go to the alphabetically first language.
+    if the model knows no language. Ties go to the alphabetically first language. Texts of any length are handled
+    alike; repeated rows and null ids stay as they are; an empty table gives an empty result.
     """
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         if not model.labels:
             return [pa.array([UNDETERMINED] * len(texts)), pa.array(np.zeros(len(texts)))]
-        p, counts = label_words(model, texts)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        share = np.stack([np.bincount(doc, p[:, j], len(counts)) for j in range(p.shape[1])], axis=1)
-        share /= np.maximum(counts, 1)[:, None]
+        share, counts = label_shares(model, texts)
         best = share.argmax(axis=1)
         names = [model.labels[b] if c else UNDETERMINED for b, c in zip(best, counts, strict=True)]
         return [pa.array(names, pa.string()), pa.array(np.clip(share.max(axis=1), 0.0, 1.0))]
