@@ -1,9 +1,9 @@
 """Packing token sequences into fixed windows by best-fit decreasing.
 
 ``token_pieces`` turns texts into token pieces (full windows first, then one remainder),
-``pack`` lays the pieces into windows. Only the lengths are shuffled: groups of bounded size,
-drawn by a hash of the piece, are packed apart from each other, each with at most a few windows
-that are not full.
+``pack`` lays the pieces into windows. Only the lengths are shuffled: groups drawn by a hash of the piece are
+packed apart from each other, each with at most a few windows that are not full. A group comes sorted, longest
+pieces first, and is laid as it comes: a task holds only the free room of the group's open windows.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import blocks, narrow, share
 
@@ -107,7 +107,7 @@ def token_pieces(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sizes = byte_bpe(ranks_path, pattern)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=2 << 20):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, ids in zip(block.column("doc_id").to_pylist(), encode_block(block.column("text"), enc, sizes), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -161,25 +161,34 @@ class OpenWindows:
         return capacity, self.stacks[capacity].pop()
 
 
+class Packer:
+    """Best-fit decreasing of pieces that come longest first."""
+
+    def __init__(self, window: int):
+        self.window, self.used, self.open = window, 0, OpenWindows(window)
+
+    def lay(self, lengths: list[int]) -> tuple[list[int], list[int]]:
+        """Sequence number and offset of each piece."""
+        sequence, offset = [], []
+        for size in lengths:
+            found = None if size == self.window else self.open.take(size)
+            if found is None:
+                found = (self.window, self.used)
+                self.used += 1
+            room, at = found
+            sequence.append(at)
+            offset.append(self.window - room)
+            if room > size:
+                self.open.put(room - size, at)
+        return sequence, offset
+
+
 def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each piece."""
-    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    full = lengths == window
-    used = int(full.sum())
-    sequence[full] = np.arange(used)
-    tree = OpenWindows(window)
-    rest = np.flatnonzero(~full)
-    for i in rest[np.argsort(-lengths[rest], kind="stable")].tolist():
-        size = int(lengths[i])
-        found = tree.take(size)
-        if found is None:
-            found = (window, used)
-            used += 1
-        capacity, sequence[i] = found
-        offset[i] = window - capacity
-        if capacity > size:
-            tree.put(capacity - size, found[1])
-    return sequence, offset
+    """Sequence number and offset of each piece, in any order."""
+    order = np.argsort(-lengths, kind="stable")
+    out = np.zeros((2, len(lengths)), np.int64)
+    out[:, order] = Packer(window).lay(lengths[order].tolist())
+    return out[0], out[1]
 
 
 def pack(pieces: DataFrame, n_rows: int, window: int = 1024, group_rows: int = 40_000) -> DataFrame:
@@ -187,16 +196,28 @@ def pack(pieces: DataFrame, n_rows: int, window: int = 1024, group_rows: int = 4
 
     ``n_rows``: about how many rows there are; it sets the number of groups, each of about
     ``group_rows`` rows, and so the number of windows that may stay partly empty (a few per
-    group). Needs the columns doc_id, start, length; carries the others along.
+    group). Needs the columns doc_id, start, length; carries the others along. Null ids and repeated rows are
+    pieces like others; an empty table gives an empty result.
     """
     groups = share(n_rows, group_rows)
-    names = [c for c in pieces.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-
-    def lay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start"], kind="stable")[names]
-        sequence, offset = best_fit_decreasing(pdf["length"].to_numpy(), window)
-        return pdf.assign(sequence_id=sequence + (int(key[0]) << 40), offset=offset)
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    names = schema.names
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, packer = None, None
+        for batch in batches:
+            of, lengths = batch.column("__group").to_numpy(), batch.column("length").to_numpy()
+            edges = np.flatnonzero(np.diff(of, prepend=-1, append=-1)) if len(of) else np.zeros(1, np.int64)
+            sequence, offset = [], []
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if of[i] != group:
+                    group, packer = of[i], Packer(window)
+                at, where = packer.lay(lengths[i:j].tolist())
+                sequence += [(int(group) << 32) + x for x in at]
+                offset += where
+            own = [batch.column(n) for n in names[:-2]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=names)
 
     group = F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups))
-    return pieces.groupBy(group.alias("__group")).applyInPandas(lay, schema)
+    dealt = pieces.withColumn("__group", group).repartition(groups, "__group")
+    return dealt.sortWithinPartitions("__group", F.desc("length"), "doc_id", "start").mapInArrow(lay, schema)
