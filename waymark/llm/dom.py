@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 #: Fixed values of HTML.
@@ -13,8 +14,6 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements nested deeper than this hang side by side at this depth, so that recursion over a tree is bounded.
-DEPTH = 200
 #: Start tags that end an open element of these names, up to the nearest of the bounds.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -54,14 +53,15 @@ def _attribute_words(text: str) -> frozenset[str]:
 
 
 def parse(source: str) -> Node:
-    """The tree of a page; text outside any element hangs below the root."""
+    """The tree of a page, however deep; text outside any element hangs below the root."""
     root = Node("#root")
     stack, at = [root], 0
+    opened: Counter[str] = Counter()
     while True:
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
         if text:
-            stack[-1].kids.append(html.unescape(text))
+            stack[-1].kids.append(html.unescape(text) if "&" in text else text)
         if not m:
             return root
         at = m.end()
@@ -71,19 +71,18 @@ def parse(source: str) -> Node:
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            if stack[-1].tag == tag:
-                stack.pop()
-            elif any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            while opened[tag] and (closed := stack.pop().tag):
+                opened[closed] -= 1
+                if closed == tag:
+                    break
             continue
         ended, bounds = ENDS.get(tag, ((), ()))
-        if tag in BLOCK:
-            _end(stack, ("p",), ("button", "table", "td", "th", "object"))
-        if ended:
-            _end(stack, ended, bounds)
+        if tag in BLOCK and opened["p"]:
+            _end(stack, opened, ("p",), ("button", "table", "td", "th", "object"))
+        if any(opened[t] for t in ended):
+            _end(stack, opened, ended, bounds)
         node = Node(tag, _attribute_words(m.group(3)))
-        stack[min(len(stack), DEPTH) - 1].kids.append(node)
+        stack[-1].kids.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
@@ -92,12 +91,14 @@ def parse(source: str) -> Node:
             at = close.end() if close else len(source)
             continue
         stack.append(node)
+        opened[tag] += 1
 
 
-def _end(stack: list[Node], names: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+def _end(stack: list[Node], opened: Counter[str], names: tuple[str, ...], bounds: tuple[str, ...]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in bounds:
             return
         if stack[i].tag in names:
+            opened.subtract(n.tag for n in stack[i:])
             del stack[i:]
             return
