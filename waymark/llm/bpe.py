@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,8 @@ from .common import blocks, narrow
 SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE[1:-1]}\p{{L}}\p{{N}}]+"
 END = "</w>"
+#: More than the number of symbols; most words, runs and pairs of tokens that a worker remembers each.
+STEP, REMEMBER = 1 << 16, 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -56,36 +59,39 @@ class PrefixEncoder:
         for whole, (a, b) in self.parts.items():
             self.spelled[whole] = self.spelled[a] + self.spelled[b]
         self._automaton()
-        self.known: dict[tuple[int, int], bool] = {}
+        self.size = array("i", (len(self.spelled.get(i, ())) for i in range(max(self.spelled) + 1)))
+        del self.spelled
+        self.known: dict[int, bool] = {}
 
     def _automaton(self) -> None:
         """Trie of the tokens' symbols with suffix links; each node knows its own token and the next
         node up the suffix links that has one."""
-        self.go: list[dict[int, int]] = [{}]
-        self.token = [-1]
+        self.go: dict[int, int] = {}  # node * STEP + symbol -> node
+        token, kids = [-1], [[]]
         for i, spelled in self.spelled.items():
             node = 0
             for s in spelled:
-                to = self.go[node].get(s)
+                to = self.go.get(node * STEP + s)
                 if to is None:
-                    to = self.go[node][s] = len(self.go)
-                    self.go.append({})
-                    self.token.append(-1)
+                    to = self.go[node * STEP + s] = len(token)
+                    kids[node].append((s, to))
+                    token.append(-1)
+                    kids.append([])
                 node = to
-            self.token[node] = i
-        n = len(self.go)
-        self.link, self.shorter = [0] * n, [0] * n
-        queue = deque(self.go[0].values())
+            token[node] = i
+        link, shorter = [0] * len(token), [0] * len(token)
+        queue = deque(to for _, to in kids[0])
         while queue:
             node = queue.popleft()
-            for s, to in self.go[node].items():
-                up = self.link[node]
-                while up and s not in self.go[up]:
-                    up = self.link[up]
-                self.link[to] = self.go[up].get(s, 0)
+            for s, to in kids[node]:
+                up = link[node]
+                while up and up * STEP + s not in self.go:
+                    up = link[up]
+                link[to] = self.go.get(up * STEP + s, 0)
                 queue.append(to)
-            up = self.link[node]
-            self.shorter[node] = up if self.token[up] >= 0 else self.shorter[up]
+            up = link[node]
+            shorter[node] = up if token[up] >= 0 else shorter[up]
+        self.token, self.link, self.shorter = array("i", token), array("i", link), array("i", shorter)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave ``left`` and ``right`` apart where they meet.
@@ -94,12 +100,13 @@ class PrefixEncoder:
         joined by a merge that comes before the merges that hid them, the pair would not have
         come to be.
         """
-        key = (left, right)
+        key = left * STEP * STEP + right
         found = self.known.get(key)
         if found is None:
             found = self._apart(left, right)
-            if len(self.known) < 1_000_000:
-                self.known[key] = found
+            if len(self.known) >= REMEMBER:
+                self.known.clear()
+            self.known[key] = found
         return found
 
     def _apart(self, left: int, right: int) -> bool:
@@ -122,15 +129,15 @@ class PrefixEncoder:
     def encode(self, word: bytes) -> list[int]:
         symbols = [self.inner[b] for b in word[:-1]] + [self.final[word[-1]]]
         last, node = [-1] * len(symbols), 0
-        go, link, token, shorter = self.go, self.link, self.token, self.shorter
+        go, link, token, shorter, size = self.go, self.link, self.token, self.shorter, self.size
         for at, s in enumerate(symbols):
-            while node and s not in go[node]:
+            while node and node * STEP + s not in go:
                 node = link[node]
-            node = go[node].get(s, 0)
+            node = go.get(node * STEP + s, 0)
             match = node if token[node] >= 0 else shorter[node]
             while match:
                 t = token[match]
-                before = at - len(self.spelled[t])
+                before = at - size[t]
                 if before < 0 or (last[before] >= 0 and self.compatible(last[before], t)):
                     last[at] = t
                     break
@@ -138,14 +145,14 @@ class PrefixEncoder:
         out, at = [], len(symbols) - 1
         while at >= 0:
             out.append(last[at])
-            at -= len(self.spelled[last[at]])
+            at -= size[last[at]]
         return out[::-1]
 
 
 class WordBpe:
     """Whole texts: normalising, splitting into words, and per-word ids and tokens, remembered."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = REMEMBER):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -226,8 +233,9 @@ def load(path: str) -> WordBpe:
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian 32-bit), decoded.
 
-    Null and empty texts have no ids and decode to the empty text. Rows are independent; extra columns
-    are ignored.
+    Null and empty texts have no ids and decode to the empty text. Rows are independent, so repeated ones and null
+    ids stay as they are; a long text takes memory in proportion to its length; extra columns are ignored; an empty
+    table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
