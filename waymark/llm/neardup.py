@@ -7,10 +7,14 @@
    bits of the XOR of two sketches count the values in which the two differ, most precisely
    where similarities are high.
 3. Classes that share a band are candidates. First each is held against the bucket's least
-   class (a star, so the pairs are no more than the bucket's rows); then, among buckets that
-   still hold several components, against the members of other components. Candidate pairs pass the
-   odd-sketch and size tests and the parity bound below, then are confirmed on full shingle sets.
+   class (a star, so the pairs are no more than the bucket's rows). In buckets that then still hold several
+   components, those of at most ``SMALL`` members are compared pair by pair, larger ones with ``CENTRES`` further
+   members each. Candidate pairs pass the odd-sketch and size tests and the parity bound below, then are confirmed on
+   full shingle sets.
 4. Components of the confirmed links.
+5. Larger buckets that still hold several components are mostly texts that share boilerplate and are not alike. They
+   are settled exactly by prefixes: two sets of similarity s share one of the first n - s n + 1 shingles of each, in
+   any common order of shingles; the order by frequency puts boilerplate last, so few pairs share one.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**28, about 2e-5; the
 sketch test turns away a true pair less often still (over four standard deviations).
@@ -50,6 +54,8 @@ PART = 1 << 18
 _KS = [f"k{j}" for j in range(SKETCH_BITS // 64)]
 _FS = [f"f{j}" for j in range(PARITY_BITS // 64)]
 _SKINNY = ["n", *_KS, *_FS]
+#: Members up to which all pairs of an open bucket are compared; centres of larger ones; counters of shingle frequency.
+SMALL, CENTRES, COUNTERS = 32, 4, 1 << 18
 #: Most ids of candidate documents that are broadcast to pick their texts (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -209,6 +215,74 @@ def _confirmed(likely: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
 
+def open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, doc_id, part, size) of the members (band, a, doc_id) of buckets that hold several components, without the
+    bucket's least class a, which has been compared with all others."""
+    placed = members.join(found, members.doc_id == found.id, "left").select("band", "a", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"))
+    return placed.join(mixed.where("lo <> hi and size > 2").select("band", "size"), "band").where("a <> doc_id").drop("a")
+
+
+def small_pairs(open_: DataFrame) -> DataFrame:
+    """(a, b) of different components in open buckets of at most SMALL members."""
+    own = open_.where(F.col("size") <= SMALL)
+    one, other = (own.select("band", F.col("doc_id").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+    return one.join(other, "band").where("part_a < part_b").select("a", "b")
+
+
+def centre_pairs(open_: DataFrame) -> DataFrame:
+    """(a, b) of the members of larger open buckets and CENTRES members drawn by a hash: CENTRES pairs a member at most."""
+    own = open_.where(F.col("size") > SMALL)
+    drawn = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), F.col("doc_id").alias("a"), F.col("part").alias("part_a"))).alias(f"c{k}") for k in range(CENTRES)]
+    centres = own.groupBy("band").agg(*drawn).select("band", F.inline(F.array_distinct(F.array(*(F.struct(F.col(f"c{k}.a"), F.col(f"c{k}.part_a")) for k in range(CENTRES))))))
+    return own.join(centres, "band").where("part <> part_a").select("a", F.col("doc_id").alias("b"))
+
+
+def prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of different components among documents (doc_id, part) that share a shingle of their prefixes: every pair
+    of the similarity asked for, and few others. Frequencies are those of COUNTERS counters, an array of fixed size, by
+    which shingles are told apart well enough to come in a good order; any order gives all pairs."""
+    own = texts.join(rest, "doc_id")
+    counted = own.select("text").mapInArrow(_histogram, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    often = np.zeros(COUNTERS, np.int64)
+    for r in counted:
+        often[r["slot"]] = r["n"]
+    shared = rest.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            sets = shingle_sets([t.encode() for t in block.column("text").to_pylist()])
+            firsts = [s[np.lexsort((s, shared.value[(s % U(COUNTERS)).astype(np.int64)]))[: prefix_size(len(s))]] for s in sets]
+            row = pa.array(np.repeat(np.arange(len(sets)), [len(f) for f in firsts]))
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id").take(row), block.column("part").take(row), pa.array(signed(np.concatenate(firsts)))], names=["doc_id", "part", "shingle"]
+            )
+
+    entries = cut(own.select("doc_id", "part", "text").mapInArrow(prefixes, "doc_id long, part long, shingle long"))
+    mixed = entries.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("shingle")
+    entries = entries.join(mixed, "shingle")
+    one, other = (entries.select("shingle", F.col("doc_id").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+    return one.join(other, "shingle").where("part_a < part_b").select("a", "b")
+
+
+def prefix_size(n: int) -> int:
+    return n - -(-n * PERCENT // 100) + 1
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(COUNTERS, np.int64)
+    for block in blocks(batches):
+        for s in shingle_sets([t.encode() for t in block.column("text").to_pylist()]):
+            np.add.at(n, (s % U(COUNTERS)).astype(np.int64), 1)
+    slot = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n[slot])], names=["slot", "n"])
+
+
+def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The different pairs (a, b) that the sketches do not rule out."""
+    return cut(pairs.distinct().join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_likely()).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -226,23 +300,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = classes.select(F.explode("bands").alias("band"), "doc_id")
     shared = entries.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = cut(entries.join(shared, "band"))
-    star = members.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    likely = cut(star.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_likely()).select("a", "b"))
-    links = _confirmed(likely, texts)
+    star = members.where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    links = _confirmed(likely_pairs(star, classes), texts)
     found = cut(components(links))
 
-    placed = members.join(found, members.doc_id == found.id, "left").select(
-        "band", "a", "doc_id", F.coalesce("component", "doc_id").alias("part")
-    )
-    mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"))
-    open_ = placed.join(mixed.where("lo <> hi and size > 2").select("band"), "band").where("a <> doc_id")
-    full = open_.drop("a").join(classes.select("doc_id", *_SKINNY), "doc_id")
-    one, other = _side(full, "a", "band", F.col("part").alias("part_a")), _side(full, "b", "band", F.col("part").alias("part_b"))
-    across = cut(one.join(other, "band").where((F.col("part_a") < F.col("part_b")) & _likely()).select("a", "b").distinct())
-    if not across.isEmpty():
-        more = _confirmed(across, texts)
-        if not more.isEmpty():
-            found = cut(components(links.union(more)))
+    open_ = cut(open_buckets(members, found))
+    across = likely_pairs(small_pairs(open_).union(centre_pairs(open_)), classes)
+    more = _confirmed(across, texts)
+    if not more.isEmpty():
+        links = cut(links.union(more))
+        found = cut(components(links))
+    if not open_.where(F.col("size") > SMALL).isEmpty():
+        rest = cut(open_buckets(members, found).where(F.col("size") > SMALL).select("doc_id", "part").distinct())
+        if not rest.isEmpty():
+            last = _confirmed(likely_pairs(prefix_pairs(rest, texts), classes), texts)
+            if not last.isEmpty():
+                found = cut(components(links.union(last)))
 
     ids = classes.select("digest", F.col("doc_id").alias("rep"))
     return (
