@@ -48,7 +48,9 @@ def effective_intensity(level: int | None = tk.DEFAULT_LEVEL) -> Column:
 
 
 def with_level(pages: DataFrame, files: DataFrame | None, level: int) -> DataFrame:
-    """(file_id, page_num, text, level) of pages that have a digit."""
+    """(file_id, page_num, text, level) of pages that have a digit; pages with a level of their own keep it."""
+    if "level" in pages.columns:
+        return pages.where(F.regexp_like("text", F.lit("[0-9]"))).select("file_id", F.col("page_num").cast("int"), "text", "level")
     some = pages.where(F.regexp_like("text", F.lit("[0-9]"))).select("file_id", F.col("page_num").cast("int"), "text")
     if files is None:
         return some.withColumn("level", F.lit(level))

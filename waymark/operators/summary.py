@@ -19,9 +19,14 @@ def file_summary(files: DataFrame, dets: DataFrame) -> DataFrame:
 def corpus_summary(files: DataFrame, dets: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: n_files, n_hidden, n_pages with detections in visible files, n_rows visible."""
     shown = files.where("not hidden").select("file_id")
-    pages = dets.join(shown, "file_id", "left_semi").select("file_id", "page_num").distinct().agg(F.count("*").alias("n_pages"))
-    counts = files.agg(F.count("*").alias("n_files"), F.count_if("hidden").alias("n_hidden"))
-    return counts.crossJoin(pages).crossJoin(visible_rows(rows, files).agg(F.count("*").alias("n_rows")))
+    pages = dets.join(shown, "file_id", "left_semi").select("file_id", "page_num").distinct()
+    counted = [
+        files.agg(F.count("*").alias("n_files"), F.count_if("hidden").alias("n_hidden")),
+        pages.agg(F.count("*").alias("n_pages")),
+        visible_rows(rows, files).agg(F.count("*").alias("n_rows")),
+    ]
+    every = counted[0].unionByName(counted[1], allowMissingColumns=True).unionByName(counted[2], allowMissingColumns=True)
+    return every.agg(*(F.sum(c).alias(c) for c in every.columns))
 
 
 def pages_with_hits(pages: DataFrame, dets: DataFrame, show_all: bool = False) -> DataFrame:

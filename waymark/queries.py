@@ -71,11 +71,9 @@ def e5(spark, d):
 @query("e4_pair_tokens_by_level", P + "SELECT l AS level, CAST(count(*) FILTER (n_pages=1 AND (l>=5 OR style<>5)) AS BIGINT) AS n_pairs FROM planted, range(1,8) t(l) GROUP BY l")
 def e4(spark, d):
     pages = fx.planted_pages(spark, d)
-    counts = [extract.extract_coordinates(pages, level=n).where("lat is not null and lon is not null").agg(F.lit(n).cast("long").alias("level"), F.count("*").alias("n_pairs")) for n in range(1, 8)]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.union(c)
-    return out
+    each = pages.select("page_num", "text", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("level"), "file_id").withColumn("file_id", F.concat_ws(":", "level", "file_id"))
+    pairs = extract.extract_coordinates(each).where("lat is not null and lon is not null")
+    return pairs.groupBy(F.substring_index("file_id", ":", 1).cast("long").alias("level")).agg(F.count("*").alias("n_pairs"))
 
 
 @query("e4_pair_tokens", P + "SELECT file_id, page_num, lat_micro, lon_micro FROM planted WHERE n_pages=1")
@@ -683,9 +681,12 @@ def s6(spark, d):
     for p in ("p1", "p2"):
         project.save_project(tables, base, p, f"Project {p}", ["Type", "Detail", "More"])
     project.delete_project(spark, base, "p2")
-    loaded, _ = project.load_project(spark, base, "p1")
-    names = project.list_projects(spark, base).select(F.col("project_id").alias("project"))
-    return names.crossJoin(loaded["rows"].select("row_id", col.cell(0).alias("c0"), col.cell(2).alias("c2")))
+    out = None
+    for p in (r["project_id"] for r in project.list_projects(spark, base).collect()):
+        loaded, _ = project.load_project(spark, base, p)
+        own = loaded["rows"].select(F.lit(p).alias("project"), "row_id", col.cell(0).alias("c0"), col.cell(2).alias("c2"))
+        out = own if out is None else out.union(own)
+    return out
 
 
 @query("x1_scan_stream", P + "SELECT file_id, page_num, lat_micro, lon_micro FROM planted")
