@@ -1,4 +1,9 @@
-"""A corpus pipeline over documents: language, quality, near copies, repeated passages, packing."""
+"""A corpus pipeline over documents: language, quality, near copies, repeated passages, packing.
+
+Each stage takes and, but for the last, returns documents (doc_id, text, lang, source, n_chars); other columns are ignored. An
+empty table gives an empty result. A null id is a document of its own, which no other can stand for; rows that repeat an
+id stay or go together; a null text counts as empty.
+"""
 
 from __future__ import annotations
 
@@ -24,21 +29,22 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined."""
+    """Documents whose language is determined. Null and empty texts and texts without letters go."""
     docs = _columns(docs)
     said = langid.identify(docs, langid.train(docs), lang="__lang", score="__share")
     return said.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__share") >= LEAST_LANGUAGE)).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls good."""
+    """Documents that the classifier calls good, as fitted on the labels of the documents given. Without labels its scores are
+    those of an unlearned model, about a half, so all stay."""
     docs = _columns(docs)
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), name="__score")
     return scored.where(F.col("__score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of least doc_id."""
+    """One document of each group of near copies, the one of least doc_id; null ids and texts without words stay."""
     docs = _columns(docs)
     dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
@@ -72,7 +78,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained models and 64-bit sketches are not SQL; tests hold the stages against brute force.
+#: Trained models are not SQL; tests hold every stage's rows against brute force, and run() against the stages.
 ORACLE_SQL = None
 
 
