@@ -500,6 +500,19 @@ def test_rows_of_one_turn_are_all_kept(spark, tmp_path):
         assert len(lines) == len(want) and all(any(got.endswith(w) for got in lines) for w in want)
 
 
+def test_long_turns_and_clashing_columns(spark, tmp_path):
+    from waymark.llm.queries import op7_chat
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"plain {c} {t} {words(6)}") for c in range(20) for t in range(6)]
+    rows += [(7, 6, "user", "\n".join(f"line {i}" for i in range(3000))), (7, 7, "assistant", "done")]
+    df = spark.createDataFrame(rows * 2, "conv_id long, turn long, role string, text string")
+    df = df.withColumns({"conv": F.lit("?"), "pos": F.lit("x"), "line": F.lit(1), "at": F.lit(2), "state": F.lit("y"), "start": F.lit(0)})
+    df.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = op7_chat(spark, str(tmp_path)).where("conv_id = 7").collect()
+    said = [line for r in sorted(out, key=lambda r: r.turn) for line in r.text.split("\n")]
+    assert sum(r.n_lines for r in out) in range(3007, 3020) and [x for x in said if x.startswith("line ")][-2999:] == [f"line {i}" for i in range(1, 3000)]
+
+
 def test_lines_are_numbered_across_ranges(spark):
     rng = random.Random(8)
     places = [(c, rng.randrange(40), str(i)) for c, n in ((7, 3000), (1, 5), (9, 700), (-4, 1)) for i in range(n)]
@@ -545,6 +558,120 @@ def test_pipeline_small(spark):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+SPEECH = {
+    "en": "the river and ridge of stone with water over this hill where they went".split(),
+    "de": "der fluss und das gebirge aus stein mit wasser über diesem hügel wohin sie gingen".split(),
+    "fr": "le fleuve et la crête du rocher avec eau sur cette colline où ils allaient".split(),
+    "es": "el río y la cresta del peñasco con agua sobre esta colina donde ellos iban".split(),
+}
+
+
+def corpus(rng):
+    """(doc_id, text, lang, source, n_chars) and quality labels: good and bad texts of four languages, near and exact copies, a shared
+    passage, a text of all languages alike, one without letters, null texts and ids."""
+    said = lambda k, n: " ".join(rng.choice(SPEECH[k]) + str(rng.randrange(100)) for _ in range(n))
+    langs = list(SPEECH)
+    texts = [(said(langs[i % 4], 60), langs[i % 4], 1) for i in range(80)]
+    texts += [("$$ 99 ## !! " * 12 + said(langs[i % 4], 8), langs[i % 4], 0) for i in range(40)]
+    passage = said("en", 50)
+    texts += [(said("en", 20) + " " + passage + " " + said("en", 20), "en", 1) for _ in range(3)]
+    texts += [(texts[i][0] + " more", texts[i][1], 1) for i in range(6)] + [texts[3], texts[3]]
+    texts += [(" ".join(w for four in zip(*(rng.sample(SPEECH[k], 10) for k in langs), strict=True) for w in four), None, 1), ("12 34 56 !!", None, 0), (None, "en", 1)]
+    rows = [(i, t, lang, "web", len(t or "")) for i, (t, lang, _) in enumerate(texts)] + [(None, said("de", 50), "de", None, None)]
+    return rows, [(i, q, 0) for i, (_, _, q) in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """What goes into each stage and what comes out of it, as run() writes it."""
+    import corpus_pipeline as cp
+
+    base = str(tmp_path_factory.mktemp("corpus"))
+    rows, labels = corpus(random.Random(31))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).withColumn("score", F.lit(1)).write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    frames = [spark.createDataFrame(rows, schema)]
+    for _, stage in cp.STAGES:
+        out = stage(spark, frames[-1], base)
+        frames.append(spark.createDataFrame(out.collect(), out.schema))
+    return base, frames
+
+
+def as_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_pipeline_languages_by_brute_force(spark, stages):
+    import corpus_pipeline as cp
+    import pyarrow as pa
+
+    model = langid.train(stages[1][0])
+    want = []
+    for r in stages[1][0].collect():
+        code, scores, (n,) = langid._coded(model, pa.array([r.text or ""]))
+        if n:
+            p, _ = langid.forward_backward(scores[code][:, None, :], np.ones((n, 1), bool), model.transitions)
+            if p[:, 0].mean(axis=0).max() >= cp.LEAST_LANGUAGE:
+                want.append(tuple(r))
+    assert as_rows(stages[1][1]) == sorted(want, key=repr)
+    gone = {r.doc_id for r in stages[1][0].collect()} - {r.doc_id for r in stages[1][1].collect()}
+    mixed, none, null = (r.doc_id for r in stages[1][0].collect() if r.lang is None or r.text is None)
+    assert {none, null} <= gone and mixed in gone and len(gone) == 3
+
+
+def test_pipeline_quality_by_brute_force(spark, stages):
+    import corpus_pipeline as cp
+
+    model = quality.train(stages[1][1], spark.read.parquet(f"{stages[0]}/labels.parquet"))
+    want = []
+    for r in stages[1][1].collect():
+        x, _ = quality.passages([r.text])
+        h = np.tanh(x @ model.p["E"] + model.p["e"])
+        a = np.exp((np.tanh(h @ model.p["V"]) / (1 + np.exp(-(h @ model.p["U"])))) @ model.p["w"])
+        if 1 / (1 + np.exp(-((a / a.sum()) @ h @ model.p["c"] + model.p["d"][0]))) >= cp.LEAST_QUALITY:
+            want.append(tuple(r))
+    assert as_rows(stages[1][2]) == sorted(want, key=repr)
+    kept = {r.doc_id for r in stages[1][2].collect()}
+    assert not kept & set(range(80, 120)) and set(range(80)) <= kept
+
+
+def test_pipeline_copies_and_passages_by_brute_force(spark, stages):
+    rows = stages[1][2].collect()
+    named = sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id)
+    root, _ = brute_components([r.text for r in named])
+    want = [tuple(r) for i, r in enumerate(named) if root[i] == i] + [tuple(r) for r in rows if r.doc_id is None]
+    assert as_rows(stages[1][3]) == sorted(want, key=repr) and len(want) == len(rows) - 8
+
+    rows = stages[1][3].collect()
+    want = []
+    for r, kept in zip(rows, brute_kept([r.text for r in rows]), strict=True):
+        if len(kept.split()) == len(r.text.split()):
+            want.append(tuple(r))
+        elif kept:
+            want.append((r.doc_id, kept, r.lang, r.source, len(kept)))
+    assert as_rows(stages[1][4]) == sorted(want, key=repr) and any(tuple(r) not in want for r in rows)
+
+
+def test_pipeline_packing_and_run(spark, stages):
+    import corpus_pipeline as cp
+
+    t = library("byte_bpe_50k.json")
+    rows, packed = stages[1][4].collect(), stages[1][5].toPandas()
+    want = sorted(len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in rows)
+    whole = packed.assign(key=packed.doc_id.fillna(-1)).groupby("key")
+    assert sorted(whole.length.sum()) == want and (packed.groupby("sequence_id").length.sum() <= 1024).all()
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert as_rows(cp.run(spark, stages[0]).select(columns)) == as_rows(stages[1][5].select(columns))
+
+
+def test_pipeline_stages_on_empty_tables(spark, stages):
+    import corpus_pipeline as cp
+
+    for _, stage in cp.STAGES:
+        assert stage(spark, stages[1][0].limit(0), stages[0]).count() == 0
+
+
 def test_quality_is_the_same_however_texts_are_cut(monkeypatch):
     text = ("Plain words, 12 numbers; <b>marks</b> and $$$ again again " * 300).encode() + "é ünd ".encode() * 500 + b"x" * 3000
     (group,) = quality.parts([text, b"", b"ab"], part=1 << 30)

@@ -92,12 +92,12 @@ def numbered(lines: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return counted.join(F.broadcast(offsets), ["part", "conv"], "left").withColumn("at", F.col("at") + F.coalesce("more", F.lit(0))).drop("part", "more")
 
 
-def train(lines: DataFrame, sample: int = 2000) -> Hmm:
+def train(lines: DataFrame, sample: int = 2000, turns: int = 64) -> Hmm:
     """From labelled lines (conv, turn, row, nth, line, role, begins): those of at most ``sample`` conversations with the
-    least hash of the id among those whose crc32(id as text) mod 5 is not 0, first 64 turns of each."""
+    least hash of the id among those whose crc32(id as text) mod 5 is not 0; of each, the lines of turns below ``turns``."""
     convs = lines.where(~crc_mod("conv", 5).isin(0, -1)).select("conv").distinct()
     convs = convs.orderBy(F.xxhash64("conv"), "conv").limit(sample)
-    rows = lines.join(F.broadcast(convs), "conv").where(F.col("turn") < 64)
+    rows = lines.join(F.broadcast(convs), "conv").where(F.col("turn") < turns)
     index = sum((F.when(F.col("role") == r, 2 * i).otherwise(0) for i, r in enumerate(ROLES)), F.lit(0))
     rows = rows.where(F.col("role").isin(ROLES)).select("conv", *PLACE, "line", (index + F.when(F.col("begins"), 0).otherwise(1)).alias("s"), observed(F.col("line")).alias("o"))
     rows = numbered(rows, PLACE).select("conv", "at", "s", "o")
@@ -180,7 +180,8 @@ def parse_transcripts(lines: DataFrame, model: Hmm, span: int = 256, order: tupl
     """Turns (conv_id, start, role, n_lines, text, rendered) of transcript lines (conv, *order, line) in the order
     of the columns ``order``, then of the lines themselves; ``start`` is the first of these columns at the turn's
     first line, and ``span`` lines are a block. A null conversation id is one conversation of its own; a null line
-    is blank; lines equal in every column are one line's repeats and are decoded once, all others are kept."""
+    is blank; lines equal in every column are one line's repeats and are decoded once, all others are kept; other columns are
+    ignored; conversations and turns of any length are handled alike; an empty table gives an empty result."""
     source = lines.select(F.coalesce("conv", F.lit(NO_ID)).alias("conv"), *order, F.coalesce("line", F.lit("")).alias("line")).distinct()
     source = numbered(source, order).select("conv", F.col("at").alias("pos"), F.col(order[0]).alias("first"), "line")
     states = viterbi(source.withColumn("o", observed(F.col("line"))), model, span)
