@@ -78,29 +78,35 @@ def fingerprints(texts: list[bytes], terms: int = TERMS) -> np.ndarray:
         owner, term, weight = weighted_terms(words, share_, shares)
         if len(owner):
             _sample(owner, term, weight, least)
-    least[words.counts == 0] = 0
-    return (least & U(0xFFFF)).astype(np.uint16)
+    samples = mix((least & _LOW) + np.arange(SAMPLES, dtype=U) * U(0xD6E8FEB86659FD93)).astype(np.uint16)
+    samples[words.counts == 0] = 0
+    return samples
+
+
+_LOW = U(0xFFFFFFFF)
 
 
 def _sample(owner: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray) -> None:
-    """Lower the least key of each text and sample by these terms; a key's last 16 bits are the sample."""
-    both = mix(term + weight.astype(U) * U(0x9E3779B97F4A7C15))
-    _, one, code = np.unique(both, return_index=True, return_inverse=True)
-    h, ln_w = term[one], np.log(weight[one]).astype(np.float32)
-    single = bool((weight == 1).all())
+    """Lower the least key of each text and sample by these terms. A key has the value to be least in its upper half, raised
+    above zero so that it orders like an integer, and below what is sampled: term and t."""
     starts = np.flatnonzero(np.diff(owner, prepend=-1))
     rows = owner[starts]
+    many = np.flatnonzero(weight > 1)
+    ln_w, sampled = np.log(weight[many]).astype(np.float32), term >> U(32)
     for k in range(SAMPLES):
-        x = (h ^ _FLIP[k]) * _MULTIPLY[k]
+        x = (term ^ _FLIP[k]) * _MULTIPLY[k]
         x ^= x >> U(29)
-        r, ln_c, b = _R[(x & U(0xFFFF)).astype(np.intp)], _LN_C[(x >> U(48)).astype(np.intp)], _B[((x >> U(16)) & U(0xFFFF)).astype(np.intp)]
-        t = np.zeros_like(b) if single else np.floor(ln_w / r + b)
-        a = ln_c - r * (t - b) - r
-        bits = a.view(np.uint32)
-        bits = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000))
-        drawn = mix(h + t.astype(np.int64).view(U) * U(0xD6E8FEB86659FD93) + U(k))
-        key = (bits.astype(U) << U(32)) | (drawn >> U(32))
-        least[rows, k] = np.minimum(least[rows, k], np.minimum.reduceat(key[code], starts))
+        drawn = x.view(np.uint16).reshape(-1, 4)
+        r, b, ln_c = _R[drawn[:, 0]], _B[drawn[:, 1]], _LN_C[drawn[:, 3]]
+        a = ln_c - r * (1 - b)  # t is 0 where the weight is 1
+        low = sampled
+        if len(many):
+            t = np.floor(ln_w / r[many] + b[many])
+            a[many] = ln_c[many] - r[many] * (t - b[many]) - r[many]
+            low = sampled.copy()
+            low[many] = (sampled[many] + t.astype(U) * U(0x9E3779B1)) & _LOW
+        key = ((a + np.float32(64)).view(np.uint32).astype(U) << U(32)) | low
+        least[rows, k] = np.minimum(least[rows, k], np.minimum.reduceat(key, starts))
 
 
 def in_groups(texts: list[str], limit: int = 1 << 20) -> np.ndarray:
