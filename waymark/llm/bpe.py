@@ -29,8 +29,8 @@ from .common import blocks, narrow
 SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE[1:-1]}\p{{L}}\p{{N}}]+"
 END = "</w>"
-#: More than the number of symbols; most words, runs and pairs of tokens that a worker remembers each.
-STEP, REMEMBER = 1 << 16, 100_000
+#: More than the number of symbols; words, runs and pairs of tokens that a worker remembers of each, twice as many at most.
+STEP, REMEMBER = 1 << 16, 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -104,7 +104,7 @@ class PrefixEncoder:
         found = self.known.get(key)
         if found is None:
             found = self._apart(left, right)
-            if len(self.known) >= REMEMBER:
+            if len(self.known) >= 2 * REMEMBER:
                 self.known.clear()
             self.known[key] = found
         return found
@@ -129,18 +129,26 @@ class PrefixEncoder:
     def encode(self, word: bytes) -> list[int]:
         symbols = [self.inner[b] for b in word[:-1]] + [self.final[word[-1]]]
         last, node = [-1] * len(symbols), 0
-        go, link, token, shorter, size = self.go, self.link, self.token, self.shorter, self.size
+        go, link, token, shorter, size, known = self.go.get, self.link, self.token, self.shorter, self.size, self.known.get
         for at, s in enumerate(symbols):
-            while node and node * STEP + s not in go:
+            to = go(node * STEP + s)
+            while to is None and node:
                 node = link[node]
-            node = go.get(node * STEP + s, 0)
+                to = go(node * STEP + s)
+            node = to or 0
             match = node if token[node] >= 0 else shorter[node]
             while match:
                 t = token[match]
                 before = at - size[t]
-                if before < 0 or (last[before] >= 0 and self.compatible(last[before], t)):
+                if before < 0:
                     last[at] = t
                     break
+                left = last[before]
+                if left >= 0:
+                    apart = known(left * STEP * STEP + t)
+                    if self.compatible(left, t) if apart is None else apart:
+                        last[at] = t
+                        break
                 match = shorter[match]
         out, at = [], len(symbols) - 1
         while at >= 0:
@@ -149,6 +157,24 @@ class PrefixEncoder:
         return out[::-1]
 
 
+class Recent:
+    """What was found for keys met of late: when ``most`` are new, those older than the ones before them are dropped."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, found) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = found
+
+
 class WordBpe:
     """Whole texts: normalising, splitting into words, and per-word ids and tokens, remembered."""
 
@@ -161,9 +187,7 @@ class WordBpe:
         self.names = self.words.names | {i: s for s, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, self.special)))
         self.pattern = regex.compile(WORDS)
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.remember = remember
+        self.chunks, self.memo = Recent(remember), Recent(remember)
 
     def _normal(self, text: str) -> str:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
@@ -173,9 +197,7 @@ class WordBpe:
         ids = self.memo.get(word)
         if ids is None:
             ids = tuple(self.words.encode(word.encode()))
-            if len(self.memo) >= self.remember:
-                self.memo.clear()
-            self.memo[word] = ids
+            self.memo.put(word, ids)
         return ids
 
     def ids(self, text: str) -> list[int]:
@@ -198,15 +220,13 @@ class WordBpe:
             ids = tuple(self.ids(text))
             found = (ids, self.decode(ids))
             if len(text) < 64:
-                self.chunks[text] = found
+                self.chunks.put(text, found)
         return found
 
     def block(self, texts: pa.Array) -> tuple[list[np.ndarray], list[str]]:
         """Ids and decoded text of many texts. Runs between ASCII white space are encoded once each."""
         parts = pc.split_pattern_regex(texts, "[ \\t\\n\\r]+")
         coded = parts.flatten().dictionary_encode()
-        if len(self.chunks) >= self.remember:
-            self.chunks.clear()
         both = [self.chunk(c) for c in coded.dictionary.to_pylist()]
         ids, decoded = [b[0] for b in both], [b[1] for b in both]
         count = np.fromiter((len(i) for i in ids), np.int64, len(ids))
@@ -240,7 +260,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=2 << 20):
             ids, decoded = coder.block(block.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
