@@ -867,6 +867,14 @@ def test_layouts_are_all_in_the_template(spark):
     assert all(f"other {i} " in t for i, t in enumerate(out[40:]))
 
 
+def test_pages_without_an_article_stay_empty(spark):
+    rng = random.Random(17)
+    page = lambda i, story: f"<div class='k1'>buy {i}</div><div class='k2'><h1></h1><p>{story}</p></div><div class='k3'>rights {i}</div>"
+    pages = [page(i, f"story {i} {words(40, rng)}") for i in range(8)] + [page(8, "")]
+    out = extracted(spark, [("http://e.example/", p) for p in pages])
+    assert all(t.startswith(f"story {i} ") for i, t in enumerate(out[:8])) and out[8] == ""
+
+
 def test_repeated_paragraphs_lose_constant_ends(spark):
     rng = random.Random(14)
     pages = [f"<article><h1>head</h1><p>our daily slogan</p><p>story {i} {words(30, rng)}</p><p>more {words(9, rng)}</p><p>all rights reserved</p></article>" for i in range(10)]

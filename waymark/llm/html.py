@@ -566,15 +566,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for host, template, form, node, text, aside, main, kept, fixed in zip(*(batch.column(c).to_pylist() for c in ("host", "template", "form", "node", "text", "aside", "main", "kept", "fixed")), strict=True):
-            keep = []
+            known = False
             if kept:
                 inside, constant = wrappers.get(host) or _remember(wrappers, host, (set(kept), {(f["slot"], f["nth"], f["said"]) for f in fixed or ()}))
                 at = slots(form, template)
+                known = any(slot in inside for slot in at)
                 place = [at[n] if n >= 0 else -1 for n in node]
                 keep = [p in inside for p in place]
                 if constant:
                     keep = [k and (p, n, _digest(t)) not in constant for k, p, n, t in zip(keep, place, numbered(place), text, strict=True)]
-            if not any(keep):  # no wrapper, or one that this page has no part of
+            if not known:  # no wrapper, or a layout that it has no part of
                 keep = by_marks(main, aside)
             texts.append(" ".join(t for t, k in zip(text, keep, strict=True) if k))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
