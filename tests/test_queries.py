@@ -3,12 +3,14 @@
 import glob
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from waymark import queries as q
 from waymark.functions import columns as col
+from waymark.functions import tokens as tk
 from waymark.operators import assist, extract, rows
 from waymark.sources import corpus, csv, shared
 
@@ -174,3 +176,20 @@ def test_cross_pairs_that_share_a_half(spark):
     found, _ = extract.scan_corpus(df, files, none)
     got = sorted((r.page_num, r.is_cross, r.lat and round(r.lat, 2), r.lon and round(r.lon, 2)) for r in found.collect())
     assert got == [(2, 1, 41.4, 2.17), (3, 0, None, 3.17), (5, 1, 41.4, 2.17)]
+
+
+def test_breaks_that_are_not_read_have_no_pair(spark):
+    """Random texts cut at any place: the filter of breaks loses no pair."""
+    rng = random.Random(41)
+    bits = ["12", "41.5", "104", "7,25", "59", "°", "o", "O", "'", '"', " ", " ", "\n", "N", "S", "e", "w", "north", "Oeste", "lat", "Lat.", "Longitude", "xLat", "toN", "-", "−", ",", ", ", ";", "and", " by ", "to", "x", "(", ".", ":", "a ", "the "]
+    pages = [(f"f{i}", p, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 12)))) for i in range(6000) for p in (1, 2)]
+    df = spark.createDataFrame(pages, "file_id string, page_num int, text string")
+    got = {r.file_id for r in extract.extract_cross_page(df, level=7).collect()}
+    texts = {(f, p): t for f, p, t in pages}
+    want = set()
+    for i in range(6000):
+        tail, head = texts[f"f{i}", 1], texts[f"f{i}", 2]
+        for lat, lon in tk.extract(tail + "\n" + head, 7):
+            if lat and lon and min(lat.start, lon.start) < len(tail) and max(lat.end, lon.end) > len(tail) + 1:
+                want.add(f"f{i}")
+    assert got == want and len(want) > 150

@@ -120,10 +120,21 @@ def _segments(half: str) -> Column:
     return F.filter(both, lambda x: x.isNotNull())
 
 
+def _may_span() -> Column:
+    """Whether a pair may span the break between ``tail`` and ``head``: no words but those of coordinates stand between the last
+    number before and the first after it, or such a word or white space ends the tail or begins the head."""
+    digit = lambda c: F.regexp_like(c, F.lit("[0-9]"))
+    between = F.concat(F.regexp_extract("tail", "[^0-9]*$", 0), F.lit("\n"), F.regexp_extract("head", "^[^0-9]*", 0))
+    bridged = ~F.regexp_like(F.regexp_replace(between, tk.BETWEEN_NUMBERS, ""), F.lit("[A-Za-z]"))
+    ends, begins = F.regexp_like("tail", F.lit(tk.ENDS_BEFORE_NUMBER)), F.regexp_like("head", F.lit(tk.BEGINS_AFTER_NUMBER))
+    return (digit("tail") & digit("head") & bridged) | (digit("head") & ends) | (digit("tail") & begins)
+
+
 def extract_cross_page(pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, window: int = tk.CROSS_PAGE_WINDOW) -> DataFrame:
     """(file_id, page_num, pair_idx, lat, lon, lat_segs, lon_segs) of pairs that span a page break.
 
-    page_num is the later page. Only the pages' heads and tails and lengths are shuffled, by file.
+    page_num is the later page. Only the pages' heads and tails and lengths are shuffled, by file, and only breaks that may
+    lie within a pair are read.
     """
     ends = pages.select(
         "file_id",
@@ -140,7 +151,7 @@ def extract_cross_page(pages: DataFrame, files: DataFrame | None = None, level:
         F.lag("page_num").over(order).alias("prev_page"),
         F.lag("tail").over(order).alias("tail"),
         F.lag("tail_start").over(order).alias("tail_start"),
-    ).where(F.col("tail").isNotNull())
+    ).where(F.col("tail").isNotNull()).where(_may_span())
     joint = breaks.select("file_id", "page_num", F.concat("tail", F.lit("\n"), "head").alias("text"))
     found = extract_coordinates(joint, files, level).where("lat is not null and lon is not null")
     edges = breaks.select("file_id", "page_num", "prev_page", "tail_start", F.length("tail").alias("edge"))
