@@ -147,9 +147,8 @@ def boilerplate(n, rng, own=60, common=60):
     return [shared + " " + " ".join(f"o{rng.randrange(10**7)}" for _ in range(own)) for _ in range(n)]
 
 
-def test_near_duplicates_in_large_open_buckets(spark, monkeypatch):
-    """Boilerplate and chains of near copies, with every open bucket treated as a large one."""
-    monkeypatch.setattr(neardup, "SMALL", 2)
+def test_near_duplicates_among_boilerplate(spark):
+    """Boilerplate and chains of near copies: buckets that hold several components."""
     rng = random.Random(21)
     texts = [*boilerplate(60, rng), *variants(40, 14, rng), *boilerplate(30, rng, own=20, common=100)]
     texts += [t.replace("o", "O", 3) + " tail" for t in texts[:15]]
@@ -158,30 +157,6 @@ def test_near_duplicates_in_large_open_buckets(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
-def test_a_hot_band_gives_linear_pairs(spark):
-    """5,000 texts that share half of their words, in one bucket, each a component of its own."""
-    rng = random.Random(22)
-    n = 5000
-    texts = spark.createDataFrame(list(enumerate(boilerplate(n, rng, own=30, common=30))), "doc_id long, text string")
-    open_ = texts.select(F.lit(1).cast("long").alias("band"), "doc_id", F.col("doc_id").alias("part"), F.lit(n).cast("long").alias("size"))
-    assert neardup.small_pairs(open_).count() == 0
-    assert neardup.centre_pairs(open_).count() <= neardup.CENTRES * n
-    assert neardup.prefix_pairs(open_.select("doc_id", "part"), texts).count() <= n
-
-
-def test_prefixes_lose_no_pair(spark):
-    rng = random.Random(23)
-    texts = [*variants(50, 16, rng), *boilerplate(20, rng, own=8, common=60)]
-    sets = neardup.shingle_sets([t.encode() for t in texts])
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {tuple(r) for r in neardup.prefix_pairs(docs.select("doc_id", F.col("doc_id").alias("part")), docs).collect()}
-    for i in range(len(texts)):
-        for j in range(i + 1, len(texts)):
-            common = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
-                assert (i, j) in got
-
-
 def test_near_duplicates_edges(spark):
     out = neardup.near_duplicates(frame(spark)).collect()
     assert len(out) == len(TEXTS) + 2 and sum(r.doc_id == 5 for r in out) == 2
