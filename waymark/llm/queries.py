@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ from .langid import language_ids
 from .media import store_texts
 from .neardup import near_duplicates
 from .packing import pack, token_pieces
+from .periodic import periodic_runs
 from .quality import quality_scores
+from .repair import damage, repair_conversations
 from .substring import substring_dedup
+from .tokencount import count_tokens
 
 
 def _vocabulary(name: str) -> str:
@@ -111,6 +116,47 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: Tokens above which a text is over the limit.
+MOST_TOKENS = 512
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > MOST_TOKENS)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")), F.col("present"))
+
+
+def planted_period(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Start and period of the repeats that a tenth of the documents get."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    start = g % n
+    return start, 1 + (n - start) // (3 + g % 8)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(table(spark, sf_dir, "documents"), planted_period)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda best, r: F.when(more(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return out.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_main_text": op1_main_text,
@@ -123,6 +169,9 @@ def queries() -> dict:
         "op8_bpe": op8_bpe,
         "op9_fingerprints": op9_fingerprints,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_token_counts": op11_token_counts,
+        "op12_repair": op12_repair,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
