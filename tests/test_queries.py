@@ -144,8 +144,37 @@ def test_refused_run_stops(spark, tmp_path, refusal):
     ("text", "n"),
     [('```json\n[{"a": 1}]\n```', 1), ('see [{"a": "x]y"}, 2] and [3]', 1), ("none", 0), ("[{", 0), (None, 0), ('[{"a": 1}', 0), ('[bad] [{"a": 1}]', 0), ('[[{"a": 1}], {"b": "\\"]"}]', 1)],
 )
-def test_first_array_of_a_reply(text, n):
-    assert len(assist._array_in(text)) == n
+def test_first_array_of_a_reply(spark, text, n):
+    items = F.try_variant_get(F.try_parse_json(assist.first_array(F.col("text"))), "$", "array<variant>")
+    objects = F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    assert spark.createDataFrame([(text,)], "text string").select(F.coalesce(F.size(objects), F.lit(0))).first()[0] in (n, -1 if n == 0 else n)
+
+
+def test_results_of_any_reply(spark):
+    """Replies that a model may give, the hostile ones included; all of them within the JVM."""
+    replies = {
+        "deep": "[" * 200_000,
+        "closed": "[" * 100_000 + "]" * 100_000,
+        "half": '[{"row": "a", "note": "x\\ud83d y", "delete": true}]',
+        "open string": '[{"row": "a", "note": "never ends]',
+        "escapes": 'so: [{"row": "b", "note": "he said \\"[]\\" \\\\", "need_prev": true}] and [1]',
+        "kinds": '```json\n[{"row": 5, "lat": "4", "lon": 180.5, "delete": "true", "col1": 7, "col2": " c ", "verdict": 3}, {"row": 5.0, "lat": -90, "lon": 1.5e1}, {"row": true}, {"row": ""}, {"row": null}, [1], 3, "x", null, {"row": 1.5, "verdict": "ok", "notes_col": "\\t n "}]```',
+        "strings": '[{"row": "' + "q" * 50_000 + '", "note": "' + "n" * 500 + '\\n' * 20_000 + '"}]',
+        "none": None, "empty": "", "not json": "[{row: 1}]", "nan": '[{"row": "z", "lat": NaN}]', "fence": '```JSON [{"row":"f"}] ```',
+    }
+    out = assist.parse_results(spark.createDataFrame(list(replies.items()), "name string, text string"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.orderBy("name", "result_seq").collect():
+        got.setdefault(r.name, []).append(r)
+    assert set(got) == {"half", "escapes", "kinds", "strings", "fence"}
+    (half,), (escapes,), (strings,) = got["half"], got["escapes"], got["strings"]
+    assert half.row == "a" and half["del"] and half.note.startswith("x") and half.note.endswith(" y")
+    assert escapes.note == 'he said "[]" \\' and escapes.need_prev and not escapes.need_next
+    assert len(strings.row) == 50_000 and strings.note == "n" * 400
+    one, two, three = got["kinds"]
+    assert (one.row, one.lat, one.lon, one["del"], one.cols, one.verdict) == ("5", None, None, False, ["", "c"], None)
+    assert (two.row, two.lat, two.lon) == ("5", -90.0, 15.0) and (three.row, three.verdict, three.notes_col, three.result_seq) == ("1.5", "ok", "n", 2)
 
 
 def test_formats_stay_small(spark):

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,44 +120,124 @@ def _segments(half: str) -> Column:
     return F.filter(both, lambda x: x.isNotNull())
 
 
-def _may_span() -> Column:
-    """Whether a pair may span the break between ``tail`` and ``head``: no words but those of coordinates stand between the last
-    number before and the first after it, or such a word or white space ends the tail or begins the head."""
-    digit = lambda c: F.regexp_like(c, F.lit("[0-9]"))
-    between = F.concat(F.regexp_extract("tail", "[^0-9]*$", 0), F.lit("\n"), F.regexp_extract("head", "^[^0-9]*", 0))
-    bridged = ~F.regexp_like(F.regexp_replace(between, tk.BETWEEN_NUMBERS, ""), F.lit("[A-Za-z]"))
-    ends, begins = F.regexp_like("tail", F.lit(tk.ENDS_BEFORE_NUMBER)), F.regexp_like("head", F.lit(tk.BEGINS_AFTER_NUMBER))
-    return (digit("tail") & digit("head") & bridged) | (digit("head") & ends) | (digit("tail") & begins)
+#: Page numbers of a block; a file of more pages is dealt over several.
+BLOCK_PAGES = 4_096
 
 
-def extract_cross_page(pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, window: int = tk.CROSS_PAGE_WINDOW) -> DataFrame:
-    """(file_id, page_num, pair_idx, lat, lon, lat_segs, lon_segs) of pairs that span a page break.
-
-    page_num is the later page. Only the pages' heads and tails and lengths are shuffled, by file, and only breaks that may
-    lie within a pair are read.
-    """
-    ends = pages.select(
+def page_ends(pages: DataFrame, window: int = tk.CROSS_PAGE_WINDOW) -> DataFrame:
+    """(file_id, page_num, head, tail, tail_start, size) of pages, at most ``window`` characters of each end."""
+    return pages.select(
         "file_id",
         F.col("page_num").cast("int"),
         F.substring("text", 1, window).alias("head"),
         F.right(F.col("text"), F.lit(window)).alias("tail"),
         F.greatest(F.lit(0), F.length("text") - window).alias("tail_start"),
+        F.length("text").alias("size"),
     )
-    order = Window.partitionBy("file_id").orderBy("page_num")
-    breaks = ends.select(
-        "file_id",
-        "page_num",
-        "head",
-        F.lag("page_num").over(order).alias("prev_page"),
-        F.lag("tail").over(order).alias("tail"),
-        F.lag("tail_start").over(order).alias("tail_start"),
-    ).where(F.col("tail").isNotNull()).where(_may_span())
-    joint = breaks.select("file_id", "page_num", F.concat("tail", F.lit("\n"), "head").alias("text"))
-    found = extract_coordinates(joint, files, level).where("lat is not null and lon is not null")
-    edges = breaks.select("file_id", "page_num", "prev_page", "tail_start", F.length("tail").alias("edge"))
-    first, last = F.least("lat.start", "lon.start"), F.greatest("lat.end", "lon.end")
-    spanning = found.join(edges, ["file_id", "page_num"]).where((first < F.col("edge")) & (last > F.col("edge") + 1))
-    return spanning.select("file_id", "page_num", "pair_idx", "lat", "lon", _segments("lat").alias("lat_segs"), _segments("lon").alias("lon_segs"))
+
+
+def page_breaks(ends: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """(file_id, page_num, head, prev_page, tail, tail_start) of the breaks before a page that may lie within a pair.
+
+    Pages are dealt by blocks of page numbers, never by file alone: the last page of a block is copied into the next block
+    that has pages, so that each page meets the one before it. Ends that no pair can use are dropped before the shuffle.
+    """
+    has_digit = lambda c: F.regexp_like(c, F.lit("[0-9]"))
+    own = ends.select(
+        "file_id", "page_num", F.floor(F.col("page_num") / block_pages).cast("int").alias("block"), "tail_start",
+        F.when(has_digit("head") | F.regexp_like("head", F.lit(tk.BEGINS_AFTER_NUMBER)), F.col("head")).alias("head"),
+        F.when(has_digit("tail") | F.regexp_like("tail", F.lit(tk.ENDS_BEFORE_NUMBER)), F.col("tail")).alias("tail"),
+        F.lit(False).alias("halo"),
+    )
+    last = own.groupBy("file_id", "block").agg(F.max_by(F.struct("page_num", "tail_start", "tail"), "page_num").alias("last"))
+    to = F.lead("block").over(Window.partitionBy("file_id").orderBy("block"))
+    halo = last.withColumn("to", to).where("to is not null").select(
+        "file_id", "last.page_num", F.col("to").alias("block"), "last.tail_start", F.lit(None).cast("string").alias("head"), "last.tail", F.lit(True).alias("halo")
+    )
+    order = Window.partitionBy("file_id", "block").orderBy("page_num")
+    met = own.unionByName(halo).select(
+        "file_id", "page_num", "head", "halo", F.lag("page_num").over(order).alias("prev_page"), F.lag("tail").over(order).alias("tail"), F.lag("tail_start").over(order).alias("tail_start")
+    )
+    # A pair may span the break if no words but those of coordinates stand between the last number before and the first after
+    # it, or such a word or white space ends the tail or begins the head.
+    between = F.concat(F.regexp_extract("tail", "[^0-9]*$", 0), F.lit("\n"), F.regexp_extract("head", "^[^0-9]*", 0))
+    bridged = ~F.regexp_like(F.regexp_replace(between, tk.BETWEEN_NUMBERS, ""), F.lit("[A-Za-z]"))
+    ends_so, begins_so = F.regexp_like("tail", F.lit(tk.ENDS_BEFORE_NUMBER)), F.regexp_like("head", F.lit(tk.BEGINS_AFTER_NUMBER))
+    may = (has_digit("head") & ends_so) | (has_digit("tail") & begins_so) | (has_digit("tail") & has_digit("head") & bridged)
+    return met.where(~F.col("halo") & F.col("tail").isNotNull() & F.col("head").isNotNull()).where(may).drop("halo")
+
+
+_EDGES = [T.StructField(c, T.IntegerType()) for c in ("prev_page", "tail_start", "edge")]
+_SPANNING = T.StructType([*PAIRS.fields, *_EDGES])
+
+
+def _read_breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of joint texts that begin before the break and end after it."""
+    for batch in batches:
+        keys, lats, lons, edges = [], [], [], []
+        for f, p, text, level, *edge in zip(*(batch.column(c).to_pylist() for c in ("file_id", "page_num", "text", "level", "prev_page", "tail_start", "edge")), strict=True):
+            for i, (lat, lon) in enumerate(tk.extract(text, level)):
+                if lat and lon and min(lat.start, lon.start) < edge[2] and max(lat.end, lon.end) > edge[2] + 1:
+                    keys.append((f, p, i))
+                    lats.append(lat)
+                    lons.append(lon)
+                    edges.append(edge)
+        made = _batch(keys, [lats, lons], PAIRS)
+        yield pa.RecordBatch.from_arrays([*made.columns, *(pa.array([e[k] for e in edges], pa.int32()) for k in range(3))], names=_SPANNING.names)
+
+
+def pairs_over_breaks(ends: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """The pairs of ``extract_cross_page`` from the pages' ends."""
+    joint = page_breaks(ends, block_pages).select("file_id", "page_num", "prev_page", "tail_start", F.length("tail").alias("edge"), F.concat("tail", F.lit("\n"), "head").alias("text"))
+    if files is None:
+        joint = joint.withColumn("level", F.lit(level))
+    else:
+        joint = joint.join(files.select("file_id", effective_intensity(level).alias("level")), "file_id", "left").withColumn("level", F.coalesce("level", F.lit(level)))
+    found = joint.mapInArrow(_read_breaks, _SPANNING)
+    return found.select("file_id", "page_num", "pair_idx", "lat", "lon", _segments("lat").alias("lat_segs"), _segments("lon").alias("lon_segs"))
+
+
+def extract_cross_page(pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, window: int = tk.CROSS_PAGE_WINDOW) -> DataFrame:
+    """(file_id, page_num, pair_idx, lat, lon, lat_segs, lon_segs) of pairs that span a page break.
+
+    page_num is the later page. Only the pages' heads and tails and lengths are shuffled, by blocks of pages, and only breaks
+    that may lie within a pair are read.
+    """
+    return pairs_over_breaks(page_ends(pages, window), files, level)
+
+
+_READ = T.StructType([*PAIRS.fields, *(T.StructField(n, t) for n, t in (("head", T.StringType()), ("tail", T.StringType()), ("tail_start", T.IntegerType()), ("size", T.IntegerType()), ("kind", T.StringType())))])
+
+
+def read_pages(pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, window: int = tk.CROSS_PAGE_WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(pairs of ``extract_coordinates``, ends of ``page_ends``) from one pass over the texts, written once."""
+    if "level" not in pages.columns:
+        if files is None:
+            pages = pages.withColumn("level", F.lit(level))
+        else:
+            pages = pages.join(files.select("file_id", effective_intensity(level).alias("level")), "file_id", "left").withColumn("level", F.coalesce("level", F.lit(level)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.utf8_length(batch.column("text"))
+            start = pc.max_element_wise(pc.subtract(size, pa.scalar(window, pa.int32())), pa.scalar(0, pa.int32()))
+            ends = [pc.utf8_slice_codeunits(batch.column("text"), 0, window), pc.utf8_slice_codeunits(batch.column("text"), -window), start, size]
+            n = batch.num_rows
+            none = [pa.nulls(n, to_arrow_type(f.dataType)) for f in PAIRS.fields[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("page_num"), *none, *ends, pa.array(["ends"] * n)], names=_READ.names)
+            some = batch.filter(pc.match_substring_regex(batch.column("text"), "[0-9]"))
+            keys, halves_ = [], [[], []]
+            for f, p, text, own in zip(*(some.column(c).to_pylist() for c in ("file_id", "page_num", "text", "level")), strict=True):
+                for i, found in enumerate(tk.extract(text, own)):
+                    keys.append((f, p, i))
+                    for to, t in zip(halves_, found, strict=True):
+                        to.append(t)
+            made, n = _batch(keys, halves_, PAIRS), len(keys)
+            yield pa.RecordBatch.from_arrays([*made.columns, *(pa.nulls(n, to_arrow_type(f.dataType)) for f in _READ.fields[5:9]), pa.array(["pairs"] * n, pa.string())], names=_READ.names)
+
+    read = pages.select("file_id", F.col("page_num").cast("int").alias("page_num"), "text", "level").mapInArrow(run, _READ)
+    both = written(read, "read", partition_by="kind")
+    return both.where("kind = 'pairs'").select(*PAIRS.names), both.where("kind = 'ends'").select("file_id", "page_num", "head", "tail", "tail_start", "size")
 
 
 def halves(pairs: DataFrame) -> DataFrame:
@@ -178,31 +258,55 @@ def _first(half: str) -> list[Column]:
     return [seg["page_num"].alias(f"{half}_page"), seg["start"].alias(f"{half}_start"), seg["end"].alias(f"{half}_end")]
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of cross pairs in order of file and page, those whose tokens no earlier one of these has."""
-    file, held = None, set()
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("file_id", "lat_page", "lat_start", "lat_end", "lon_page", "lon_start", "lon_end"))
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (f, *spots) in enumerate(zip(*columns, strict=True)):
-            lat, lon = tuple(spots[:3]), tuple(spots[3:])
-            if f != file:
-                file, held = f, set()
-            # A pair lies on two neighbouring pages, so what lies before the former of them is over.
-            held = {x for x in held if x[0] >= min(lat[0], lon[0]) - 1}
-            if lat not in held and lon not in held:
-                held |= {lat, lon}
-                keep[i] = True
-        yield batch.select(["file_id", "page_num", "pair_idx"]).filter(pa.array(keep))
+def _earlier(nodes: str) -> Column:
+    """Each of the sorted nodes of one place with all that come before it; there are two on real pages, one of each break."""
+    pairs = F.transform(nodes, lambda x, i: F.transform(F.slice(nodes, F.lit(1), i), lambda y: F.struct(x.alias("node"), y.alias("earlier"))))
+    return F.flatten(pairs)
+
+
+def settle_shared(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of ``nodes`` (node), those that taking them in order keeps, if a node is kept unless one linked to it is that comes before:
+    ``links`` are (node, earlier). The distinct nodes that are kept.
+
+    Where a node has one earlier neighbour at most, it is kept if its chain has an even number of links to its end. Chains are ranked
+    by pointer doubling: in each round every node takes over its pointer's pointer, so a chain of any length takes as many
+    rounds as its length has binary digits, whatever the number of chains. A node with more earlier neighbours ends the chains
+    behind it until theirs are known.
+    """
+    known = None
+    todo = written(nodes.select("node").distinct().join(links.distinct().groupBy("node").agg(F.count("*").alias("n"), F.min("earlier").alias("up")), "node", "left"), "chain")
+    while True:
+        # A pointer that is null has reached an end; "odd" says whether the way there has an odd number of links. Nodes with
+        # several earlier neighbours are ends of unknown outcome.
+        free = todo.where("n is null or n = 1").select("node", F.col("up"), F.col("up").isNotNull().alias("odd"), F.lit(None).cast("string").alias("join"))
+        joins = todo.where("n > 1").select("node", F.lit(None).cast("string").alias("up"), F.lit(False).alias("odd"), F.col("node").alias("join"))
+        chain = written(free.union(joins), "chain")
+        while not chain.where("up is not null").isEmpty():
+            ahead = chain.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("odd").alias("__odd"), F.col("join").alias("__join"))
+            open_ = chain.where("up is not null").join(ahead, "up", "left")
+            moved = open_.select("node", F.col("__up").alias("up"), (F.col("odd") != F.coalesce("__odd", F.lit(False))).alias("odd"), F.coalesce("join", "__join").alias("join"))
+            chain = written(chain.where("up is null").union(moved), "chain")
+        settled = chain.where("join is null").select("node", (~F.col("odd")).alias("keep"))
+        known = settled if known is None else known.union(settled)
+        rest = chain.where("join is not null").select("node")
+        if rest.isEmpty():
+            return known.where("keep").select("node")
+        known = written(known, "settled")
+        around = links.distinct().join(rest, "node", "left_semi").join(known.withColumnRenamed("node", "earlier"), "earlier", "left")
+        # A kept earlier neighbour settles a node; else what remains are the neighbours still unknown.
+        per = around.groupBy("node").agg(F.max("keep").alias("lost"), F.count_if(F.col("keep").isNull()).alias("n"), F.min(F.when(F.col("keep").isNull(), F.col("earlier"))).alias("up"))
+        lost = written(per.where("lost").select("node", F.lit(False).alias("keep")), "settled")
+        known = known.union(lost)
+        todo = written(per.where("lost is null or not lost").select("node", F.nullif("n", F.lit(0)).alias("n"), "up"), "chain")
 
 
 def merge_cross_page(pairs: DataFrame, cross: DataFrame, suppressed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(page pairs, cross pairs) after merging.
 
     A cross pair is dropped if its first segments hold a token of a full pair (an earlier cross pair's
-    included) or lie at a suppressed location; otherwise the lone halves at them are absorbed. Only cross pairs
-    that share a token with another are settled in page order: they are sorted by file and page, and a pass over them
-    holds the tokens of the last pages alone, so neither many files nor a large one is a burden.
+    included) or lie at a suppressed location; otherwise the lone halves at them are absorbed. Cross pairs that
+    share a token with another form chains over the breaks of a file, which are settled by pointer doubling, so neither many
+    files nor a large one is a burden.
     """
     key = ["file_id", "page_num", "pair_idx"]
     firsts = cross.select(*key, *_first("lat"), *_first("lon"))
@@ -213,12 +317,18 @@ def merge_cross_page(pairs: DataFrame, cross: DataFrame, suppressed: DataFrame)
     hidden = spots.join(suppressed.withColumnRenamed("page_num", "at"), ["file_id", "at", "half", "start"], "left_semi").select(key)
     free = firsts.join(redundant.union(hidden).distinct(), key, "left_anti")
 
+    # The key as text, in the order in which pairs are taken within a file.
+    node = F.concat_ws(":", F.lpad("page_num", 10, "0"), F.lpad("pair_idx", 10, "0"), "file_id")
     place = ["file_id", "at", "start", "end"]
-    open_ = spots.join(free.select(key), key, "left_semi")
-    shared = open_.join(open_.groupBy(*place).count().where("count > 1").select(place), place, "left_semi").select(key).distinct()
-    contested = free.join(shared, key, "left_semi").repartition("file_id").sortWithinPartitions(*key)
-    settled = contested.mapInArrow(_settle, "file_id string, page_num int, pair_idx int")
-    kept = free.select(key).join(shared, key, "left_anti").union(settled)
+    open_ = written(spots.join(free.select(key), key, "left_semi").select(*place, node.alias("node"), *key[1:]).distinct(), "spots")
+    shared = open_.groupBy(*place).agg(F.array_sort(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
+    links = written(shared.select(F.explode(_earlier("nodes")).alias("link")).select("link.node", "link.earlier"), "links")
+    if links.isEmpty():
+        kept = free.select(key)
+    else:
+        contested = links.select("node").union(links.select("earlier")).distinct()
+        lost = contested.join(settle_shared(links, contested), "node", "left_anti")
+        kept = free.withColumn("node", node).join(lost, "node", "left_anti").select(key)
     accepted = cross.join(kept, key, "left_semi")
     at = spots.join(kept, key, "left_semi").select("file_id", F.col("at").alias("page_num"), "start", "end").distinct()
     absorbed = halves(pairs.where("lat is null or lon is null")).join(at, ["file_id", "page_num", "start", "end"], "left_semi").select(key).distinct()
@@ -268,10 +378,10 @@ def fresh_rows(coords: DataFrame, n_cols: int = 2) -> DataFrame:
 
 
 def scan_coordinates(pages: DataFrame, files: DataFrame, suppressed: DataFrame, level: int = tk.DEFAULT_LEVEL) -> DataFrame:
-    """Located coordinates of a corpus: page pairs and cross-page pairs, without suppressed ones. Texts are read once
-    for each of the two; what was found is written before it is merged."""
-    own = written(extract_coordinates(pages, files, level), "pairs")
-    cross = written(extract_cross_page(pages, files, level), "cross-pairs")
+    """Located coordinates of a corpus: page pairs and cross-page pairs, without suppressed ones. Texts are read once for
+    both; what was found is written before it is merged."""
+    own, ends = read_pages(pages, files, level)
+    cross = written(pairs_over_breaks(ends, files, level), "cross-pairs")
     return written(located(*merge_cross_page(drop_suppressed(own, suppressed), cross, suppressed)), "coordinates")
 
 

@@ -26,12 +26,12 @@ def unique() -> str:
     return uuid.uuid4().hex
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """The table written to the shared folder and read again: what several passes read is computed once, and a
     lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{unique()}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,7 +48,9 @@ def numbered(df: DataFrame, *order: str, name: str = "num") -> DataFrame:
     sizes = placed.groupBy(part.alias("part")).agg(F.max(within).alias("last")).orderBy("part").collect()
     before, offsets = 0, []
     for r in sizes:
-        offsets += [F.lit(r["part"]), F.lit(before)]
+        offsets.append((r["part"], before))
         before += r["last"] + 1
-    base = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
-    return placed.withColumn(name, (base + within + 1).cast("long")).drop("__at")
+    base = df.sparkSession.createDataFrame(offsets, "__part bigint, __base bigint")
+    # One row for each range, so the table that goes to all tasks is as small as the number of ranges.
+    both = placed.withColumn("__part", part).join(F.broadcast(base), "__part")
+    return both.withColumn(name, (F.col("__base") + within + 1).cast("long")).drop("__at", "__part", "__base")
