@@ -222,3 +222,66 @@ def test_breaks_that_are_not_read_have_no_pair(spark):
             if lat and lon and min(lat.start, lon.start) < len(tail) and max(lat.end, lon.end) > len(tail) + 1:
                 want.add(f"f{i}")
     assert got == want and len(want) > 150
+
+
+def test_huge_files_are_folded_by_many_tasks(spark):
+    """Chunks of files of many pages, gaps in their numbers, pages without rows and over-long ones included."""
+    rng = random.Random(12)
+    data, want = [], {}
+    for f, n in (("a", 3000), ("b", 5), ("c", 700), ("d", 1), ("e", 257)):
+        page, chunk, chars, count, first = -3, 0, 0, 0, True
+        for _ in range(n):
+            page += rng.choice([1, 1, 1, 2, 400])
+            size, rows_ = rng.choice([0, 10, 300, 900, 5000]), rng.choice([0, 0, 1, 3, 20, 60])
+            if not first and (chars + size + 50 > 1500 or count + rows_ > 40):
+                chunk, chars, count = chunk + 1, 0, 0
+            first, chars, count = False, chars + size + 50, count + rows_
+            data.append((f, page, size, rows_))
+            want[f, page] = chunk
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "file_id string, page_num int, size int, n_rows long")
+    for pages in (64, 10_000):
+        out = assist.assign_chunks(df, budget=1500, fold_pages=pages).collect()
+        assert len(out) == len(want) and {(r.file_id, r.page_num): r.chunk_id for r in out} == want
+
+
+def test_preview_takes_the_first_file_in_order(spark):
+    pages = spark.createDataFrame([("f10", 1, "ten"), ("f2", 1, "two"), ("f1", 1, "one")], "file_id string, page_num int, text string")
+    work = spark.createDataFrame([("f10", 10, "r1", 1, "doc10.pdf", 1, ["", ""], 1.0, 2.0, 1), ("f2", 2, "r2", 2, "doc2.pdf", 1, ["", ""], 1.0, 2.0, 2)], "file_id string, file_seq long, id string, num long, file string, page int, cells array<string>, lat double, lon double, row_seq int")
+    (r,) = assist.preview_prompt(pages, work, assist.Tasks()).collect()
+    assert r.file_id == "f2" and "two" in r.user
+
+
+def test_chains_by_pointer_doubling(spark):
+    """Random graphs of earlier neighbours, long chains among them, against taking the nodes in order."""
+    rng = random.Random(3)
+    edges = {(f"a{i:05d}", f"a{i - 1:05d}") for i in range(1, 300)}
+    edges |= {(f"b{i:05d}", f"b{rng.randrange(i):05d}") for i in range(1, 200) for _ in range(rng.choice([1, 1, 1, 2, 3]))}
+    edges |= {(f"c{i:05d}", f"c{i - 1:05d}") for i in range(1, 400) if rng.random() < 0.8}
+    nodes = sorted({x for e in edges for x in e} | {"lone"})
+    kept = set()
+    for x in nodes:
+        if not any((x, y) in edges for y in kept):
+            kept.add(x)
+    links = spark.createDataFrame(sorted(edges), "node string, earlier string")
+    got = extract.settle_shared(links, spark.createDataFrame([(x,) for x in nodes], "node string"))
+    assert sorted(r.node for r in got.collect()) == sorted(kept)
+
+
+@pytest.mark.parametrize("block_pages", [1, 3, 1000])
+def test_breaks_across_blocks(spark, block_pages):
+    """One file of many pages gives the same breaks as a window over it, gaps in the numbers included."""
+    rng = random.Random(block_pages)
+    texts, page = [], 0
+    for _ in range(200):
+        page += rng.choice([1, 1, 1, 2, 7])
+        texts.append(("f", page, rng.choice(["found at 41°24'12\"N,", "2°10'26\"E as seen", "", "words alone", "at 41°", "24'12\"N, 2°10'26\"E"])))
+    want = set()
+    for (_, a, tail), (_, b, head) in zip(texts, texts[1:], strict=False):
+        for lat, lon in tk.extract(tail + "\n" + head, 5):
+            if lat and lon and min(lat.start, lon.start) < len(tail) and max(lat.end, lon.end) > len(tail) + 1:
+                want.add((b, a))
+    df = spark.createDataFrame(texts, "file_id string, page_num int, text string")
+    found = extract.pairs_over_breaks(extract.page_ends(df), block_pages=block_pages)
+    got = {(r.page_num, min(x.page_num for x in r.lat_segs + r.lon_segs)) for r in found.collect()}
+    assert got == want and len(want) > 10

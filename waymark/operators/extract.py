@@ -274,12 +274,13 @@ def settle_shared(links: DataFrame, nodes: DataFrame) -> DataFrame:
     behind it until theirs are known.
     """
     known = None
-    todo = written(nodes.select("node").distinct().join(links.distinct().groupBy("node").agg(F.count("*").alias("n"), F.min("earlier").alias("up")), "node", "left"), "chain")
+    todo = written(nodes.select("node").distinct().join(links.distinct().groupBy("node").agg(F.count("*").alias("n"), F.min("earlier").alias("up")), "node", "left").withColumn("lost", F.lit(False)), "chain")
     while True:
         # A pointer that is null has reached an end; "odd" says whether the way there has an odd number of links. Nodes with
-        # several earlier neighbours are ends of unknown outcome.
-        free = todo.where("n is null or n = 1").select("node", F.col("up"), F.col("up").isNotNull().alias("odd"), F.lit(None).cast("string").alias("join"))
-        joins = todo.where("n > 1").select("node", F.lit(None).cast("string").alias("up"), F.lit(False).alias("odd"), F.col("node").alias("join"))
+        # several earlier neighbours are ends of unknown outcome; those known to be lost are ends that count as odd.
+        up = F.when(~F.col("lost"), F.col("up"))
+        free = todo.where("lost or n is null or n = 1").select("node", up.alias("up"), (F.col("lost") | up.isNotNull()).alias("odd"), F.lit(None).cast("string").alias("join"))
+        joins = todo.where("not lost and n > 1").select("node", F.lit(None).cast("string").alias("up"), F.lit(False).alias("odd"), F.col("node").alias("join"))
         chain = written(free.union(joins), "chain")
         while not chain.where("up is not null").isEmpty():
             ahead = chain.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("odd").alias("__odd"), F.col("join").alias("__join"))
@@ -295,9 +296,7 @@ def settle_shared(links: DataFrame, nodes: DataFrame) -> DataFrame:
         around = links.distinct().join(rest, "node", "left_semi").join(known.withColumnRenamed("node", "earlier"), "earlier", "left")
         # A kept earlier neighbour settles a node; else what remains are the neighbours still unknown.
         per = around.groupBy("node").agg(F.max("keep").alias("lost"), F.count_if(F.col("keep").isNull()).alias("n"), F.min(F.when(F.col("keep").isNull(), F.col("earlier"))).alias("up"))
-        lost = written(per.where("lost").select("node", F.lit(False).alias("keep")), "settled")
-        known = known.union(lost)
-        todo = written(per.where("lost is null or not lost").select("node", F.nullif("n", F.lit(0)).alias("n"), "up"), "chain")
+        todo = written(per.select("node", F.nullif("n", F.lit(0)).alias("n"), "up", F.coalesce("lost", F.lit(False)).alias("lost")), "chain")
 
 
 def merge_cross_page(pairs: DataFrame, cross: DataFrame, suppressed: DataFrame) -> tuple[DataFrame, DataFrame]:
