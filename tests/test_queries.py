@@ -13,6 +13,7 @@ from waymark.functions import columns as col
 from waymark.functions import tokens as tk
 from waymark.operators import assist, extract, rows
 from waymark.sources import corpus, csv, shared
+from waymark.streaming.scan import scan_stream, stream_tables
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -285,3 +286,23 @@ def test_breaks_across_blocks(spark, block_pages):
     found = extract.pairs_over_breaks(extract.page_ends(df), block_pages=block_pages)
     got = {(r.page_num, min(x.page_num for x in r.lat_segs + r.lon_segs)) for r in found.collect()}
     assert got == want and len(want) > 10
+
+
+def test_files_over_several_batches(spark, tmp_path):
+    """A stream that cuts files anywhere gives the rows and detections of one scan, chains over the cuts and repeated batches included."""
+    rng = random.Random(21)
+    bits = ['x 2°10\'26"E,', '41°24\'12"N,', '3°10\'26"E x', "none", 'x 41°24\'12"N,', '2°10\'26"E x', "found at 41°", "24'12\"N, 2°10'26\"E as seen", 'both 41°24\'12"N, 2°10\'26"E,', '41°24\'12"N, 2°10\'26"E']
+    pages = [(f"f{i}", p, rng.choice(bits)) for i in range(60) for p in range(1, 8)]
+    files = spark.createDataFrame([(f"f{i}", None) for i in range(60)], "file_id string, intensity int")
+    gone = spark.createDataFrame([("f1", 2, "lat", 0), ("f2", 3, "lat", 2)], "file_id string, page_num int, half string, start int")
+    df = spark.createDataFrame(pages, "file_id string, page_num int, text string")
+    want_rows, want_dets = extract.scan_corpus(df, files, gone)
+    for last in (2, 3, 4, 7):
+        df.where((F.col("page_num") <= last) & (F.col("page_num") > {2: 0, 3: 2, 4: 3, 7: 4}[last])).write.mode("append").parquet(str(tmp_path / "in"))
+        scan_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), gone).awaitTermination()
+    rows_, dets = stream_tables(spark, str(tmp_path / "out"))
+    plain_rows = lambda t: sorted(((r.row_id, r.page_num, r.lat, r.lon) for r in t.collect()), key=repr)
+    assert plain_rows(rows_) == plain_rows(want_rows)
+    plain_dets = lambda t: sorted((r.det_id, r.row_id, r.start, r.end) for r in t.collect())
+    assert plain_dets(dets) == plain_dets(want_dets)
+    assert any(":1:" in r.row_id for r in rows_.collect())

@@ -299,8 +299,16 @@ def settle_shared(links: DataFrame, nodes: DataFrame) -> DataFrame:
         todo = written(per.select("node", F.nullif("n", F.lit(0)).alias("n"), "up", F.coalesce("lost", F.lit(False)).alias("lost")), "chain")
 
 
-def merge_cross_page(pairs: DataFrame, cross: DataFrame, suppressed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(page pairs, cross pairs) after merging.
+def first_places(cross: DataFrame) -> DataFrame:
+    """(file_id, page_num, pair_idx, half, at, start, end) of the first segment of each half of cross pairs."""
+    key = ["file_id", "page_num", "pair_idx"]
+    firsts = cross.select(*key, *_first("lat"), *_first("lon"))
+    both = F.array(*(F.struct(F.lit(h).alias("half"), *(F.col(f"{h}_{c}").alias(n) for c, n in (("page", "at"), ("start", "start"), ("end", "end")))) for h in ("lat", "lon")))
+    return firsts.select(*key, F.inline(both))
+
+
+def merge_cross_page(pairs: DataFrame, cross: DataFrame, suppressed: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(page pairs, cross pairs) after merging. ``held`` (file_id, at, start, end) are places that earlier cross pairs have.
 
     A cross pair is dropped if its first segments hold a token of a full pair (an earlier cross pair's
     included) or lie at a suppressed location; otherwise the lone halves at them are absorbed. Cross pairs that
@@ -308,13 +316,14 @@ def merge_cross_page(pairs: DataFrame, cross: DataFrame, suppressed: DataFrame)
     files nor a large one is a burden.
     """
     key = ["file_id", "page_num", "pair_idx"]
-    firsts = cross.select(*key, *_first("lat"), *_first("lon"))
-    both = F.array(*(F.struct(F.lit(h).alias("half"), *(F.col(f"{h}_{c}").alias(n) for c, n in (("page", "at"), ("start", "start"), ("end", "end")))) for h in ("lat", "lon")))
-    spots = firsts.select(*key, F.inline(both))
-    taken = halves(pairs.where("lat is not null and lon is not null")).select("file_id", F.col("page_num").alias("at"), "start", "end").distinct()
+    spots = first_places(cross)
+    taken = halves(pairs.where("lat is not null and lon is not null")).select("file_id", F.col("page_num").alias("at"), "start", "end")
+    if held is not None:
+        taken = taken.union(held.select("file_id", "at", "start", "end"))
+    taken = taken.distinct()
     redundant = spots.join(taken, ["file_id", "at", "start", "end"], "left_semi").select(key)
     hidden = spots.join(suppressed.withColumnRenamed("page_num", "at"), ["file_id", "at", "half", "start"], "left_semi").select(key)
-    free = firsts.join(redundant.union(hidden).distinct(), key, "left_anti")
+    free = cross.select(key).join(redundant.union(hidden).distinct(), key, "left_anti")
 
     # The key as text, in the order in which pairs are taken within a file.
     node = F.concat_ws(":", F.lpad("page_num", 10, "0"), F.lpad("pair_idx", 10, "0"), "file_id")

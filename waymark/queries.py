@@ -13,7 +13,7 @@ from .functions import columns as col
 from .operators import assist, extract, pagetext, rows, summary
 from .plans import jobs
 from .sources import corpus, csv, project, shared
-from .streaming.scan import scan_stream
+from .streaming.scan import scan_stream, stream_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -694,7 +694,19 @@ def x1(spark, d):
     base = f"{shared.shared_folder(spark)}/stream-{shared.unique()}"
     fx.planted_pages(spark, d).repartition(4, "file_id").write.parquet(f"{base}/in")
     scan_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", fx.no_places(spark)).awaitTermination()
-    got = spark.read.parquet(f"{base}/out/rows")
+    got, _ = stream_tables(spark, f"{base}/out")
+    return got.select("file_id", "page_num", fx.micro(F.col("lat")).alias("lat_micro"), fx.micro(F.col("lon")).alias("lon_micro"))
+
+
+@query("x1_scan_stream_batches", P + "SELECT file_id, page_num, lat_micro, lon_micro FROM planted")
+def x1_batches(spark, d):
+    """The same pages in three batches that cut through the files, the later ones after a restart."""
+    base = f"{shared.shared_folder(spark)}/stream-{shared.unique()}"
+    pages = shared.written(fx.planted_pages(spark, d), "pages")
+    for part in ("page_num <= 5", "page_num between 6 and 12", "page_num > 12"):
+        pages.where(part).write.mode("append").parquet(f"{base}/in")
+        scan_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", fx.no_places(spark)).awaitTermination()
+    got, _ = stream_tables(spark, f"{base}/out")
     return got.select("file_id", "page_num", fx.micro(F.col("lat")).alias("lat_micro"), fx.micro(F.col("lon")).alias("lon_micro"))
 
 
