@@ -12,7 +12,7 @@ from waymark import queries as q
 from waymark.functions import columns as col
 from waymark.functions import tokens as tk
 from waymark.operators import assist, extract, rows
-from waymark.sources import corpus, csv, shared
+from waymark.sources import corpus, csv, folder, project, shared
 from waymark.streaming.scan import scan_stream, stream_tables
 
 DATA = "/root/testdata/sf0.001"
@@ -306,3 +306,47 @@ def test_files_over_several_batches(spark, tmp_path):
     plain_dets = lambda t: sorted((r.det_id, r.row_id, r.start, r.end) for r in t.collect())
     assert plain_dets(dets) == plain_dets(want_dets)
     assert any(":1:" in r.row_id for r in rows_.collect())
+
+
+def test_names_with_underscores_and_depth(spark, tmp_path):
+    for name in ("_a.pdf", "_b/c.pdf", "d/_e.PDF", "d/e/f/g/h.pdf", "d/e/f/g/h/i.pdf", ".git/j.pdf"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"%PDF")
+    (tmp_path / "d/e/f/g/h").chmod(0)  # below the depth: would fail, were it opened by another user than root
+    got = {r.path.removeprefix(f"{tmp_path}/") for r in corpus.list_corpus(spark, str(tmp_path)).collect()}
+    assert got == {"_a.pdf", "_b/c.pdf", "d/_e.PDF", "d/e/f/g/h.pdf"}
+    (tmp_path / "d/e/f/g/h").chmod(0o755)
+    assert corpus.list_corpus(spark, f"file://{tmp_path}", max_depth=None, max_files=None).count() == 5
+    opened = []
+    reader = folder.FolderReader(str(tmp_path), 4)
+    entries, folder._entries = folder._entries, lambda f: (opened.append(f), entries(f))[1]
+    try:
+        found = [p for part in reader.partitions() for (p,) in reader.read(part)]
+    finally:
+        folder._entries = entries
+    assert len(found) == 4 and not any(f.endswith("g/h") or ".git" in f for f in opened)
+
+
+def test_failed_save_leaves_the_project(spark, tmp_path):
+    base = str(tmp_path / "projects")
+    files = spark.createDataFrame([("f1", 1, False)], "file_id string, file_seq long, hidden boolean")
+    rows_ = spark.createDataFrame([("r1", ["a"], None)], "row_id string, cells array<string>, notes string")
+    tables = {"files": files, "rows": rows_, "dets": rows_.select("row_id"), "suppressed": rows_.select("row_id")}
+    project.save_project(tables, base, "p", "First", ["A", "B"], level=3)
+    broken = tables | {"dets": rows_.select(F.raise_error(F.lit("no")).alias("row_id"))}
+    with pytest.raises(Exception, match="no"):
+        project.save_project(broken | {"rows": rows_.withColumn("row_id", F.lit("r2"))}, base, "p", "Second", ["A"])
+    loaded, settings = project.load_project(spark, base, "p")
+    assert settings == {"name": "First", "cols": ["A", "B"], "fmt": "dd", "level": 3}
+    assert [(r.row_id, r.cells, r.notes) for r in loaded["rows"].collect()] == [("r1", ["a", ""], "")]
+    # A project may be saved over itself, and old versions be emptied.
+    project.save_project(loaded | {"rows": loaded["rows"].withColumn("notes", F.lit("seen"))}, base, "p", "Third", ["A", "B"])
+    project.drop_old_versions(spark, base, "p")
+    loaded, settings = project.load_project(spark, base, "p")
+    assert settings["name"] == "Third" and [r.notes for r in loaded["rows"].collect()] == ["seen"]
+    assert [r.name for r in project.list_projects(spark, base).collect()] == ["Third"]
+    project.delete_project(spark, base, "p")
+    assert project.list_projects(spark, base).count() == 0 and loaded["rows"].sparkSession.read.parquet(f"{base}/versions/*/rows").count() == 0
+    with pytest.raises(KeyError):
+        project.load_project(spark, base, "p")

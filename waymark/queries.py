@@ -333,6 +333,17 @@ def r5(spark, d):
     return out["rows"].where(lone).select("file_id", "page_num", fx.micro(F.col("lat")).alias("lat_micro"), fx.micro(F.col("lon")).alias("lon_micro"), F.col("cells")[0].alias("c0"))
 
 
+@query("r5_rescan_dedup", P + """SELECT file_id, page_num, lat_micro, lon_micro FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey%10=0, lat_micro, lon_micro ORDER BY o_custkey%13=0, o_custkey, page_num) AS i
+FROM planted) WHERE i=1 OR o_custkey%10=0""")
+def r5_dedup(spark, d):
+    """A re-scan that removes the rows whose coordinate an earlier visible row has; hidden files keep theirs, and rows of unread files come last."""
+    pages, files = fx.planted_pages(spark, d), fx.planted_files(spark, d)
+    coords = extract.scan_coordinates(pages, files, fx.no_places(spark))
+    table = rows.as_table_rows(extract.fresh_rows(coords), files)
+    out = jobs.rescan_job(pages, files, table, extract.build_detections(coords).drop("rects"), fx.no_places(spark), dedup=True)
+    return out["rows"].select("file_id", "page_num", fx.micro(F.col("lat")).alias("lat_micro"), fx.micro(F.col("lon")).alias("lon_micro"))
+
+
 def _duplicates(name: str, same_cols: bool, same_pdf: bool, extra: str) -> None:
     sql = E_ + f"SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY ka, ko{extra} ORDER BY num) i FROM keyed WHERE ka<>'' OR ko<>'') WHERE i > 1"
 

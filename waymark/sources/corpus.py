@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folder import FolderSource
 from .shared import numbered
 
 SCHEMA = "file_id string, file_seq long, name string, path string, error string, num_pages int, intensity int, hidden boolean"
@@ -39,8 +40,17 @@ def files_of(paths: DataFrame, root: str, max_depth: int | None = 4, max_files:
 
 
 def list_corpus(spark: SparkSession, root: str, max_depth: int | None = 4, max_files: int | None = 500) -> DataFrame:
-    """Files table of a folder. Only names are read, no contents. By Spark's own rule, names that begin with '_'
-    or '.' are not listed."""
+    """Files table of a folder. Only names are read, no contents.
+
+    A mounted folder is walked level by level on the executors: folders below the depth and those that begin with a dot are never
+    opened. In a store that only Spark reads (``scheme://``), Spark's own listing is used, which passes over names that begin with
+    ``_``.
+    """
+    if root.startswith("file:") or "://" not in root:
+        root = "/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root
+        spark.dataSource.register(FolderSource)
+        walk = spark.read.format("waymark_folder").option("path", root)
+        found = (walk if max_depth is None else walk.option("depth", max_depth)).load()
+        return files_of(found, root, max_depth, max_files)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(root)
-    paths = found.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"))
-    return files_of(paths, root.removeprefix("file://"), max_depth, max_files)
+    return files_of(found.select("path"), root, max_depth, max_files)
