@@ -857,6 +857,65 @@ def test_repeated_paragraphs_lose_constant_ends(spark):
     assert all(t.startswith(f"head story {i} ") and "reserved" not in t for i, t in enumerate(out))
 
 
+def many_words(n, rng):
+    return " ".join(f"{rng.choice(WORDS[:5])}{rng.randrange(999)}" for _ in range(n))
+
+
+@pytest.mark.parametrize(("pages", "times"), [(5, 1), (10, 1), (30, 1), (30, 4), (100, 2)])
+def test_comments_never_stand_for_the_article(spark, pages, times):
+    """Eight comments a page, each ``times`` as long as a paragraph or a little longer, on hosts of any size."""
+    rng = random.Random(pages + times)
+    sources, want = [], []
+    for i in range(pages):
+        text = [f"head {many_words(3, rng)}", *(many_words(30, rng) for _ in range(3))]
+        comments = "".join(f"<div class='c'><p>{many_words(35 * times, rng)}</p></div>" for _ in range(8))
+        body = f"<h1>{text[0]}</h1>" + "".join(f"<p>{p}</p>" for p in text[1:])
+        sources.append(f"<nav><a href='/'>home {i}</a></nav><article>{body}</article><section class='comments'>{comments}</section><footer>rights {i}</footer>")
+        want.append(" ".join(text))
+    assert extracted(spark, [("http://c.example/", s) for s in sources]) == want
+
+
+def test_parts_of_the_article_stay(spark):
+    """Links between paragraphs, a first paragraph that nine of ten pages share, a heading in the article's own header."""
+    rng = random.Random(23)
+    links, shared, headed, want = [], [], [], [[], [], []]
+    for i in range(10):
+        a, b, head, names = many_words(30, rng), many_words(30, rng), many_words(3, rng), [many_words(4, rng) for _ in range(4)]
+        menu = "<nav><a href='/'>x</a></nav>"
+        links.append(f"{menu}<article><h1>{head}</h1><p>{a}</p><ul>{''.join(f'<li><a href=/{k}>{x}</a></li>' for k, x in enumerate(names))}</ul><p>{b}</p></article>")
+        want[0].append(" ".join([head, a, *names, b]))
+        first = "This column appears weekly." if i else many_words(6, rng)
+        shared.append(f"{menu}<article><h1>{head}</h1><p>{first}</p><p>{a}</p><p>{b}</p></article>")
+        want[1].append(" ".join([head, first, a, b]))
+        headed.append(f"<header>site</header><article><header><h1>{head}</h1></header><p>{a}</p><p>{b}</p></article>")
+        want[2].append(" ".join([head, a, b]))
+    for pages, texts in zip((links, shared, headed), want, strict=True):
+        assert extracted(spark, [("http://a.example/", s) for s in pages]) == texts
+
+
+def test_choice_of_the_part_by_brute_force():
+    """On small templates the choice is an unmarked part whenever one has a twentieth of the text."""
+    rng = random.Random(6)
+    for _ in range(400):
+        n = rng.randrange(2, 6)
+        kids = tuple(html.shape(f"div.k{k}", False, (html.shape("p", True, ()),)) for k in range(n))
+        template = html.shape("body", False, kids)
+        stats = []
+        for k in range(n):
+            mass = float(rng.choice([0, 100, 1000, 5000, 20000]))
+            marked = rng.random() < 0.5
+            stats.append({"slot": 2 + 2 * k, "mass": mass, "links": 0.0, "aside": mass if marked else 0.0, "pages": 500, "uses": 500, "texts": 500})
+        own = html.Wrapper(template, stats, 500)
+        total = sum(s["mass"] for s in stats)
+        plain = sum(s["mass"] for s in stats if not s["aside"])
+        if plain and plain >= total / 20:
+            kept = own.kept()
+            best = max((s for s in stats if not s["aside"]), key=lambda s: s["mass"])
+            assert best["slot"] in kept
+            heavy = [s for s in stats if s["aside"] and s["mass"]]
+            assert not any(s["slot"] in kept for s in heavy)
+
+
 def test_near_copies_keep_their_head(spark):
     rng = random.Random(15)
     base = words(60, rng).split()

@@ -58,8 +58,9 @@ _SPACE = re.compile(r"\s+")
 
 
 def is_aside(node: Node, within_main: bool = True) -> bool:
-    """By tag or name. Names say nothing of html, body and main, nor of an article outside a main part."""
-    if node.tag in ASIDE_TAGS:
+    """By tag or name. Names say nothing of html, body and main, nor of an article outside a main part; a header within a main
+    part is the article's own."""
+    if node.tag in ASIDE_TAGS and not (node.tag == "header" and within_main):
         return True
     if not node.words or node.tag in ("html", "body", "main") or node.tag == "article" and not within_main:
         return False
@@ -453,14 +454,20 @@ class Wrapper:
                 todo.append((k, at))
         self.up = up
         self.total, self.linked, self.furniture, self.own, self.pages = ([0.0] * n for _ in range(5))
+        self.uses, self.texts = [0.0] * n, [0.0] * n
         discount = pages / (pages + prior)
+        strict = [0.0] * n
         for s in stats:
             at = s["slot"]
             self.total[at], self.linked[at], self.furniture[at], self.pages[at] = s["mass"], s["links"], s["aside"], s["pages"]
+            self.uses[at], self.texts[at] = s["uses"], s["texts"]
             self.own[at] = max(0.0, s["mass"] - s["links"] - (1 - discount) * s["aside"])
+            strict[at] = max(0.0, s["mass"] - s["links"] - s["aside"])
         self.free = list(self.own)
+        #: Own and free text by all names, and by names as far as the host's pages bear them out.
+        self.strict = (strict, list(strict))
         for at in range(n - 1, 0, -1):
-            for x in (self.total, self.linked, self.furniture, self.free):
+            for x in (self.total, self.linked, self.furniture, self.free, self.strict[1], self.uses, self.texts):
                 x[up[at]] += x[at]
             self.pages[up[at]] = max(self.pages[up[at]], self.pages[at])
 
@@ -513,14 +520,44 @@ class Wrapper:
     def below(self, slot: int) -> range:
         return range(slot, slot + self.shapes[slot].size)
 
+    def marked(self, slot: int) -> bool:
+        return self.furniture[slot] > 0.5 * self.total[slot]
+
+    def chosen(self, least: float = 0.05) -> list[int]:
+        """The main parts. One that is mostly marked as furniture, such as many long comments, gives way to an unmarked part of
+        the same pages that has ``least`` of its text, however many pages the host has."""
+        found = self.main()
+        if not any(map(self.marked, found)):
+            return found
+        own, free = self.own, self.free
+        self.own, self.free = self.strict
+        other = [s for s in self.main() if self.free[s] > 0]
+        together = lambda c, s: self.free[s] >= least * (self.total[c] - self.linked[c]) and self.pages[c] + self.pages[s] > self.pages[0]
+        kept = [c for c in found if not self.marked(c) or not any(together(c, s) for s in other)]
+        if kept == found:
+            self.own, self.free = own, free
+            return found
+        return sorted({*other, *(c for c in kept if self.marked(c))})
+
+    def link_lists(self, chosen: int, most_links: float) -> set[int]:
+        """Parts of links below a slot that are no part of its text: all that stand at its edge or say the same on most pages. A
+        list of links with the article's text before and after it, such as its sources, stays."""
+        slots = self.below(chosen)[1:]
+        heavy = [k for k in slots if (self.shapes[k].size > 1 or self.shapes[k].repeated) and self.linked[k] > most_links * self.total[k] and self.free[k] < 0.5 * self.free[chosen]]
+        within = {x for k in heavy for x in self.below(k)}
+        plain = [k for k in slots if self.own[k] > 0 and k not in within]
+        first, last = (min(plain), max(plain)) if plain else (0, 0)
+        inner = lambda k: first < k < last and not self.marked(k) and self.texts[k] > 0.5 * self.uses[k]
+        return {k for k in heavy if not inner(k)}
+
     def kept(self, most_links: float = 0.6) -> set[int]:
         """Slots whose text is the article's, unless it is constant."""
         out: set[int] = set()
-        for chosen in self.main():
+        for chosen in self.chosen():
             out.update(self.below(chosen))
+            lists = self.link_lists(chosen, most_links)
             for slot in self.below(chosen)[1:]:
-                many = self.shapes[slot].size > 1 or self.shapes[slot].repeated
-                links = many and self.linked[slot] > most_links * self.total[slot] and self.free[slot] < 0.5 * self.free[chosen]
+                links = slot in lists
                 furniture = self.furniture[slot] > 0.5 * self.total[slot] and self.free[slot] < 0.8 * self.free[chosen]
                 if self.total[slot] and (links or furniture):
                     out.difference_update(self.below(slot))
@@ -581,7 +618,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract_main_text(pages: DataFrame, constant_share: float = 0.8, least_pages: int = 3, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def extract_main_text(pages: DataFrame, constant_share: float = 0.95, least_pages: int = 3, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text (empty if none).
 
     A null html is empty; a null url has the empty host; repeated rows and null ids stay; an empty table gives an empty result;
@@ -611,8 +648,9 @@ def extract_main_text(pages: DataFrame, constant_share: float = 0.8, least_pages
     sums = texts.groupBy("host", "slot").agg(
         F.sum("size").alias("mass"), F.sum("links").alias("links"), F.sum(F.when(F.col("aside"), F.col("size")).otherwise(0)).alias("aside"),
         F.sum(F.when(F.col("nth") < 2, F.col("n")).otherwise(0)).alias("pages"),
+        F.sum(F.when(F.col("nth") < 3, F.col("n")).otherwise(0)).alias("uses"), F.count_if(F.col("nth") < 3).alias("texts"),
     )
-    stats = sums.where("slot >= 0").groupBy("host").agg(F.collect_list(F.struct("slot", "mass", "links", "aside", "pages")).alias("stats"))
+    stats = sums.where("slot >= 0").groupBy("host").agg(F.collect_list(F.struct("slot", "mass", "links", "aside", "pages", "uses", "texts")).alias("stats"))
     counts = read.groupBy("host").agg(F.count_distinct("longest").alias("pages"))
     share = texts.where("nth < 3 and slot >= 0").groupBy("host", "slot", "nth").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "said")).alias("top"))
     constant = share.where((F.col("pages") >= 3) & (F.col("top.n") >= constant_share * F.col("pages")))
