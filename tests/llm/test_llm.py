@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,24 @@ def test_group_count_follows_pieces_of_long_texts(spark):
     assert queries.most_pieces(docs.limit(0)) == 0
 
 
+def test_groups_are_dealt_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    """Many groups, null ids among them, in few tasks: each group is packed as if it were alone, and null ids spread over groups."""
+    monkeypatch.setattr(packing, "TASKS", 3)
+    rows = [(None if i % 3 == 0 else i, 0, 1 + i * 7 % 60, i) for i in range(2000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long")
+    packed = packing.pack(pieces, 2000, window=64, group_rows=50)
+    assert packed.rdd.getNumPartitions() <= 3
+    out = packed.toPandas()
+    assert len(out) == 2000 and sorted(out.ids_crc32) == list(range(2000))
+    for _, seq in out.sort_values("offset").groupby("sequence_id"):
+        assert (seq.offset.values == np.concatenate([[0], np.cumsum(seq.length)[:-1]])).all() and seq.length.sum() <= 64
+    groups = out.sequence_id.values >> 32
+    assert len(set(groups)) == 40 and len(set(groups[out.doc_id.isna()])) == 40
+    for g in set(groups):
+        own = out[groups == g].length.values
+        assert len(set(out.sequence_id[groups == g])) == packing.best_fit_decreasing(own, 64)[0].max() + 1
+
+
 def test_packing_empty(spark):
     pieces = packing.token_pieces(empty(spark), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
     assert packing.pack(pieces, 0).count() == 0
@@ -762,6 +781,8 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
         "quality.Mil().scores([text.encode()])",
         "media.read_png(media.write_png(media.pad(text.encode())))",
         "langid.label_shares(langid.fit(['a b c', 'd e f'], ['x', 'y']), pa.array([text]))",
+        "del text, texts; langid.label_shares(langid.fit(['a b c', 'd e f'], ['x', 'y']), pa.array(['abcdefg' * (32 << 20 >> 3)]))",
+        "del text, texts; langid.label_shares(langid.fit(['a b c', 'd e f'], ['x', 'y']), pa.array(['\\u6c34\\u306e\\u3001\\u5c71' * (32 << 20 >> 4)]))",
     ],
 )
 def test_memory_for_one_long_text(body):
@@ -775,6 +796,16 @@ def test_memory_for_one_long_text(body):
     assert int(done.stdout.split()[-1]) < 800
 
 
+def test_word_scores_do_not_depend_on_spans(monkeypatch):
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=(langid.TABLE, 3)).astype(np.float32)
+    words_ = pa.array(["a", "straße", "x" * 300, "日本語" * 40, "", "river", "abc" * 33])
+    want = langid.word_scores(words_, weights)
+    for span in (7, 16, 100):
+        monkeypatch.setattr(langid, "FEATURED", span)
+        assert np.allclose(langid.word_scores(words_, weights), want)
+
+
 def test_monotonous_long_texts(spark):
     rng = random.Random(9)
     texts = ["again " * 70_000, " ".join(str(rng.randrange(10**6)) for _ in range(70_000)), "x " * 34, "p q r " * 40_000, words(36, rng)]

@@ -28,6 +28,8 @@ from .words import U, mix, pieces
 CHAIN = 64
 #: Pieces that are settled at a time, and bytes of a text that are cut into words at a time.
 SLICE, CUT = 1024, 1 << 20
+#: Bytes of words whose features are made at a time.
+FEATURED = 1 << 19
 TABLE = 1 << 17
 UNDETERMINED = "und"
 _NOT_LETTERS = "[^\\pL\\pM]+"
@@ -75,6 +77,42 @@ def _scores(index: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray) -
     return np.stack([np.bincount(owner, weights[index, k], n) for k in range(weights.shape[1])], axis=1)
 
 
+def _long_word(word: bytes, weights: np.ndarray) -> np.ndarray:
+    """Label scores of one word of any length, a span at a time."""
+    seen, total = np.zeros(TABLE, np.int64), U(0)
+    data = np.frombuffer(b"\x02" + word + b"\x03", np.uint8)
+    base = 0x9E3779B97F4A7C15 | 1
+    powers = np.cumprod(np.full(FEATURED, base, U))
+    for i in range(0, len(data), FEATURED):
+        x = data[i : i + FEATURED + 3].astype(U)
+        code = x
+        for n in (2, 3, 4):
+            code = code[: len(x) - n + 1] * U(256) + x[n - 1 :]
+            seen += np.bincount((mix(code[:FEATURED] * U(8) + U(n)) % U(TABLE)).astype(np.int64), minlength=TABLE)
+        x = x[:FEATURED]
+        total += (mix(x + U(1)) * (x > 3) * powers[: len(x)]).sum(dtype=U) * U(pow(base, i, 1 << 64))
+    seen[int(mix(np.array([total]) * U(8) + U(1))[0] % U(TABLE))] += 1
+    return seen @ weights.astype(np.float64)
+
+
+def word_scores(words: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """Label scores of distinct words. Features are made for FEATURED bytes of words at a time, and longer words are
+    read in spans, so that no table grows with a text."""
+    out = np.zeros((len(words), weights.shape[1]))
+    total = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(words):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + FEATURED, side="right")))
+        if total[end - 1] - before > FEATURED:
+            out[at] = _long_word(words[at].as_py().encode(), weights)
+        else:
+            index, owner = features(words.slice(at, end - at))
+            out[at:end] = _scores(index, owner, end - at, weights)
+        at = end
+    return out
+
+
 def _chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, size and text of the pieces of CHAIN words that the texts are cut into."""
     per = -(-counts // CHAIN)
@@ -153,9 +191,8 @@ def _coded(model: Crf, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     for group in groups:
         words, sizes = split_words(group)
         coded = words.dictionary_encode()
-        index, owner = features(coded.dictionary)
         codes.append(coded.indices.to_numpy() + np.int32(n))
-        tables.append(_scores(index, owner, len(coded.dictionary), model.weights))
+        tables.append(word_scores(coded.dictionary, model.weights))
         counts += sizes
         n += len(coded.dictionary)
     return np.concatenate(codes), np.concatenate(tables), counts

@@ -23,6 +23,8 @@ from .common import blocks, narrow, share
 
 #: Fixed values of the byte-level vocabulary: its end-of-text string and that string's id.
 EOT, EOT_ID = "<|endoftext|>", 50256
+#: Tasks that the groups of a table are dealt to at most; a task lays one group after another.
+TASKS = 8_192
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 #: White space before a space: such texts are encoded whole, others by their distinct words.
 UNSAFE = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] |\\x{01}|<\\|endoftext\\|>"
@@ -194,7 +196,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 def pack(pieces: DataFrame, n_rows: int, window: int = 1024, group_rows: int = 40_000) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most ``window`` tokens.
 
-    ``n_rows``: about how many rows there are; it sets the number of groups, each of about
+    ``n_rows``: about how many rows there are; it sets the number of groups, drawn by a hash of all columns, each of about
     ``group_rows`` rows, and so the number of windows that may stay partly empty (a few per
     group). Needs the columns doc_id, start, length; carries the others along. Null ids and repeated rows are
     pieces like others; an empty table gives an empty result.
@@ -218,6 +220,6 @@ def pack(pieces: DataFrame, n_rows: int, window: int = 1024, group_rows: int = 4
             own = [batch.column(n) for n in names[:-2]]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=names)
 
-    group = F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups))
-    dealt = pieces.withColumn("__group", group).repartition(groups, "__group")
+    group = F.pmod(F.xxhash64(*(f"`{c}`" for c in pieces.columns)), F.lit(groups))
+    dealt = pieces.withColumn("__group", group).repartition(min(groups, TASKS), "__group")
     return dealt.sortWithinPartitions("__group", F.desc("length"), "doc_id", "start").mapInArrow(lay, schema)
