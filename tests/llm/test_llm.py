@@ -528,7 +528,7 @@ def test_registered_digests(spark):
     import __spark_entry__ as entry
 
     made = entry.queries()
-    assert {n.split("_")[0] for n in made if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in made
+    assert {n.split("_")[0] for n in made if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in made
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in made["op2_media"](spark, DATA).collect():
         raw = docs[r.doc_id].encode()
