@@ -352,6 +352,25 @@ def test_fingerprint_order_and_edges(spark, monkeypatch, rows_each):
     assert fingerprint.document_fingerprints(empty(spark)).count() == 0
 
 
+def test_fingerprints_of_hot_ids(spark):
+    """A third of the rows under one id, a third without id, most of these equal: the pairs are those of one sorted pass, and
+    no part holds much more than its share."""
+    rng = random.Random(9)
+    rows = [(i, words(6, rng)) for i in range(400)] + [(77, words(6, rng)) for _ in range(400)]
+    rows += [(None, "the same words again")] * 380 + [(None, words(6, rng)) for _ in range(20)] + [(500, "the last one")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(F.coalesce("doc_id", F.lit(fingerprint.NO_ID)).alias("id"), "text")
+    order = [(r.id, r.text) for r in texts.withColumn("tie", F.xxhash64("text")).orderBy("id", "tie", "text").collect()]
+    wanted = Counter((i, fingerprint.edit(t, order[(n + 1) % len(order)][1])) for n, (i, t) in enumerate(order))
+    plan = fingerprint.ordered_parts(texts, 40)
+    largest = max(r["count"] for r in plan.where("ahead is null or not ahead").groupBy("part").count().collect())
+    assert largest < 130
+    schema = "id long, n_chars long, edited string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+    got = plan.mapInArrow(fingerprint._pairs, schema).collect()
+    assert Counter((r.id, r.edited) for r in got) == wanted
+    assert all(r.near_next == 1.0 for r in got if r.edited == "the same words again" and r.id == fingerprint.NO_ID)
+
+
 # Language and quality
 
 

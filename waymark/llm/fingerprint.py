@@ -9,6 +9,7 @@ generalised Jaccard similarity, sum of the lesser weights over sum of the greate
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,7 +138,7 @@ def edit(text: str, following: str) -> str:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (part, ahead, id, text) in order: each row that is not ahead is paired with the next row of
-    its part. Only one row is held over from block to block."""
+    its part; one with ahead null, which come first, with itself. Only one row is held over from block to block."""
     held = None
     for block in blocks(batches):
         seq, now, then, ids = [], [], [], []
@@ -147,6 +148,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held is None and ahead:
                 continue
             seq.append(text)
+            if ahead is None:
+                now.append(len(seq) - 1)
+                then.append(len(seq) - 1)
+                ids.append(id_)
+                continue
             if held is not None:
                 if held[0] != part:
                     raise ValueError("a part ends without the document after it")
@@ -175,35 +181,82 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raise ValueError("a part ends without the document after it")
 
 
-def ordered_parts(texts: DataFrame, rows_each: int = 4000) -> DataFrame:
-    """(part, ahead, id, text): rows dealt by ranges of their id, each range followed by the first rows
-    of the next one (the last by the first of all), marked ``ahead``. Ranges begin at ids that occur, so a
-    row at a beginning is known by its id alone; only those ids reach the driver."""
-    total = texts.count()
-    parts = min(share(total, rows_each), 10_000)
+def _mark_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, tie, text) with ``again``: an equal row came before within the block."""
+    for block in blocks(batches):
+        seen, again = set(), []
+        for row in zip(block.column("id").to_pylist(), block.column("text").to_pylist(), strict=True):
+            again.append(row in seen)
+            seen.add(row)
+        yield pa.RecordBatch.from_arrays([*block.columns, pa.array(again, pa.bool_())], names=[*block.schema.names, "again"])
+
+
+def _bounds(texts: DataFrame, parts: int) -> tuple[list[tuple[int, int | None]], bool]:
+    """First (id, tie) of each range, in order, and whether an id has several ranges. The tie is null where a range begins
+    with all rows of its id. An id that fills several ranges has as many equal shares of the ties, each beginning at a tie that
+    occurs. There are as many bounds as ranges at most, and nothing else reaches the driver."""
     asked = [i / parts for i in range(parts)]
     found = texts.agg(F.min("id"), F.percentile_approx("id", asked, max(10_000, 10 * parts))).first()
-    bounds = np.unique(np.array([found[0], *(found[1] or [])] if total else [0], np.int64))
+    if found[0] is None:
+        return [(0, None)], False
+    times = Counter(found[1])
+    hot = {i: n for i, n in times.items() if n > 1}
+    bounds = [(i, None) for i in {found[0], *times} - set(hot)]
+    if hot:
+        few = texts.sparkSession.createDataFrame(list(hot.items()), "id long, n long")
+        some = texts.join(F.broadcast(few), "id")
+        # The upper half of the ties' bits, as a number from 0 on, falls into n equal shares.
+        slot = F.shiftright(F.col("n") * (F.shiftright("tie", 32) + (1 << 31)), 32)
+        bounds += [(r["id"], r["tie"]) for r in some.groupBy("id", slot.alias("slot")).agg(F.min("tie").alias("tie")).collect()]
+    return sorted(bounds, key=lambda b: (b[0], b[1] or 0)), bool(hot)
 
-    @F.pandas_udf("long")
-    def place(ids: pd.Series) -> pd.Series:
-        p = np.searchsorted(bounds, ids.to_numpy(), side="right") - 1
-        return pd.Series(2 * p + (bounds[p] == ids.to_numpy()))
 
-    here = F.struct(F.expr("at div 2").alias("part"), F.lit(False).alias("ahead"))
-    before = F.struct(F.expr(f"pmod(at div 2 - 1, {len(bounds)})").cast("long").alias("part"), F.lit(True).alias("ahead"))
-    dealt = texts.withColumn("at", place("id")).withColumn("p", F.explode(F.when(F.col("at") % 2 == 1, F.array(here, before)).otherwise(F.array(here))))
-    dealt = dealt.select("p.part", "p.ahead", "id", "text")
-    return dealt.repartition(len(bounds), "part").sortWithinPartitions("part", "ahead", "id", "text")
+def ordered_parts(texts: DataFrame, rows_each: int = 4000) -> DataFrame:
+    """(part, ahead, id, text): rows dealt by ranges of (id, a hash of the text), each range followed by the first rows
+    of the next one (the last by the first of all), marked ``ahead``. Ranges begin at values that occur, so a
+    row at a beginning is known by its values alone. Where an id fills several ranges, rows equal to an earlier one of
+    their block have ahead null: each is followed by itself, so they may lie in any part."""
+    texts = texts.select("id", F.xxhash64("text").alias("tie"), "text")
+    bounds, hot = _bounds(texts, min(share(texts.count(), rows_each), 10_000))
+    ids, at = np.unique(np.array([b[0] for b in bounds], np.int64), return_index=True)
+    ends = np.append(at[1:], len(bounds))
+    first_tie = {int(i): np.array([b[1] for b in bounds[a:e]], np.int64) for i, a, e in zip(ids, at, ends, strict=True) if bounds[a][1] is not None}
+
+    @F.pandas_udf("long")
+    def place(id_: pd.Series, tie: pd.Series) -> pd.Series:
+        values, ties = id_.to_numpy(), tie.to_numpy()
+        k = np.searchsorted(ids, values, side="right") - 1
+        begins, part = ids[k] == values, ends[k] - 1
+        for i in np.unique(values[begins]):
+            if int(i) in first_tie:
+                own, shares = values == i, first_tie[int(i)]
+                among = np.searchsorted(shares, ties[own], side="right") - 1
+                part[own] = at[k[own]] + among
+                begins[own] = shares[among] == ties[own]
+        return pd.Series(2 * part + begins)
+
+    if hot:
+        texts = texts.mapInArrow(_mark_repeats, "id long, tie long, text string, again boolean")
+    else:
+        texts = texts.withColumn("again", F.lit(False))
+    part = F.expr("at div 2")
+    here = F.struct(part.alias("part"), F.when(~F.col("again"), F.lit(False)).alias("ahead"))
+    before = F.struct(F.pmod(part - 1, F.lit(len(bounds))).cast("long").alias("part"), F.lit(True).alias("ahead"))
+    apart = F.struct(F.pmod(F.monotonically_increasing_id(), F.lit(len(bounds))).cast("long").alias("part"), F.lit(None).cast("boolean").alias("ahead"))
+    dealt = texts.withColumns({"at": place("id", "tie"), "apart": apart})
+    copies = F.when(F.col("again"), F.array("apart")).when(F.col("at") % 2 == 1, F.array(here, before)).otherwise(F.array(here))
+    dealt = dealt.withColumn("p", F.explode(copies)).select("p.part", "p.ahead", "id", "tie", "text")
+    return dealt.repartition(len(bounds), "part").sortWithinPartitions("part", "ahead", "id", "tie", "text").drop("tie")
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited (the edited text), fingerprint and
     edited_fingerprint (128 bytes each), near_edited, near_next.
 
-    The next document is the one of next greater doc_id, equal ids in order of text; the first
-    follows the last, so a lone document follows itself. Null ids come before all others and stay
-    null. A null text is empty; a text without words has the fingerprint of zeros; texts of any length are handled
+    The next document is the one of next greater doc_id, equal ids in order of a hash of the text, rows that repeat both
+    one after another; the first follows the last, so a lone document follows itself. Null ids come before all others and
+    stay null. An id that very many rows have, or null, is spread over as many ranges as it fills. Rows that repeat within a
+    block are spread by their place in ``docs``, which should thus be read from files. A null text is empty; a text without words has the fingerprint of zeros; texts of any length are handled
     alike. Extra columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(
