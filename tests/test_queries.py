@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark import queries as q
 from waymark.functions import columns as col
 from waymark.functions import tokens as tk
-from waymark.operators import assist, extract, rows
+from waymark.operators import assist, extract, pagetext, rows
 from waymark.sources import corpus, csv, folder, project, shared
 from waymark.streaming.scan import scan_stream, stream_tables
 
@@ -225,6 +225,24 @@ def test_breaks_that_are_not_read_have_no_pair(spark):
     assert got == want and len(want) > 150
 
 
+def test_boxes_of_a_huge_page(spark):
+    """Boxes by bins are those of comparing every item with every range; a range meets few of the page's items."""
+    rng = random.Random(4)
+    spans, at = [], 0
+    for i in range(3000):
+        at += rng.choice([0, 1, 1, 2])
+        n = rng.choice([1, 3, 7, 20, 700 if i % 500 == 0 else 5])
+        spans.append(("f", i % 2, i, at, at + n, float(at), 7.0, 10.0 * n, 9.0))
+        at += n
+    ranges = [(f"d{i}", "f", i % 2, s, s + rng.choice([0, 1, 5, 60, 300])) for i in range(400) for s in [rng.randrange(at + 50)]]
+    ranges += [("all", "f", 0, 0, at + 100), ("long", "f", 1, 500, 2_000_000_000), ("none", "g", 0, 0, 10)]
+    items = spark.createDataFrame(spans, "file_id string, page_num int, item_seq int, start int, end int, x double, y double, width double, height double")
+    wanted = spark.createDataFrame(ranges, "det_id string, file_id string, page_num int, start int, end int")
+    got = {r.det_id: len(r.rects) for r in pagetext.rects_for_range(items, wanted).collect()}
+    expected = {d: sum(f == g and p == q and e > s and b < t for g, q, _, b, e, *_ in spans) for d, f, p, s, t in ranges}
+    assert got == {d: n for d, n in expected.items() if n}
+
+
 def test_huge_files_are_folded_by_many_tasks(spark):
     """Chunks of files of many pages, gaps in their numbers, pages without rows and over-long ones included."""
     rng = random.Random(12)

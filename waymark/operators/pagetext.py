@@ -62,12 +62,30 @@ def page_spans(items: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of a bin; ranges of more than WIDER bins go into bins WIDER times as wide.
+BIN, WIDER = 256, 256
+
+
+def _in_bins(df: DataFrame, start: str, end: str, first: str) -> DataFrame:
+    """A row for each bin that [start, end) touches, with the first of them; an empty range touches that of its start."""
+    at = F.floor(F.col(start) / F.col("bin_width"))
+    last = F.floor(F.greatest(F.col(start), F.col(end) - 1) / F.col("bin_width"))
+    return df.withColumns({first: at, "bin": F.explode(F.sequence(at, last))})
+
+
 def rects_for_range(spans: DataFrame, ranges: DataFrame) -> DataFrame:
     """(det_id, rects): for each range (det_id, file_id, page_num, start, end) the boxes [x1, y1, x2, y2] of all
-    items it touches, in order. The join is local to a page; only pages with ranges are read further."""
-    r = ranges.select("det_id", "file_id", "page_num", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    some = spans.join(ranges.select("file_id", "page_num").distinct(), ["file_id", "page_num"], "left_semi")
-    hit = some.join(r, ["file_id", "page_num"]).where((F.col("end") > F.col("r_start")) & (F.col("start") < F.col("r_end")))
+    items it touches, in order. Only pages with ranges are read further.
+
+    Items and ranges meet in bins of offsets, a pair counting in the first bin that both touch. So a range is compared with the
+    items near it alone, and a page of any size is spread over tasks. Long ranges meet the items in wider bins.
+    """
+    page = ["file_id", "page_num"]
+    r = ranges.select("det_id", *page, F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    r = r.withColumn("bin_width", F.when(F.col("r_end") - F.col("r_start") <= BIN * WIDER, BIN).otherwise(BIN * WIDER))
+    some = spans.join(r.select(*page, "bin_width").distinct(), page)
+    met = _in_bins(some, "start", "end", "s_first").join(_in_bins(r, "r_start", "r_end", "r_first"), [*page, "bin_width", "bin"])
+    hit = met.where((F.col("end") > F.col("r_start")) & (F.col("start") < F.col("r_end")) & (F.col("bin") == F.greatest("s_first", "r_first")))
     size = F.col("end") - F.col("start")
     at = lambda c: F.col("x") + F.col("width") * (c - F.col("start")) / size
     box = F.array(at(F.greatest("r_start", "start")), F.col("y") - F.col("height") * BELOW, at(F.least("r_end", "end")), F.col("y") + F.col("height") * ABOVE)
