@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark import queries as q
 from waymark.functions import columns as col
 from waymark.functions import tokens as tk
-from waymark.operators import assist, extract, pagetext, rows
+from waymark.operators import assist, extract, pagetext, readings, rows
 from waymark.sources import corpus, csv, folder, project, shared
 from waymark.streaming.scan import scan_stream, stream_tables
 
@@ -243,6 +243,36 @@ def test_boxes_of_a_huge_page(spark):
     assert got == {d: n for d, n in expected.items() if n}
 
 
+def test_scans_by_store(spark, tmp_path):
+    """Scans by a store equal plain ones; only what is new, changed or at another level is read, equal texts once."""
+    both = 'at 41°24\'12"N, 2°10\'26"E'
+    pages = [("f", 1, 'found at 41°24\'12"N,'), ("f", 2, '2°10\'26"E as seen'), ("f", 3, None), ("f", 4, "none"), ("g", 1, both), ("g", 2, both), ("h", 1, both + " and more"), ("h", 2, "in 1987")]
+    none = spark.createDataFrame([], "file_id string, page_num int, half string, start int")
+    base = str(tmp_path / "store")
+
+    def scan(rows_, levels):
+        df = spark.createDataFrame(rows_, "file_id string, page_num int, text string")
+        files = spark.createDataFrame(list(levels.items()), "file_id string, intensity int")
+        before = readings.stored_keys(spark, base).count()
+        show = lambda c: sorted((r.row_id, r.page_num, r.lat, r.lon, r.lat_segs, r.lon_segs) for r in c.collect())
+        by_store, plain_ = show(readings.scan_by_store(df, files, none, base)), show(extract.scan_coordinates(df, files, none))
+        assert by_store == plain_
+        return len(by_store), readings.stored_keys(spark, base).count() - before
+
+    first = {"f": None, "g": None, "h": None}
+    n, read = scan(pages, first)
+    assert n == 4 and read >= 5  # five different texts with digits, and the break of f
+    assert scan(pages, first) == (4, 0)
+    assert scan(pages, {**first, "h": 7})[1] == 2
+    changed = [("h", 2, both + " anew") if p[:2] == ("h", 2) else p for p in pages]
+    assert scan(changed, first) == (5, 1)
+    # A store whose readings were written twice gives the same.
+    twice = spark.read.parquet(base + "/readings")
+    twice.write.mode("append").parquet(base + "/readings")
+    assert scan(changed, first) == (5, 0)
+    assert scan([], first) == (0, 0)
+
+
 def test_huge_files_are_folded_by_many_tasks(spark):
     """Chunks of files of many pages, gaps in their numbers, pages without rows and over-long ones included."""
     rng = random.Random(12)

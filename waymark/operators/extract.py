@@ -124,8 +124,8 @@ def _segments(half: str) -> Column:
 BLOCK_PAGES = 4_096
 
 
-def page_ends(pages: DataFrame, window: int = tk.CROSS_PAGE_WINDOW) -> DataFrame:
-    """(file_id, page_num, head, tail, tail_start, size) of pages, at most ``window`` characters of each end."""
+def page_ends(pages: DataFrame, window: int = tk.CROSS_PAGE_WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, page_num, head, tail, tail_start, size) of pages, at most ``window`` characters of each end, and the columns to keep."""
     return pages.select(
         "file_id",
         F.col("page_num").cast("int"),
@@ -133,6 +133,7 @@ def page_ends(pages: DataFrame, window: int = tk.CROSS_PAGE_WINDOW) -> DataFrame
         F.right(F.col("text"), F.lit(window)).alias("tail"),
         F.greatest(F.lit(0), F.length("text") - window).alias("tail_start"),
         F.length("text").alias("size"),
+        *keep,
     )
 
 
@@ -186,17 +187,38 @@ def _read_breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*made.columns, *(pa.array([e[k] for e in edges], pa.int32()) for k in range(3))], names=_SPANNING.names)
 
 
-def pairs_over_breaks(ends: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """The pairs of ``extract_cross_page`` from the pages' ends."""
-    joint = page_breaks(ends, block_pages).select("file_id", "page_num", "prev_page", "tail_start", F.length("tail").alias("edge"), F.concat("tail", F.lit("\n"), "head").alias("text"))
+def leveled(texts: DataFrame, files: DataFrame | None, level: int) -> DataFrame:
+    """Texts with the level of their file, else the general one; texts with a level of their own keep it."""
+    if "level" in texts.columns:
+        return texts
     if files is None:
-        joint = joint.withColumn("level", F.lit(level))
-    else:
-        joint = joint.join(files.select("file_id", effective_intensity(level).alias("level")), "file_id", "left").withColumn("level", F.coalesce("level", F.lit(level)))
-    found = joint.mapInArrow(_read_breaks, _SPANNING)
+        return texts.withColumn("level", F.lit(level))
+    return texts.join(files.select("file_id", effective_intensity(level).alias("level")), "file_id", "left").withColumn("level", F.coalesce("level", F.lit(level)))
+
+
+def break_texts(ends: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """(file_id, page_num, prev_page, tail_start, edge, text, level) of the breaks that may lie within a pair: the text is the
+    tail before and the head after, and edge is where it breaks."""
+    joint = page_breaks(ends, block_pages).select("file_id", "page_num", "prev_page", "tail_start", F.length("tail").alias("edge"), F.concat("tail", F.lit("\n"), "head").alias("text"))
+    return leveled(joint, files, level)
+
+
+def in_both_pages() -> Column:
+    """Whether a pair of a break's text begins before the break and ends after it."""
+    begin, end = F.least("lat.start", "lon.start"), F.greatest("lat.end", "lon.end")
+    return F.col("lat").isNotNull() & F.col("lon").isNotNull() & (begin < F.col("edge")) & (end > F.col("edge") + 1)
+
+
+def with_segments(found: DataFrame) -> DataFrame:
+    """Pairs over breaks with the ranges of their halves on the pages."""
     return found.select("file_id", "page_num", "pair_idx", "lat", "lon", _segments("lat").alias("lat_segs"), _segments("lon").alias("lon_segs"))
 
 
+def pairs_over_breaks(ends: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """The pairs of ``extract_cross_page`` from the pages' ends."""
+    return with_segments(break_texts(ends, files, level, block_pages).mapInArrow(_read_breaks, _SPANNING))
+
+
 def extract_cross_page(pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, window: int = tk.CROSS_PAGE_WINDOW) -> DataFrame:
     """(file_id, page_num, pair_idx, lat, lon, lat_segs, lon_segs) of pairs that span a page break.
 
@@ -211,11 +233,7 @@ _READ = T.StructType([*PAIRS.fields, *(T.StructField(n, t) for n, t in (("head",
 
 def read_pages(pages: DataFrame, files: DataFrame | None = None, level: int = tk.DEFAULT_LEVEL, window: int = tk.CROSS_PAGE_WINDOW) -> tuple[DataFrame, DataFrame]:
     """(pairs of ``extract_coordinates``, ends of ``page_ends``) from one pass over the texts, written once."""
-    if "level" not in pages.columns:
-        if files is None:
-            pages = pages.withColumn("level", F.lit(level))
-        else:
-            pages = pages.join(files.select("file_id", effective_intensity(level).alias("level")), "file_id", "left").withColumn("level", F.coalesce("level", F.lit(level)))
+    pages = leveled(pages, files, level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,12 +403,17 @@ def fresh_rows(coords: DataFrame, n_cols: int = 2) -> DataFrame:
     )
 
 
+def merged_coordinates(own: DataFrame, cross: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """Located coordinates of page pairs and cross-page pairs, without suppressed ones, written."""
+    return written(located(*merge_cross_page(drop_suppressed(own, suppressed), cross, suppressed)), "coordinates")
+
+
 def scan_coordinates(pages: DataFrame, files: DataFrame, suppressed: DataFrame, level: int = tk.DEFAULT_LEVEL) -> DataFrame:
     """Located coordinates of a corpus: page pairs and cross-page pairs, without suppressed ones. Texts are read once for
     both; what was found is written before it is merged."""
     own, ends = read_pages(pages, files, level)
     cross = written(pairs_over_breaks(ends, files, level), "cross-pairs")
-    return written(located(*merge_cross_page(drop_suppressed(own, suppressed), cross, suppressed)), "coordinates")
+    return merged_coordinates(own, cross, suppressed)
 
 
 def scan_corpus(pages: DataFrame, files: DataFrame, suppressed: DataFrame, n_cols: int = 2, level: int = tk.DEFAULT_LEVEL, spans: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -12,22 +12,28 @@ from ..functions.tokens import DEFAULT_LEVEL
 from ..operators import assist
 from ..operators.extract import build_detections, fresh_rows, scan_coordinates
 from ..operators.pagetext import build_page_text, page_spans
+from ..operators.readings import scan_by_store
 from ..operators.rows import as_table_rows, remove_duplicates, remove_rows, rescan_merge
 from ..sources.shared import numbered, written
 
 
-def scan_job(items: DataFrame, files: DataFrame, suppressed: DataFrame, n_cols: int = 2, level: int = DEFAULT_LEVEL) -> dict[str, DataFrame]:
-    """Pages, rows and detections of a corpus of text items."""
+def _scan(pages: DataFrame, files: DataFrame, suppressed: DataFrame, level: int, store: str | None) -> DataFrame:
+    return scan_by_store(pages, files, suppressed, store, level) if store else scan_coordinates(pages, files, suppressed, level)
+
+
+def scan_job(items: DataFrame, files: DataFrame, suppressed: DataFrame, n_cols: int = 2, level: int = DEFAULT_LEVEL, store: str | None = None) -> dict[str, DataFrame]:
+    """Pages, rows and detections of a corpus of text items. What is read goes into the folder ``store``, if one is given."""
     pages, spans = written(build_page_text(items), "pages"), page_spans(items)
-    coords = scan_coordinates(pages, files, suppressed, level)
+    coords = _scan(pages, files, suppressed, level, store)
     rows = as_table_rows(fresh_rows(coords, n_cols), files)
     return {"pages": pages, "files": files, "rows": rows, "dets": build_detections(coords, spans), "suppressed": suppressed}
 
 
-def rescan_job(pages: DataFrame, files: DataFrame, rows: DataFrame, dets: DataFrame, suppressed: DataFrame, n_cols: int = 2, level: int = DEFAULT_LEVEL, dedup: bool = False) -> dict[str, DataFrame]:
-    """The table after detection at another level: edits stay, deleted places stay deleted."""
+def rescan_job(pages: DataFrame, files: DataFrame, rows: DataFrame, dets: DataFrame, suppressed: DataFrame, n_cols: int = 2, level: int = DEFAULT_LEVEL, dedup: bool = False, store: str | None = None) -> dict[str, DataFrame]:
+    """The table after detection at another level: edits stay, deleted places stay deleted. With a ``store`` of an
+    earlier scan only new and changed texts, and those at another level, are read."""
     scannable = pages.join(files.where("error is null").select("file_id"), "file_id", "left_semi")
-    coords = scan_coordinates(scannable, files, suppressed, level)
+    coords = _scan(scannable, files, suppressed, level, store)
     fresh = as_table_rows(fresh_rows(coords, n_cols), files)
     new_rows, new_dets = rescan_merge(rows, dets, coords, build_detections(coords).drop("rects"), fresh, files)
     if dedup:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import columns as col
-from .operators import assist, extract, pagetext, rows, summary
+from .operators import assist, extract, pagetext, readings, rows, summary
 from .plans import jobs
 from .sources import corpus, csv, project, shared
 from .streaming.scan import scan_stream, stream_tables
@@ -344,6 +344,21 @@ def r5_dedup(spark, d):
     return out["rows"].select("file_id", "page_num", fx.micro(F.col("lat")).alias("lat_micro"), fx.micro(F.col("lon")).alias("lon_micro"))
 
 
+@query("r17_rescan_by_store", P + "SELECT file_id, count(*) AS n_rows, CAST(sum(lat_micro) AS BIGINT) AS lat_sum, CAST(sum(lon_micro) AS BIGINT) AS lon_sum, CAST(CASE WHEN o_custkey%10=3 THEN sum(n_pages) ELSE 0 END AS BIGINT) AS n_read FROM planted GROUP BY file_id, o_custkey")
+def r17_store(spark, d):
+    """Every tenth file gets a level of its own after a scan; the second scan reads the pages of these files (n_read) and no others."""
+    pages, files, base = fx.planted_pages(spark, d), fx.planted_files(spark, d), f"{shared.shared_folder(spark)}/store-{shared.unique()}"
+    readings.scan_by_store(pages, files, fx.no_places(spark), base)
+    before = shared.written(readings.stored_keys(spark, base), "before")
+    files = files.withColumn("intensity", F.when(F.col("file_seq") % 10 == 3, 6).otherwise(F.col("intensity")))
+    found = extract.fresh_rows(readings.scan_by_store(pages, files, fx.no_places(spark), base))
+    new = readings.stored_keys(spark, base).join(before, readings.KEY, "left_anti")
+    at = extract.leveled(pages, files, 5).select("file_id", "level", readings.digest().alias("digest"))
+    read = at.join(new, readings.KEY).groupBy("file_id").agg(F.count("*").alias("n_read"))
+    sums = found.groupBy("file_id").agg(F.count("*").alias("n_rows"), F.sum(fx.micro(F.col("lat"))).alias("lat_sum"), F.sum(fx.micro(F.col("lon"))).alias("lon_sum"))
+    return sums.join(read, "file_id", "left").withColumn("n_read", F.coalesce("n_read", F.lit(0)).cast("long"))
+
+
 def _duplicates(name: str, same_cols: bool, same_pdf: bool, extra: str) -> None:
     sql = E_ + f"SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY ka, ko{extra} ORDER BY num) i FROM keyed WHERE ka<>'' OR ko<>'') WHERE i > 1"
 
