@@ -166,8 +166,11 @@ def boilerplate(n, rng, own=60, common=60):
     return [shared + " " + " ".join(f"o{rng.randrange(10**7)}" for _ in range(own)) for _ in range(n)]
 
 
-def test_near_duplicates_among_boilerplate(spark):
-    """Boilerplate and chains of near copies: buckets that hold several components."""
+@pytest.mark.parametrize("wide, few", [(256, 64), (2, 10**6), (2, 0)])
+def test_near_duplicates_among_boilerplate(spark, monkeypatch, wide, few):
+    """Boilerplate and chains of near copies: buckets that hold several components, by pairs or by prefixes."""
+    monkeypatch.setattr(neardup, "WIDE", wide)
+    monkeypatch.setattr(neardup, "FEW", few)
     rng = random.Random(21)
     texts = [*boilerplate(60, rng), *variants(40, 14, rng), *boilerplate(30, rng, own=20, common=100)]
     texts += [t.replace("o", "O", 3) + " tail" for t in texts[:15]]
@@ -176,6 +179,54 @@ def test_near_duplicates_among_boilerplate(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_a_hot_band_gives_linear_pairs(spark):
+    """5,000 texts that share half of their words, in one bucket, each a component of its own."""
+    n = 5000
+    texts = spark.createDataFrame(list(enumerate(boilerplate(n, random.Random(22), own=30, common=30))), "doc_id long, text string")
+    wide = texts.select(F.lit(1).cast("long").alias("band"), "doc_id", F.col("doc_id").alias("part"))
+    bands, pairs = neardup.prefix_pairs(wide, texts)
+    assert bands.count() == 1 and pairs.count() <= n
+
+
+def test_prefixes_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 10**6)
+    rng = random.Random(23)
+    texts = [*variants(50, 16, rng), *boilerplate(20, rng, own=8, common=60), "", "a b", "a b", *variants(9, 30, rng)]
+    sets = neardup.shingle_sets([t.encode() for t in texts])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wide = docs.select(F.lit(1).cast("long").alias("band"), "doc_id", F.col("doc_id").alias("part"))
+    got = {tuple(r) for r in neardup.prefix_pairs(wide, docs)[1].collect()}
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if common and 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                links += 1
+                assert (i, j) in got
+    assert links > 200
+
+
+def test_recall_just_over_the_similarity(spark):
+    """300 pairs of similarity 0.75 to 0.80, each linked with nothing else."""
+    rng = random.Random(24)
+    texts, want = [], []
+    while len(want) < 300:
+        one = [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(80, 300))]
+        other = list(one)
+        while True:
+            other[rng.randrange(len(other))] = f"y{rng.randrange(10**6)}"
+            pair = [" ".join(one), " ".join(other)]
+            a, b = neardup.shingle_sets([t.encode() for t in pair])
+            like = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            if like < 0.80:
+                break
+        if like >= 0.75:
+            want.append(len(texts))
+            texts += pair
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == got[i + 1] == i for i in want)
+
+
 def test_near_duplicates_edges(spark):
     out = neardup.near_duplicates(frame(spark)).collect()
     assert len(out) == len(TEXTS) + 2 and sum(r.doc_id == 5 for r in out) == 2

@@ -8,10 +8,17 @@
    where similarities are high.
 3. Classes that share a band are candidates. First each is held against the bucket's least
    class (a star, so the pairs are no more than the bucket's rows); then, among buckets that
-   still hold several components, against the members of other components. Candidate pairs pass the
-   odd-sketch and size tests and the parity bound below, then are confirmed on full shingle sets.
+   still hold several components (open buckets), against the members of other components. Candidate
+   pairs pass the odd-sketch and size tests and the parity bound below, then are confirmed on full
+   shingle sets.
 4. Components of the confirmed links.
 
+Members of an open bucket meet in one of two ways, both of which find every link among them. A bucket
+of over ``WIDE`` members goes by prefixes if these give at most ``FEW`` pairs a member: shingles are put
+into one order, rare ones first, and the larger set of a link shares one of its first quarter with the
+first seventh of the smaller set. Texts with a common part and much of their own thus meet
+nobody. The others, small or with too many prefix pairs, are compared pair by pair.
+
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**28, about 2e-5; the
 sketch test turns away a true pair less often still (over four standard deviations).
 
@@ -53,6 +60,12 @@ _SKINNY = ["n", *_KS, *_FS]
 #: Most ids of candidate documents that are broadcast to pick their texts (8 bytes each).
 BROADCAST_IDS = 500_000
 
+#: Members up to which an open bucket is always compared pair by pair, and prefix pairs for each member up to
+#: which a larger one goes by prefixes.
+WIDE, FEW = 256, 64
+#: Bins in which shingles are counted to put rare ones first; the counts are broadcast (8 bytes each).
+ORDER_BINS = 1 << 18
+
 SIGNATURES = "doc_id long, digest binary, n long, bands array<long>, " + ", ".join(f"{c} long" for c in [*_KS, *_FS])
 
 
@@ -198,17 +211,83 @@ def _likely():
     return sizes & (_differing(_KS) <= MOST_BITS) & bound
 
 
-def _confirmed(likely: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among likely pairs (a, b), by their full shingle sets. If the pairs' ids are few, they
-    are broadcast to pick the texts before these are shuffled."""
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _picked(texts: DataFrame, ids: DataFrame, shuffled: bool = True) -> DataFrame:
+    """The texts of ``ids`` (doc_id). If these are few, they are broadcast; if not, and the caller joins
+    the texts by id itself, all texts are returned."""
     if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+        return texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    return texts.join(ids, "doc_id", "left_semi") if shuffled else texts
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among likely pairs (a, b), by their full shingle sets."""
+    texts = _picked(texts, likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), shuffled=False)
     with_a = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
 
+def _bin_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(ORDER_BINS, np.int64)
+    for block in blocks(batches):
+        values = np.concatenate(shingle_sets([t.encode() for t in block.column("text").to_pylist()]))
+        total += np.bincount((values % U(ORDER_BINS)).astype(np.int64), minlength=ORDER_BINS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bin", "n"])
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, h, small) of the shingles h that a text of n shingles may have to share with another one.
+
+    Shingles are ordered by how many sets have one in the same of ``ORDER_BINS`` bins, then by hash; any order
+    that all texts have in common is right. The least common shingle of a link is at most n - c
+    places from the front in either set, c being the least size of the intersection: three quarters of the larger set, and
+    six sevenths of the smaller one, whose places are marked ``small``. Shingles that only one text has are left out.
+    """
+    order = np.zeros(ORDER_BINS, np.int64)
+    counted = texts.mapInArrow(_bin_counts, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    order[counted["bin"].to_numpy()] = counted["n"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            sets = shingle_sets([t.encode() for t in block.column("text").to_pylist()])
+            hashes, smalls = [], []
+            for s in sets:
+                n = len(s)
+                often = order[(s % U(ORDER_BINS)).astype(np.int64)]
+                ranked = np.lexsort((s, often))[: n + 1 - -(-PERCENT * n // 100)]
+                small = np.arange(len(ranked)) <= n - -(-2 * PERCENT * n // (100 + PERCENT))
+                met = often[ranked] > 1
+                hashes.append(signed(s[ranked[met]]))
+                smalls.append(small[met])
+            rows = np.repeat(np.arange(len(sets)), [len(h) for h in hashes])
+            sizes = np.array([len(s) for s in sets])[rows]
+            columns = [block.column("doc_id").take(pa.array(rows)), pa.array(sizes), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(smalls))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h", "small"])
+
+    return texts.mapInArrow(run, "doc_id long, n long, h long, small boolean")
+
+
+def prefix_pairs(wide: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bands, pairs): the bands of ``wide`` (band, doc_id, part), open buckets of many members, that prefixes
+    give few pairs for, and the pairs (a, b) of different parts among their members, every link included."""
+    found = cut(prefixes(_picked(texts, wide.select("doc_id").distinct())))
+    shared = found.groupBy("h").agg((F.count("*") - 1).alias("others"), F.max("small").alias("some")).where("others > 0 and some")
+    met = cut(found.join(shared.drop("some"), "h"))
+    cost = met.where("small").groupBy("doc_id").agg(F.sum("others").alias("cost"))
+    by_band = wide.join(cost, "doc_id", "left").groupBy("band").agg(F.sum("cost").alias("cost"), F.count("*").alias("size"))
+    bands = cut(by_band.where(F.coalesce("cost", F.lit(0)) <= F.col("size") * FEW).select("band"))
+    parts = wide.join(bands, "band").select("doc_id", "part").distinct()
+    entries = met.join(parts, "doc_id")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("h", F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "part")))
+
+    fits = (F.col("n_x") <= F.col("n_y")) & (F.col("n_x") * 100 >= F.col("n_y") * PERCENT) & (F.col("part_x") != F.col("part_y"))
+    pairs = side(entries.where("small"), "x").join(side(entries, "y"), "h").where(fits)
+    return bands, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -231,14 +310,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirmed(likely, texts)
     found = cut(components(links))
 
-    placed = members.join(found, members.doc_id == found.id, "left").select(
-        "band", "a", "doc_id", F.coalesce("component", "doc_id").alias("part")
-    )
+    placed = members.join(found, members.doc_id == found.id, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"))
-    open_ = placed.join(mixed.where("lo <> hi and size > 2").select("band"), "band").where("a <> doc_id")
-    full = open_.drop("a").join(classes.select("doc_id", *_SKINNY), "doc_id")
+    open_ = cut(placed.join(mixed.where("lo <> hi and size > 2").select("band", "size"), "band"))
+    wide = open_.where(F.col("size") > WIDE).drop("size")
+    across = None
+    if not wide.isEmpty():
+        bands, pairs = prefix_pairs(wide, texts)
+        across = pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_likely()).select("a", "b")
+        open_ = open_.join(bands, "band", "left_anti")
+    full = open_.drop("size").join(classes.select("doc_id", *_SKINNY), "doc_id")
     one, other = _side(full, "a", "band", F.col("part").alias("part_a")), _side(full, "b", "band", F.col("part").alias("part_b"))
-    across = cut(one.join(other, "band").where((F.col("part_a") < F.col("part_b")) & _likely()).select("a", "b").distinct())
+    by_pairs = one.join(other, "band").where((F.col("part_a") < F.col("part_b")) & _likely()).select("a", "b")
+    across = cut((across.union(by_pairs) if across is not None else by_pairs).distinct())
     if not across.isEmpty():
         more = _confirmed(across, texts)
         if not more.isEmpty():
