@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark import queries as q
 from waymark.functions import columns as col
 from waymark.functions import tokens as tk
-from waymark.operators import assist, extract, pagetext, readings, rows
+from waymark.operators import assist, extract, pagetext, ranks, readings, rows
 from waymark.sources import corpus, csv, folder, project, shared
 from waymark.streaming.scan import scan_stream, stream_tables
 
@@ -398,3 +398,40 @@ def test_failed_save_leaves_the_project(spark, tmp_path):
     assert project.list_projects(spark, base).count() == 0 and loaded["rows"].sparkSession.read.parquet(f"{base}/versions/*/rows").count() == 0
     with pytest.raises(KeyError):
         project.load_project(spark, base, "p")
+
+
+def test_fill_by_ranks_equals_fill_by_numbers(spark, tmp_path):
+    """Random tables with hidden files, rows added by hand, repeated places, additions and removals, in ranges of ten rows."""
+    rng = random.Random(8)
+    schema = "row_id string, file_id string, cells array<string>, notes string, s int, f long, p int, c int, i long"
+
+    def some(n, tag):
+        return [(f"{tag}{k}", (f := rng.choice(["a", "b", "c", None])), ["x", "y"], "", 0 if f else 2, "abc".find(f or "a") + 1, rng.randrange(4), 0, rng.randrange(9)) for k in range(n)]
+
+    def table(data):
+        return spark.createDataFrame(data, schema).select("row_id", rows.row_seq(*(F.col(c) for c in "sfpci")).alias("row_seq"), "file_id", "cells", "notes")
+
+    files = spark.createDataFrame([("a", 1, False), ("b", 2, True), ("c", 3, False)], "file_id string, file_seq long, hidden boolean")
+    old, more = some(120, "r"), some(30, "n")
+    base = str(tmp_path / "ranks")
+    ranks.build_ranks(table(old), base, 10)
+    ranks.note_changes(table(more), base, 1)
+    ranks.note_changes(table(old[::4]), base, -1)
+    now = table([r for k, r in enumerate(old) if k % 4] + more)
+    n = rows.visible_rows(now, files).count()
+    for first, last in [(1, 1), (30, 7), (-3, 5), (n - 2, n + 50), (n + 1, n + 9), (0, 0), (1, n)]:
+        want = {r.row_id: r.cells for r in rows.fill_range(now, files, first, last, "1", "v").collect()}
+        got = ranks.fill_range_by_ranks(now, files, base, first, last, "1", "v")
+        assert {r.row_id: r.cells for r in got.collect()} == want, (first, last)
+        assert got.columns == now.columns
+    plan = ranks.fill_range_by_ranks(now, files, base, 3, 9, "1", "v")._jdf.queryExecution().toString()
+    assert "Sort [" not in plan and "SortMergeJoin" not in plan
+
+
+def test_ranks_of_an_empty_table(spark, tmp_path):
+    files = spark.createDataFrame([], "file_id string, file_seq long, hidden boolean")
+    none = spark.createDataFrame([], "row_id string, file_id string, cells array<string>, notes string").withColumn("row_seq", rows.row_seq())
+    base = str(tmp_path / "ranks")
+    ranks.build_ranks(none, base)
+    assert ranks.places_of(none, files, base, [1]) == [None]
+    assert ranks.fill_range_by_ranks(none, files, base, 1, 5, "notes", "v").count() == 0

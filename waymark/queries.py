@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import columns as col
-from .operators import assist, extract, pagetext, readings, rows, summary
+from .operators import assist, extract, pagetext, ranks, readings, rows, summary
 from .plans import jobs
 from .sources import corpus, csv, project, shared
 from .streaming.scan import scan_stream, stream_tables
@@ -401,6 +401,17 @@ def r11(spark, d):
     return out.select("row_id", col.cell(0).alias("c0"), col.cell(1).alias("c1"))
 
 
+@query("r11_fill_range_by_ranks", E_ + "SELECT r.row_id, r.c0, CASE WHEN v.num BETWEEN 20 AND 900 THEN 'filled' ELSE r.c1 END AS c1 FROM erows r LEFT JOIN (SELECT row_id, row_number() OVER (ORDER BY num) AS num FROM visible WHERE row_id IN (SELECT row_id FROM erows WHERE e%7<>0)) v USING (row_id) WHERE r.e%7<>0")
+def r11_ranks(spark, d):
+    """A stored index of all rows, from which every seventh row is removed before the fill."""
+    base, files, path = fx.event_rows(spark, d), fx.event_files(spark, d), f"{shared.shared_folder(spark)}/ranks-{shared.unique()}"
+    ranks.build_ranks(base, path, 4096)
+    gone = F.col("row_seq.pair_idx") % 7 == 0
+    ranks.note_changes(base.where(gone), path, -1)
+    out = ranks.fill_range_by_ranks(base.where(~gone), files, path, 900, 20, "1", "filled")
+    return out.select("row_id", col.cell(0).alias("c0"), col.cell(1).alias("c1"))
+
+
 @query("r12_fill_rows", E_ + "SELECT row_id, CASE WHEN e%9=0 THEN -33.5 ELSE lat END AS lat, CASE WHEN e%9=0 THEN NULL ELSE lat_raw END AS lat_raw FROM erows")
 def r12(spark, d):
     base = fx.event_rows(spark, d)
