@@ -312,6 +312,53 @@ def test_bpe_edges(spark):
     assert bpe.encode_decode(empty(spark), tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def coded(coder, texts):
+    """Per text: ids and decoded text, checked against the number of tokens."""
+    count, ids, said = coder.block(pa.array(texts, pa.string()))
+    out = [(np.frombuffer(i, "<u4").tolist(), s) for i, s in zip(ids.to_pylist(), said.to_pylist())]
+    assert count.to_pylist() == [len(i) for i, _ in out]
+    return out
+
+
+def by_library(texts):
+    t = library("word_bpe_49k.json")
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    return [(w, t.decode(w, skip_special_tokens=False)) for w in want]
+
+
+def test_bpe_encodes_different_words_together(monkeypatch):
+    """A block of words that are all different takes few passes over single words; their ids are the library's."""
+    rng, single = random.Random(8), []
+    coder = bpe.WordBpe(tokenizers.path("word_bpe_49k.json"))
+    alone = bpe.PrefixEncoder.encode
+    monkeypatch.setattr(bpe.PrefixEncoder, "encode", lambda self, word: single.append(word) or alone(self, word))
+    different = ["".join(rng.choice(["the", "ion", "er", "ñ", "x", "水", "eau", "s"]) for _ in range(rng.randrange(1, 12))) for _ in range(8000)]
+    texts = [" ".join(different[i : i + 100]) for i in range(0, 8000, 100)] + ["q" * 700, "the" * 900]
+    coder.block(pa.array(texts))
+    assert len(single) < 50
+    assert coded(coder, texts) == by_library(texts)
+    for most in (1, 10**9):
+        monkeypatch.setattr(bpe, "MANY", most)
+        assert coded(coder, texts) == by_library(texts)
+
+
+def test_bpe_cuts_words_as_library():
+    rng = random.Random(9)
+    texts = ["", "'", "''s", "'s's't", "l'll'll", "x'reve", "'ve'", "1's2", "it's<|endoftext|>'s", "e<|endoftext|>\u0301", "<|startoftext|><|endoftext|>", "\u0301", " "]
+    texts += ["".join(rng.choice("'srevlmdt 1,éS") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    coder = bpe.load(tokenizers.path("word_bpe_49k.json"))
+    assert coded(coder, texts) == by_library(texts)
+    assert [coded(coder, [t])[0] for t in texts[:200]] == by_library(texts[:200])
+
+
+def test_bpe_of_long_text_by_spans(monkeypatch):
+    texts = [words(300), "\n\n" + words(40) + "  \t", "z" * 90 + " <|endoftext|>\n", "水の 山\u3000" * 30, "水の、山.Σa,,b\u0301.\u0301c;'s!'s" * 40]
+    coder = bpe.load(tokenizers.path("word_bpe_49k.json"))
+    for span in (1, 7, 100):
+        monkeypatch.setattr(bpe, "SPAN", span)
+        assert [coded(coder, [t])[0] for t in texts] == by_library(texts)
+
+
 # Media
 
 
@@ -866,6 +913,12 @@ def test_memory_for_one_long_text(body):
     assert int(done.stdout.split()[-1]) < 800
 
 
+@pytest.mark.parametrize("text", ["text", "'1 ' * (16 << 20)", "'\\u6c34\\u306e\\u3001\\u5c71' * (32 << 20 >> 4)"])
+def test_memory_of_bpe_for_one_long_text(text):
+    body = f"from waymark.llm import bpe; text = {text}; del texts; bpe.load({tokenizers.path('word_bpe_49k.json')!r}).block(pa.array([text]))"
+    test_memory_for_one_long_text(body)
+
+
 def test_word_scores_do_not_depend_on_spans(monkeypatch):
     rng = np.random.default_rng(3)
     weights = rng.normal(size=(langid.TABLE, 3)).astype(np.float32)

@@ -6,11 +6,14 @@ prefix (matches of a suffix-link automaton over the vocabulary), it is the one t
 with the last token of the prefix before it, which means that the merges would not have joined
 the two otherwise. Following the tokens back from the end gives the exact ids, as the merges in order
 of rank would.
+
+The different words of a block are encoded together, in numpy: one step takes all words' next symbol.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from array import array
 from collections import deque
@@ -25,12 +28,21 @@ from pyspark.sql import DataFrame
 
 from .common import blocks, narrow
 
-#: Fixed values of the vocabulary: white space, the pattern of its words, the mark of a word's end.
+#: Fixed values of the vocabulary: white space, short forms that are words of their own, the mark of a word's end. Other words are runs
+#: of letters, single digits and runs of other characters.
 SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE[1:-1]}\p{{L}}\p{{N}}]+"
+SHORT_FORMS = ("'s", "'t", "'m", "'d", "'re", "'ve", "'ll")
 END = "</w>"
-#: More than the number of symbols; words, runs and pairs of tokens that a worker remembers of each, twice as many at most.
-STEP, REMEMBER = 1 << 16, 150_000
+#: More than the number of symbols; pairs of tokens that a worker remembers.
+STEP, REMEMBER = 1 << 16, 300_000
+#: Slots (as a power of two) for pairs met of late; words from which a step over all of them is worth its fixed cost.
+SLOTS, MANY = 20, 50
+#: Kinds of characters. Special tokens are replaced by surrogates, which no text holds, from MARK on.
+BLANK, LETTER, DIGIT, OTHER, SPECIAL = range(5)
+MARK = 0xD800
+#: Characters of a long text that are worked on at a time; such a span ends where no word and no composed character goes on.
+SPAN = 1 << 19
+SPAN_END = regex.compile(r"[ \t\n\r]|[.,;:!?、。](?=\p{L})")
 
 
 def byte_symbols() -> list[str]:
@@ -60,8 +72,10 @@ class PrefixEncoder:
             self.spelled[whole] = self.spelled[a] + self.spelled[b]
         self._automaton()
         self.size = array("i", (len(self.spelled.get(i, ())) for i in range(max(self.spelled) + 1)))
+        self._tables()
         del self.spelled
         self.known: dict[int, bool] = {}
+        self.recent = np.full(1 << SLOTS, -1, np.int64)  # pair of tokens * 2 + whether they stay apart
 
     def _automaton(self) -> None:
         """Trie of the tokens' symbols with suffix links; each node knows its own token and the next
@@ -93,6 +107,51 @@ class PrefixEncoder:
             shorter[node] = up if token[up] >= 0 else shorter[up]
         self.token, self.link, self.shorter = array("i", token), array("i", link), array("i", shorter)
 
+    def _tables(self) -> None:
+        """The automaton as tables: from a node by an inner byte to the next node, and by a last byte to the longest token that
+        ends there; the longest token of a node; the next shorter one of a token. Only nodes of inner symbols are numbered."""
+        token, link, shorter = (np.array(x) for x in (self.token, self.link, self.shorter))
+        edges = np.array([(k // STEP, k % STEP, to) for k, to in self.go.items()])
+        byte = np.full(STEP, -1)
+        byte[self.inner] = np.arange(256)
+        last = np.full(STEP, -1)
+        last[self.final] = np.arange(256)
+        inner = byte[edges[:, 1]] >= 0
+        row = np.full(len(token), -1)
+        row[0] = 0
+        row[edges[inner, 2]] = np.arange(1, inner.sum() + 1)
+        longest = np.where(token >= 0, token, token[shorter])
+        kind = np.uint16 if max(inner.sum(), token.max()) < 1 << 16 else np.uint32
+        self.next = np.zeros((inner.sum() + 1, 256), kind)
+        self.ending = np.zeros((inner.sum() + 1, 256), kind)
+        level, parent = np.array([0]), edges[:, 0]
+        while len(level):
+            if level[0]:
+                self.next[row[level]], self.ending[row[level]] = self.next[row[link[level]]], self.ending[row[link[level]]]
+            own = np.isin(parent, level)
+            for at, table, of, what in ((own & inner, self.next, byte, row), (own & ~inner, self.ending, last, longest)):
+                table[row[parent[at]], of[edges[at, 1]]] = what[edges[at, 2]]
+            level = edges[own & inner, 2]
+        self.longest = np.zeros(len(self.next), np.int32)
+        self.longest[row[row >= 0]] = longest[row >= 0]
+        self.fewer = np.full(len(self.size), len(self.size), np.int32)  # none: an index error, if it were ever asked for
+        self.fewer[token[token >= 0]] = np.where(shorter > 0, token[shorter], len(self.size))[token >= 0]
+        self.sizes = np.array(self.size, np.int32)
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs."""
+        key = left.astype(np.int64) * STEP + right
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+        held = self.recent[slot]
+        out = (held & 1).astype(bool)
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            pairs, first, of = np.unique(key[new], return_index=True, return_inverse=True)
+            found = np.array([self.compatible(k // STEP, k % STEP) for k in pairs.tolist()])
+            self.recent[slot[new[first]]] = pairs * 2 + found
+            out[new] = found[of]
+        return out
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave ``left`` and ``right`` apart where they meet.
 
@@ -104,7 +163,7 @@ class PrefixEncoder:
         found = self.known.get(key)
         if found is None:
             found = self._apart(left, right)
-            if len(self.known) >= 2 * REMEMBER:
+            if len(self.known) >= REMEMBER:
                 self.known.clear()
             self.known[key] = found
         return found
@@ -126,11 +185,11 @@ class PrefixEncoder:
             else:
                 right_until, right = right, b[0]
 
-    def encode(self, word: bytes) -> list[int]:
-        symbols = [self.inner[b] for b in word[:-1]] + [self.final[word[-1]]]
-        last, node = [-1] * len(symbols), 0
+    def encode(self, word: bytes) -> array:
+        last, node = array("i", [-1]) * len(word), 0
         go, link, token, shorter, size, known = self.go.get, self.link, self.token, self.shorter, self.size, self.known.get
-        for at, s in enumerate(symbols):
+        for at, b in enumerate(word):
+            s = self.inner[b] if at < len(word) - 1 else self.final[b]
             to = go(node * STEP + s)
             while to is None and node:
                 node = link[node]
@@ -150,99 +209,169 @@ class PrefixEncoder:
                         last[at] = t
                         break
                 match = shorter[match]
-        out, at = [], len(symbols) - 1
+        out, at = array("i"), len(word) - 1
         while at >= 0:
             out.append(last[at])
             at -= size[last[at]]
         return out[::-1]
 
+    def encode_all(self, letters: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words that ``cuts`` marks in ``letters``, one word after the other, and where each word's begin.
 
-class Recent:
-    """What was found for keys met of late: when ``most`` are new, those older than the ones before them are dropped."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, found) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = found
+        Words longer than ``MANY`` others are too few for steps and go one by one.
+        """
+        length = np.diff(cuts)
+        most = np.partition(length, -MANY)[-MANY] if len(length) >= MANY else 0
+        order = np.flatnonzero(length <= most)
+        order = order[np.argsort(-length[order], kind="stable")]  # those that go on are the first ones
+        long = {i: self.encode(letters[cuts[i] : cuts[i + 1]].tobytes()) for i in np.flatnonzero(length > most).tolist()}
+        own, begin = length[order], cuts[order]
+        going = len(order) - np.cumsum(np.bincount(own, minlength=1))  # words of over 0, 1, 2 ... bytes
+        base = np.concatenate([[0], np.cumsum(going)])  # where a step's tokens begin
+        last, node = np.zeros(base[-1], np.int32), np.zeros(len(order), np.int64)
+        for at, (now, on) in enumerate(zip(going[:-1].tolist(), going[1:].tolist())):
+            by = node[:now] * 256 + letters[begin[:now] + at]
+            node[:on] = self.next.ravel()[by[:on]]
+            t = np.concatenate([self.longest[node[:on]], self.ending.ravel()[by[on:]].astype(np.int32)])
+            who = np.arange(now)
+            while len(who):
+                before = at - self.sizes[t]
+                fits = before < 0
+                rest = np.flatnonzero(~fits)
+                fits[rest] = self.apart(last[base[before[rest]] + who[rest]], t[rest])
+                last[base[at] + who[fits]] = t[fits]
+                who, t = who[~fits], self.fewer[t[~fits]]
+        count, rounds = np.zeros(len(length), np.int64), []
+        who, at = np.arange(len(order)), own - 1
+        while len(who):
+            t = last[base[at] + who]
+            rounds.append((order[who], t))
+            count[order[who]] += 1
+            at = at - self.sizes[t]
+            who, at = who[at >= 0], at[at >= 0]
+        for i, ids in long.items():
+            count[i] = len(ids)
+        edge = np.concatenate([[0], np.cumsum(count)])
+        out = np.zeros(edge[-1], np.uint32)
+        for k, (words, t) in enumerate(rounds, 1):
+            out[edge[words + 1] - k] = t
+        for i, ids in long.items():
+            out[edge[i] : edge[i + 1]] = ids
+        return out, edge
+
+
+def character_kinds() -> np.ndarray:
+    """The kind of every code point."""
+    every = np.arange(sys.maxunicode + 1, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    kinds = np.full(len(every), OTHER, np.uint8)
+    for kind, pattern in ((BLANK, SPACE), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
+        for m in regex.finditer(pattern + "+", every):
+            kinds[m.start() : m.end()] = kind
+    kinds[MARK:0xE000] = SPECIAL
+    return kinds
+
+
+def filled(kind: pa.DataType, cuts, data: pa.Buffer) -> pa.Array:
+    """Texts or bytes that lie one after the other in ``data``."""
+    return pa.Array.from_buffers(kind, len(cuts) - 1, [None, pa.py_buffer(np.asarray(cuts).astype(np.int32)), data])
 
 
 class WordBpe:
-    """Whole texts: normalising, splitting into words, and per-word ids and tokens, remembered."""
+    """Whole texts: normalising, splitting into words, ids and tokens. Each different word of a block is encoded once."""
 
-    def __init__(self, path: str, remember: int = REMEMBER):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.words = PrefixEncoder(spec["model"]["vocab"], merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = self.words.names | {i: s for s, i in self.special.items()}
+        names = self.words.names | {i: s for s, i in self.special.items()}
+        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)])
         self.cut = regex.compile("|".join(map(regex.escape, self.special)))
-        self.pattern = regex.compile(WORDS)
-        self.chunks, self.memo = Recent(remember), Recent(remember)
+        self.marks = {s: chr(MARK + i) for i, s in enumerate(self.special)}
+        self.kinds = character_kinds()
 
     def _normal(self, text: str) -> str:
+        """The normalised text; neither composing nor lower-casing reaches over a mark."""
+        if any(s in text for s in self.special):
+            text = self.cut.sub(lambda m: self.marks[m.group()], text)
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
 
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.memo.get(word)
-        if ids is None:
-            ids = tuple(self.words.encode(word.encode()))
-            self.memo.put(word, ids)
-        return ids
-
-    def ids(self, text: str) -> list[int]:
-        """Ids of a whole text; the strings of special tokens become their ids."""
-        out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += [i for w in self.pattern.findall(self._normal(text[at : m.start()])) for i in self.word(w)]
-            out.append(self.special[m.group()])
-            at = m.end()
-        return out + [i for w in self.pattern.findall(self._normal(text[at:])) for i in self.word(w)]
-
-    def decode(self, ids) -> str:
-        """The tokens joined by spaces: the vocabulary names no decoder."""
-        return " ".join([self.names[i] for i in ids])
-
-    def chunk(self, text: str) -> tuple[tuple[int, ...], str]:
-        """Ids and decoded text of a run without ASCII white space, remembered if short."""
-        found = self.chunks.get(text)
-        if found is None:
-            ids = tuple(self.ids(text))
-            found = (ids, self.decode(ids))
-            if len(text) < 64:
-                self.chunks.put(text, found)
-        return found
-
-    def block(self, texts: pa.Array) -> tuple[list[np.ndarray], list[str]]:
-        """Ids and decoded text of many texts. Runs between ASCII white space are encoded once each."""
-        parts = pc.split_pattern_regex(texts, "[ \\t\\n\\r]+")
-        coded = parts.flatten().dictionary_encode()
-        both = [self.chunk(c) for c in coded.dictionary.to_pylist()]
-        ids, decoded = [b[0] for b in both], [b[1] for b in both]
-        count = np.fromiter((len(i) for i in ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(count.sum()))
-        cuts = np.concatenate([[0], np.cumsum(count)])
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        size = count[code]
+    def _starts(self, points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Whether a word starts at each character."""
+        starts = np.ones(len(kinds), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=starts[1:])
+        starts |= (kinds == DIGIT) | (kinds == SPECIAL)
+        starts &= kinds != BLANK
+        quotes = np.flatnonzero((points == ord("'")) & starts)
+        for form in SHORT_FORMS:
+            at = quotes[quotes + len(form) <= len(points)]
+            for i, c in enumerate(form):
+                at = at[points[at + i] == ord(c)]
+            starts[at + 1] = False
+            after = at + len(form)
+            after = after[after < len(points)]
+            starts[after] = kinds[after] != BLANK
+        return starts
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin. The strings of special tokens become their ids."""
+        texts = [self._normal(t) for t in texts]
+        text = " ".join(texts)
+        letters = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        points = letters if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = self.kinds[points]
+        starts = self._starts(points, kinds)
+        first = np.flatnonzero(starts)
+        edge = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        marked = np.flatnonzero(kinds[first] == SPECIAL)
+        marks = points[first[marked]].astype(np.int64) - MARK
+        # Words without the white space between them.
+        keep = kinds != BLANK
+        if points is not letters:
+            width = 1 + (points > 0x7F).view(np.uint8) + (points > 0x7FF) + (points > 0xFFFF)
+            keep, starts = np.repeat(keep, width), np.repeat(starts, width) & ((letters & 0xC0) != 0x80)
+        letters, starts = letters[keep], starts[keep]
+        words = filled(pa.binary(), np.append(np.flatnonzero(starts), len(letters)), pa.py_buffer(letters)).dictionary_encode()
+        _, cuts, letters = words.dictionary.buffers()
+        cuts = np.frombuffer(cuts, np.int32)[: len(words.dictionary) + 1].astype(np.int64)
+        flat, begin = self.words.encode_all(np.frombuffer(letters or b"", np.uint8), cuts)
+        code = words.indices.to_numpy().astype(np.int64)
+        code[marked] = len(begin) - 1 + marks
+        flat = np.concatenate([flat, np.fromiter(self.special.values(), np.uint32)])
+        begin = np.concatenate([begin, begin[-1] + 1 + np.arange(len(self.special))])
+        size = np.diff(begin)[code]
         ends = np.cumsum(size)
-        gather = flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - cuts[code], size)]
-        edge = np.concatenate([[0], ends])[bounds]
-        out = [gather[edge[i] : edge[i + 1]] for i in range(len(texts))]
-        said = []
-        for i in range(len(texts)):
-            said.append(" ".join([d for d in map(decoded.__getitem__, code[bounds[i] : bounds[i + 1]].tolist()) if d]))
-        return out, said
+        total = int(ends[-1]) if len(ends) else 0
+        return flat[np.arange(total) + np.repeat(begin[code] - ends + size, size)], np.concatenate([[0], ends])[edge]
+
+    def decode(self, ids: np.ndarray, edge: np.ndarray) -> pa.Array:
+        """The tokens of each text joined by spaces: the vocabulary names no decoder."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), self.names.take(pa.array(ids))), " ")
+
+    def block(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Number of tokens, ids as bytes and decoded text of many texts."""
+        texts = texts.to_pylist()
+        if len(texts) == 1 and len(texts[0]) > SPAN:
+            return self._long(texts[0])
+        ids, edge = self._ids(texts)
+        return pa.array(np.diff(edge)), filled(pa.binary(), edge * 4, pa.py_buffer(ids.astype("<u4"))), self.decode(ids, edge)
+
+    def _long(self, text: str) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """``block`` of one text, by spans."""
+        at, count, held, said = 0, 0, pa.BufferOutputStream(), pa.BufferOutputStream()
+        while at < len(text):
+            found = SPAN_END.search(text, at + SPAN)
+            end = found.end() if found else len(text)
+            ids, edge = self._ids([text[at:end]])
+            if len(ids):
+                held.write(ids.astype("<u4"))
+                said.write(b" " if count else b"")
+                said.write(self.decode(ids, edge)[0].as_buffer())
+            at, count = end, count + len(ids)
+        held, said = held.getvalue(), said.getvalue()
+        return pa.array([count]), filled(pa.binary(), [0, held.size], held), filled(pa.string(), [0, said.size], said)
 
 
 @lru_cache(maxsize=2)
@@ -261,15 +390,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         for block in blocks(batches, limit=2 << 20):
-            ids, decoded = coder.block(block.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block.column("doc_id"),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()),
-                    pa.array(decoded, pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
-            )
+            found = coder.block(block.column("text"))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *found], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
