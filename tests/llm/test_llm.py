@@ -351,6 +351,17 @@ def test_bpe_cuts_words_as_library():
     assert [coded(coder, [t])[0] for t in texts[:200]] == by_library(texts[:200])
 
 
+def test_bpe_of_every_character_as_library(spark):
+    """Letters, digits, lower case and order of marks are of the library's versions of Unicode, which are not Python's."""
+    every = [chr(i) for i in [*range(1, 0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200)]]
+    texts = [" ".join(f"a{c}b 1{c}{c}\u0334\u0301{c}" for c in every[i : i + 64]) for i in range(0, len(every), 64)]
+    texts += ["\U00011935\U00011930 \U00011938\u0301", "<|endoftext|>\u1df6\u0334\U00016ea0<|endoftext|>\u0301ΑΣ", "é\u07fde\u0301"]
+    rows = bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizers.path("word_bpe_49k.json")).collect()
+    got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in rows}
+    wrong = [i for i, want in enumerate(by_library(texts)) if got[i] != want]
+    assert not wrong, f"{len(wrong)} texts"
+
+
 def test_bpe_of_long_text_by_spans(monkeypatch):
     texts = [words(300), "\n\n" + words(40) + "  \t", "z" * 90 + " <|endoftext|>\n", "水の 山\u3000" * 30, "水の、山.Σa,,b\u0301.\u0301c;'s!'s" * 40]
     coder = bpe.load(tokenizers.path("word_bpe_49k.json"))

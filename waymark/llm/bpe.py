@@ -38,11 +38,21 @@ STEP, REMEMBER = 1 << 16, 300_000
 #: Slots (as a power of two) for pairs met of late; words from which a step over all of them is worth its fixed cost.
 SLOTS, MANY = 20, 50
 #: Kinds of characters. Special tokens are replaced by surrogates, which no text holds, from MARK on.
-BLANK, LETTER, DIGIT, OTHER, SPECIAL = range(5)
+BLANK, LETTER, DIGIT, OTHER, SPECIAL, LATE = 0, 1, 2, 3, 4, 8
 MARK = 0xD800
+#: Where the library's versions of Unicode differ from that of Python (15.1): letters and digits of 16; lower case of 16 and 17 (first and
+#: last character, distance); characters after 10, which do not compose and stay in their place (marks, and U+11930).
+NEW_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+NEW_DIGITS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+NEW_LOWER = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
+UNMOVED = "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
 #: Characters of a long text that are worked on at a time; such a span ends where no word and no composed character goes on.
 SPAN = 1 << 19
-SPAN_END = regex.compile(r"[ \t\n\r]|[.,;:!?、。](?=\p{L})")
+LOWER = {i: i + by for first, last, by in NEW_LOWER for i in range(first, last + 1)}
+SPAN_END = regex.compile(r"[ \t\n\r]|[.,;:!?、。](?=[A-Za-zА-яぁ-ゖァ-ヺ一-龥가-힣])")
 
 
 def byte_symbols() -> list[str]:
@@ -260,14 +270,22 @@ class PrefixEncoder:
         return out, edge
 
 
+def code_points(ranges: str) -> list[int]:
+    """Code points of ranges in hexadecimal."""
+    ends = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return [i for r in ends for i in range(r[0], r[-1] + 1)]
+
+
 def character_kinds() -> np.ndarray:
-    """The kind of every code point."""
-    every = np.arange(sys.maxunicode + 1, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    kinds = np.full(len(every), OTHER, np.uint8)
-    for kind, pattern in ((BLANK, SPACE), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
-        for m in regex.finditer(pattern + "+", every):
-            kinds[m.start() : m.end()] = kind
+    """The kind of every code point; LATE is added where ``_exact`` may differ from ``_normal``."""
+    kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    kind_of = {"L": LETTER, "N": DIGIT}
+    kinds[:0x40000] = [kind_of.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x40000)]
+    kinds[code_points(NEW_LETTERS)], kinds[code_points(NEW_DIGITS)] = LETTER, DIGIT
+    kinds[[ord(c) for c in regex.findall(SPACE, "".join(map(chr, range(0x4000))))]] = BLANK
     kinds[MARK:0xE000] = SPECIAL
+    # U+11938 is what U+11930 composes to.
+    kinds[[*LOWER, *code_points(UNMOVED), 0x11938]] |= LATE
     return kinds
 
 
@@ -290,14 +308,19 @@ class WordBpe:
         self.cut = regex.compile("|".join(map(regex.escape, self.special)))
         self.marks = {s: chr(MARK + i) for i, s in enumerate(self.special)}
         self.kinds = character_kinds()
+        self.unmoved = regex.compile(f"([{''.join(map(chr, code_points(UNMOVED)))}])")
 
     def _normal(self, text: str) -> str:
-        """The normalised text; neither composing nor lower-casing reaches over a mark."""
+        """The normalised text by Python's tables; neither composing nor lower-casing reaches over a mark."""
         if any(s in text for s in self.special):
             text = self.cut.sub(lambda m: self.marks[m.group()], text)
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
 
+    def _exact(self, text: str) -> str:
+        """The normalised text by the library's tables."""
+        return "".join([self._normal(part) for part in self.unmoved.split(text)]).translate(LOWER)
+
     def _starts(self, points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Whether a word starts at each character."""
         starts = np.ones(len(kinds), bool)
@@ -315,16 +338,24 @@ class WordBpe:
             starts[after] = kinds[after] != BLANK
         return starts
 
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text's begin. The strings of special tokens become their ids."""
-        texts = [self._normal(t) for t in texts]
+    def _characters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, code points and kinds of the texts with a space between them."""
         text = " ".join(texts)
         letters = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         points = letters if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        kinds = self.kinds[points]
+        return letters, points, self.kinds[points]
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin. The strings of special tokens become their ids."""
+        normal = [self._normal(t) for t in texts]
+        letters, points, kinds = self._characters(normal)
+        if (kinds >= LATE).any():
+            normal = [self._exact(t) for t in texts]
+            letters, points, kinds = self._characters(normal)
+            kinds &= LATE - 1
         starts = self._starts(points, kinds)
         first = np.flatnonzero(starts)
-        edge = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        edge = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in normal)]))
         marked = np.flatnonzero(kinds[first] == SPECIAL)
         marks = points[first[marked]].astype(np.int64) - MARK
         # Words without the white space between them.
