@@ -435,3 +435,37 @@ def test_ranks_of_an_empty_table(spark, tmp_path):
     ranks.build_ranks(none, base)
     assert ranks.places_of(none, files, base, [1]) == [None]
     assert ranks.fill_range_by_ranks(none, files, base, 1, 5, "notes", "v").count() == 0
+
+
+def test_equal_texts_are_read_once():
+    """Of equal values in a batch one is read, and every row gets all that is found in its own."""
+    texts = ["at 41.5N, 2.5E and 3.5S, 4.5W", "none", "in 12.25", "at 41.5N, 2.5E and 3.5S, 4.5W", None, "in 12.25"] * 50
+    batch = extract.pa.RecordBatch.from_arrays([extract.pa.array(texts), extract.pa.array([5] * 299 + [6], extract.pa.int32())], names=["text", "level"])
+    read = []
+    row, index, (lat, lon) = extract.read_once(batch, ("text", "level"), 2, lambda text, n: (read.append((text, n)), tk.extract(text or "", n))[1])
+    assert len(read) == len(set(read)) == 5
+    want = [(r, i, *pair) for r, t in enumerate(texts) for i, pair in enumerate(tk.extract(t or "", batch.column("level")[r].as_py()))]
+    got = zip(row.tolist(), index.to_pylist(), lat.to_pylist(), lon.to_pylist(), strict=True)
+    assert [(r, i, a and tuple(a.values()), b and tuple(b.values())) for r, i, a, b in got] == [(r, i, a and tuple(a), b and tuple(b)) for r, i, a, b in want]
+
+
+def test_levels_share_a_reading(monkeypatch):
+    """Pairs at all levels equal those of each by itself; a text of tokens that all levels take is read once."""
+    rng = random.Random(5)
+    bits = ["12", "41.5", "104", "7,25", "59", "3.1234", "1987", "°", "'", '"', " ", " ", "\n", "N", "S", "e", "w", "lat", "Lat.", "Longitude", "-", ",", ", ", ";", "and", "by", "(", ".", "a "]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 20)))
+        assert tk.extract_at_levels(text, [*range(1, 8), 0, 9]) == [tk.extract(text, n) for n in [*range(1, 8), 0, 9]], text
+    read, own = [], tk.find_tokens
+    monkeypatch.setattr(tk, "find_tokens", lambda text, n=5: (read.append(n), own(text, n))[1])
+    assert len(tk.extract_at_levels('at 41°24\'12"N, 2°10\'26"E', range(1, 8))) == 7 and len(read) == 1
+
+
+def test_bits_of_ends(spark):
+    """What a page's ends are told by in Python equals what Spark's expressions tell."""
+    rng = random.Random(6)
+    bits = ["12", "41.5", "°", "o", "O", "'", '"', " ", "\n", "\u2009", "N", "S", "e", "north", "Oeste", "lat", "Lat.", "xLat", "toN", "-", "−", ",", "and", "AND", "x", "(", "a ", "the ", "ſ", "\u212a"]
+    texts = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(9)))) for i in range(5000)]
+    df = spark.createDataFrame(texts, "i int, head string").withColumn("tail", F.col("head"))
+    got = {r.i: (r.h, r.t) for r in df.select("i", extract._bits("head").alias("h"), extract._bits("tail").alias("t")).collect()}
+    assert got == {i: (extract.bits_of("head", t), extract.bits_of("tail", t)) for i, t in texts}

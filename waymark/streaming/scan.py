@@ -13,7 +13,7 @@ from ..sources.shared import written
 
 PAGES = "file_id string, page_num int, text string"
 _fields = lambda *named: T.StructType([T.StructField(n, T.StringType() if n in ("file_id", "head", "tail") else T.IntegerType()) for n in named])
-ENDS = _fields("file_id", "page_num", "head", "tail", "tail_start", "size")
+ENDS = _fields("file_id", "page_num", "head", "tail", "tail_start", "size", "head_bits", "tail_bits")
 HELD = _fields("file_id", "at", "start", "end")
 
 
