@@ -469,3 +469,17 @@ def test_bits_of_ends(spark):
     df = spark.createDataFrame(texts, "i int, head string").withColumn("tail", F.col("head"))
     got = {r.i: (r.h, r.t) for r in df.select("i", extract._bits("head").alias("h"), extract._bits("tail").alias("t")).collect()}
     assert got == {i: (extract.bits_of("head", t), extract.bits_of("tail", t)) for i, t in texts}
+
+
+@pytest.mark.parametrize("n", [99_999])
+def test_few_slices_of_many_requests(spark, n):
+    """The number of slices grows as the logarithm of that of requests; every request is answered once."""
+    began = []
+    write, call = assist.call_model, lambda some, *a: (began.append(1), write(some, *a))[1]
+    assist.call_model = call
+    try:
+        out = assist.call_in_slices(spark.range(1, n + 1).selectExpr("id as request_seq", "cast(id as string) as body"), lambda body: (200, body), slice_size=1_000)
+    finally:
+        assist.call_model = write
+    assert len(began) < 20
+    assert out.where("status = 200 and response = cast(request_seq as string)").select("request_seq").distinct().count() == out.count() == n
