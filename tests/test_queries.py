@@ -483,3 +483,15 @@ def test_few_slices_of_many_requests(spark, n):
         assist.call_model = write
     assert len(began) < 20
     assert out.where("status = 200 and response = cast(request_seq as string)").select("request_seq").distinct().count() == out.count() == n
+
+
+def _reads(df) -> set[str]:
+    """The tables that a result's plan reads: folders of written ones without their numbers."""
+    return {os.path.basename(os.path.dirname(f))[:-33] if "/part-" in f else os.path.basename(f) for f in df.inputFiles()}
+
+
+@needs_data
+def test_a_rescan_merges_once(spark):
+    """Claims are found once, and duplicates are looked for in the merged table as written, not in the merge made anew."""
+    assert "claims" in _reads(q.QUERIES["r5_rescan_merge"](spark, DATA))
+    assert _reads(q.QUERIES["r5_rescan_dedup"](spark, DATA)) == {"rows", "orders.parquet"}
