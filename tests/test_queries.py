@@ -495,3 +495,9 @@ def test_a_rescan_merges_once(spark):
     """Claims are found once, and duplicates are looked for in the merged table as written, not in the merge made anew."""
     assert "claims" in _reads(q.QUERIES["r5_rescan_merge"](spark, DATA))
     assert _reads(q.QUERIES["r5_rescan_dedup"](spark, DATA)) == {"rows", "orders.parquet"}
+
+
+@needs_data
+def test_items_are_placed_once(spark):
+    """Texts and boxes of a scan come from one pass over its items, which the boxes read as written."""
+    assert _reads(q.QUERIES["w2_scan_job"](spark, DATA)) == {"pieces", "coordinates"}
